@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,3 +38,18 @@ def small(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its size is under the limit, else as it is (Spark then shuffles both sides)."""
     return F.broadcast(df) if small(df, row_bytes, limit_bytes) else df
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the workers, where neither PYTHONPATH nor the working folder does so."""
+    import os
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    reachable = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.realpath(os.getcwd()) == os.path.realpath(root)
+    if not reachable and app not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="spark-tidewatch-code-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidewatch", "zip", root, "tidewatch"))
+        _SHIPPED.add(app)
+    return spark
