@@ -112,7 +112,7 @@ class Tables:
             raise AttributeError(name)
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        text = _spark_sql(VIEWS[name])
+        text = _spark_sql(VIEWS[name]).replace("{", "{{").replace("}", "}}")
         used = {t for t in ("documents", "events", "pages", "conversations", "customer", "supplier", "orders", "embeddings") if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)}
         text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", text)
         return self.spark.sql(text, **{t: getattr(self, t) for t in used})

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What text normalisation removes, keeps and collapses.
 URL = r"(?i)https?://[^\s<>\"')\]]+"
@@ -30,7 +31,7 @@ QUESTION_FIRST = ("how", "why", "what", "when", "where", "which", "who")
 QUESTION_IN = ("어떻게", "왜", "무엇", "언제", "어디", "누가")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Entities decoded, tags dropped, NFC: what Spark has no functions for."""
     import re

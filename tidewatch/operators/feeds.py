@@ -213,7 +213,7 @@ def account_rollups(users: DataFrame, plans: DataFrame, usage: DataFrame, groups
     """Account figures in long form (kind, name, value), by rollups: users, active users and users by plan, active
     subscriptions by plan, users with usage, groups in total and of the day."""
     by = users.rollup("plan").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_active"), 1)).alias("active"), F.grouping("plan").alias("g"))
-    u = by.select(F.explode(F.when(F.col("g") == 1, F.array(F.struct(F.lit("users").alias("kind"), F.lit("total").alias("name"), F.col("n").alias("value")), F.struct(F.lit("users"), F.lit("active"), F.col("active")))).otherwise(F.array(F.struct(F.lit("users_by_plan").alias("kind"), F.col("plan").alias("name"), F.col("n").alias("value"))))).alias("x")).select("x.*")
+    u = by.select(F.explode(F.when(F.col("g") == 1, F.array(F.struct(F.lit("users").alias("kind"), F.lit("total").alias("name"), F.col("n").alias("value")), F.struct(F.lit("users").alias("kind"), F.lit("active").alias("name"), F.col("active").alias("value")))).otherwise(F.array(F.struct(F.lit("users_by_plan").alias("kind"), F.col("plan").alias("name"), F.col("n").alias("value"))))).alias("x")).select("x.*")
     s = plans.filter("status = 'active'").groupBy(F.col("plan").alias("name")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("subscriptions_by_plan").alias("kind"), "name", "value")
     a = usage.agg(F.countDistinct("user_id").alias("value")).select(F.lit("usage").alias("kind"), F.lit("users").alias("name"), "value")
     g = groups.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("created_at") >= ts(day), 1)).alias("today"))

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewatch.functions.text import with_hashes
 
@@ -54,7 +55,7 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _html_text(pages: pd.Series) -> pd.Series:
     def one(page: str | None) -> str:
         parser = _Text()
