@@ -23,7 +23,7 @@ MARGIN = 48
 #: Fixed value: the splitting pattern of a byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT, LEAF = 1 << 18, 1 << 14
-_LOADED: dict[int, "ByteBpe"] = {}
+_LOADED: dict[tuple, "ByteBpe"] = {}
 
 
 def _byte_chars() -> dict[str, int]:
@@ -36,20 +36,28 @@ def _byte_chars() -> dict[str, int]:
 class ByteBpe:
     """A tokenizer of the tokenizers library, from the text of its file."""
 
-    def __init__(self, definition: str, quick: bool = True):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(definition)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        chars, added = _byte_chars(), {x["content"] for x in json.loads(definition).get("added_tokens", [])}
-        vocab = self.tok.get_vocab(with_added_tokens=True)
+    def __init__(self, definition: str, encodes: bool = True):
+        """With ``encodes`` off only the bytes of the tokens are kept, for decoding."""
+        d = json.loads(definition)
+        chars, added = _byte_chars(), {x["content"]: x["id"] for x in d.get("added_tokens", [])}
+        vocab = d["model"]["vocab"] | added
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = token.encode() if token in added else bytes(chars[c] for c in token)
-        self.size_of = np.array([len(x) for x in self.bytes_of], np.int64)
-        self.quick = self._quick(json.loads(definition)) if quick else None
+        if encodes:
+            self.size_of = np.array([len(x) for x in self.bytes_of], np.int64)
+            self.quick = self._quick(d)
+            self.tok = None if self.quick else self._plain(definition)
+
+    @staticmethod
+    def _plain(definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(definition)
+        tok.no_padding()
+        tok.no_truncation()
+        return tok
 
     def _quick(self, d: dict):
         """The same encoding by tiktoken, which is faster, where the file is a plain byte-level BPE of that kind: the
@@ -133,14 +141,14 @@ class Source:
         with open(path, encoding="utf-8") as f:
             self.sent = spark.sparkContext.broadcast(f.read())
 
-    def load(self) -> ByteBpe:
-        key = hash(self.sent.value)
+    def load(self, encodes: bool = True) -> ByteBpe:
+        key = hash(self.sent.value), encodes
         if key not in _LOADED:
-            _LOADED[key] = ByteBpe(self.sent.value)
+            _LOADED[key] = ByteBpe(self.sent.value, encodes)
         return _LOADED[key]
 
 
-def batches(texts: list, most: int = 4 << 20) -> Iterator[slice]:
+def batches(texts: list, most: int = 2 << 20) -> Iterator[slice]:
     """Slices of texts with about ``most`` characters each, so that memory does not follow the batch of rows."""
     start, size = 0, 0
     for i, x in enumerate(texts):
@@ -196,14 +204,16 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return short.unionByName(long).select(F.col("id").alias(id_col), "ids")
 
 
-def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out_col``: the text of the ids, special tokens included; null ids: empty text."""
-    source = Source(encoded.sparkSession, path)
+def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per input row: id, ``ids`` and ``decoded``, their text, special tokens included; null ids: empty text."""
+    source, id_type = Source(encoded.sparkSession, path), encoded.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf("string")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = source.load()
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = source.load(encodes=False)
         for x in parts:
-            yield x.map(lambda y: bpe.decode(y or b""))
+            rows = x["ids"].tolist()
+            for s in batches(rows):
+                yield x.iloc[s].assign(decoded=[bpe.decode(y or b"") for y in rows[s]])
 
-    return encoded.withColumn(out_col, decode(F.col(ids_col)))
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInPandas(decode, f"id {id_type}, ids binary, decoded string").withColumnRenamed("id", id_col)

@@ -10,6 +10,9 @@ from tidewatch.runtime import shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Texts go to Python in batches; a batch of the default 10,000 rows of long texts is too much for a small worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
