@@ -4,9 +4,10 @@ A bigram seen c times is put in once for each level 1 .. 1 + log2(c); probing le
 level back, never too low and rarely too high. With v the word before, p(w | v) = (q + K p(w)) / (c(v) + K), where q is
 the middle of the level, at most c(v) and c(w), and p(w) the add-0.1 estimate from exact word counts.
 
-The filter is built in segments by key, each by one task from the keys of that segment. While all segments and the word
-counts are small together (a checked bound) they are broadcast; beyond it the segments stay where they are and blocks of
-documents send their distinct keys to them. Both ways read the same bits and give the same scores.
+The filter is built in segments by key, each by one task from the keys of that segment. A model that is sure to be small
+(a bound from the number of tokens) is broadcast. Beyond that a filter that grows with the corpus would not fit every
+worker and the driver, so its segments stay where they are built: blocks of documents send each their distinct keys,
+once, with their training counts, and get levels and counts back. Both ways probe the same bits and give the same scores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from tidewatch.runtime import written
 
 #: Bits and probes of the filter for each item; weight of the word estimate; characters for one segment and one block.
 BITS, PROBES, K, SEGMENT_CHARS, BLOCK_CHARS = 12, 8, 4.0, 16_000_000, 8_000_000
-BROADCAST = 256 << 20
+BROADCAST = 32 << 20
+#: Most bytes of the model that a token can add: a word with its count, and the filter's bits of a pair.
+TOKEN_BYTES = 16 + BITS / 8
 FLUSH = 2_000_000
 END, START = U(0x7F4A7C159E3779B9), U(0x1CE4E5B9BF58476D)
 
@@ -128,20 +131,41 @@ def scores(texts: list[bytes], word_count: Callable, pair_level: Callable, n: in
     })
 
 
+def squeeze(values: np.ndarray, sorted_: bool = False) -> bytes:
+    """Integers, or the steps between sorted ones, byte plane by byte plane, compressed."""
+    import zstandard
+
+    if sorted_ and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def spread(raw: bytes, kind: type, sorted_: bool = False) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if sorted_ else values
+
+
 def packed(words_: tuple, pairs: tuple, segments: int) -> list[tuple]:
-    """A row for each segment: the keys and counts of words and pairs that fall into it."""
+    """A row for each segment: the sorted keys and counts of words and pairs that fall into it."""
     shift = U(64 - (segments.bit_length() - 1))
     cut = lambda k: np.searchsorted(k >> shift, np.arange(segments + 1, dtype=U)) if segments > 1 else np.array([0, len(k)])
     a, b = cut(words_[0]), cut(pairs[0])
-    return [(s, *(x[i:j].tobytes() for (k, c), (i, j) in ((words_, (a[s], a[s + 1])), (pairs, (b[s], b[s + 1]))) for x in (k, c.astype(np.uint32)))) for s in range(segments) if a[s] < a[s + 1] or b[s] < b[s + 1]]
+    put = lambda kc, i, j: (squeeze(kc[0][i:j], True), squeeze(kc[1][i:j].astype(np.uint32)))
+    return [(s, *put(words_, a[s], a[s + 1]), *put(pairs, b[s], b[s + 1])) for s in range(segments) if a[s] < a[s + 1] or b[s] < b[s + 1]]
 
 
 PACKED = ["segment", "words", "word_n", "pairs", "pair_n"]
 PACKED_TYPE = "segment long, words binary, word_n binary, pairs binary, pair_n binary"
+NONE = (np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def _sums(x: pd.DataFrame, key: str, n: str) -> tuple[np.ndarray, np.ndarray]:
-    return counted(np.concatenate([np.frombuffer(b, U) for b in x[key]]), np.concatenate([np.frombuffer(b, np.uint32) for b in x[n]]).astype(np.int64))
+    return counted(np.concatenate([spread(b, U, True) for b in x[key]]), np.concatenate([spread(b, np.uint32) for b in x[n]]).astype(np.int64))
 
 
 def _text(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
@@ -150,14 +174,14 @@ def _text(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[by
             yield x.iloc[start : start + len(texts)], texts
 
 
-def count_corpus(rows: DataFrame, segments: int) -> DataFrame:
-    """Packed training counts, once for each task and about FLUSH tokens."""
+def count_corpus(rows: DataFrame, segments: int, pairs: bool) -> DataFrame:
+    """Packed training counts of words, and of pairs if asked for, once for each task and about FLUSH tokens."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pd.DataFrame:
-            both = [counted(k := np.concatenate([h[i] for h in held]), np.ones(len(k), np.int64)) for i in (0, 1)]
+            both = [counted(k := np.concatenate([h[i] for h in held]), np.ones(len(k), np.int64)) if not i or pairs else NONE for i in (0, 1)]
             held.clear()
             return pd.DataFrame(packed(*both, segments), columns=PACKED)
 
@@ -178,9 +202,9 @@ def build_segments(counts: DataFrame) -> DataFrame:
         w, n = _sums(x, "words", "word_n")
         bits = filter_bits(*_sums(x, "pairs", "pair_n")).tobytes()
         ends = int(n[w == END].sum())
-        return pd.DataFrame([(x["segment"].iloc[0], w.tobytes(), n.tobytes(), bits, int(n.sum()), len(w), ends, len(bits) + 16 * len(w))], columns=["segment", "words", "word_n", "bits", "tokens", "kinds", "ends", "size"])
+        return pd.DataFrame([(x["segment"].iloc[0], w.tobytes(), n.tobytes(), bits, int(n.sum()), len(w), ends)], columns=["segment", "words", "word_n", "bits", "tokens", "kinds", "ends"])
 
-    return counts.groupBy("segment").applyInPandas(build, "segment long, words binary, word_n binary, bits binary, tokens long, kinds long, ends long, size long")
+    return counts.groupBy("segment").applyInPandas(build, "segment long, words binary, word_n binary, bits binary, tokens long, kinds long, ends long")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exclude: Column | None = None, broadcast_limit: int = BROADCAST) -> DataFrame:
@@ -193,13 +217,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     out_held = F.coalesce(held_out(id_col) if exclude is None else exclude, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), out_held.alias("held_out"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    chars, most = size["chars"] or 0, (size["chars"] or 0) / 2 + size["n"]
     segments = 1 << max(0, int(np.ceil(np.log2(max(chars, 1) / SEGMENT_CHARS))))
-    model = written(build_segments(count_corpus(rows, segments)), "lm-segments")
-    total = model.agg(F.sum("tokens"), F.sum("kinds"), F.sum("ends"), F.sum("size")).first()
-    n, v, starts, size = (int(x or 0) for x in total)
+    whole = most * TOKEN_BYTES <= broadcast_limit
+    model = written(build_segments(count_corpus(rows, segments, whole)), "lm-segments")
+    total = model.agg(F.sum("tokens"), F.sum("kinds"), F.sum("ends")).first()
+    n, v, starts = (int(x or 0) for x in total)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if size <= broadcast_limit:
+    if whole:
         out = _by_broadcast(rows, model, segments, n, v, starts, schema)
     else:
         out = _by_routing(rows, model, segments, max(1, chars // BLOCK_CHARS), n, v, starts, schema)
@@ -224,29 +250,38 @@ def _by_broadcast(rows: DataFrame, model: DataFrame, segments: int, n: int, v: i
 def _by_routing(rows: DataFrame, model: DataFrame, segments: int, blocks: int, n: int, v: int, starts: int, schema: str) -> DataFrame:
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))
 
-    def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [tokens(t)[:2] for _, t in chunks(texts)]
-        return tuple(np.unique(np.concatenate([g[i] for g in got])) for i in (0, 1))
+    def keys_of(x: pd.DataFrame) -> tuple[list, tuple, tuple]:
+        """The texts by chunk; distinct words and pairs with their training counts."""
+        learn, texts = ~x["held_out"].to_numpy(bool), [*chunks(x["text"].tolist())]
+        words_, pairs, n_ = [], [], []
+        for start, t in texts:
+            word, pair, own = tokens(t)
+            words_.append(word)
+            pairs.append(pair)
+            n_.append(learn[start + own].astype(np.int64))
+        n_ = np.concatenate(n_)
+        return texts, counted(np.concatenate(words_), n_), counted(np.concatenate(pairs), n_)
 
     def ask(x: pd.DataFrame) -> pd.DataFrame:
-        w, p = keys_of(x["text"].tolist())
-        rows_ = packed((w, np.zeros(len(w))), (p, np.zeros(len(p))), segments)
-        return pd.DataFrame([(x["block"].iloc[0], r[0], r[1], r[3]) for r in rows_], columns=["block", "segment", "words", "pairs"])
+        rows_ = packed(*keys_of(x)[1:], segments)
+        return pd.DataFrame([(x["block"].iloc[0], r[0], r[1], r[3], r[4]) for r in rows_], columns=["block", "segment", "words", "pairs", "pair_n"])
 
     def answer(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        m = held.iloc[0] if len(held) else {"words": b"", "word_n": b"", "bits": b"\0" * 8}
-        w, c, f = np.frombuffer(m["words"], U), np.frombuffer(m["word_n"], np.int64), Filter([m["bits"]])
-        out = [(b, key[0], find(np.frombuffer(x, U), w, c).tobytes(), f.levels(np.frombuffer(y, U)).tobytes()) for b, x, y in zip(asked["block"], asked["words"], asked["pairs"])]
+        m = held.iloc[0] if len(held) else {"words": b"", "word_n": b""}
+        w, c = np.frombuffer(m["words"], U), np.frombuffer(m["word_n"], np.int64)
+        k, n_ = _sums(asked, "pairs", "pair_n")
+        f = Filter([filter_bits(k[n_ > 0], n_[n_ > 0]).tobytes()])
+        out = [(b, key[0], squeeze(find(spread(x, U, True), w, c)), squeeze(f.levels(spread(y, U, True)))) for b, x, y in zip(asked["block"], asked["words"], asked["pairs"])]
         return pd.DataFrame(out, columns=["block", "segment", "word_n", "levels"])
 
     def score(key, docs_: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        w, p = keys_of(docs_["text"].tolist())
+        texts, (w, _), (p, _) = keys_of(docs_)
         got = got.sort_values("segment")
-        c, level = np.concatenate([np.frombuffer(b, np.int64) for b in got["word_n"]]), np.concatenate([np.frombuffer(b, np.uint8) for b in got["levels"]])
-        out = [scores(t, lambda k: find(k, w, c), lambda k: find(k, p, level), n, v, starts) for _, t in chunks(docs_["text"].tolist())]
+        c, level = np.concatenate([spread(b, np.int64) for b in got["word_n"]]), np.concatenate([spread(b, np.uint8) for b in got["levels"]])
+        out = [scores(t, lambda k: find(k, w, c), lambda k: find(k, p, level), n, v, starts) for _, t in texts]
         s = pd.concat(out, ignore_index=True)
         return pd.concat([docs_[["id", "held_out"]].reset_index(drop=True), s], axis=1).assign(train_tokens=n)[[y.split()[0] for y in schema.split(", ")]]
 
-    asked = blocked.groupBy("block").applyInPandas(ask, "block long, segment long, words binary, pairs binary")
-    answers = asked.groupBy("segment").cogroup(model.select("segment", "words", "word_n", "bits").groupBy("segment")).applyInPandas(answer, "block long, segment long, word_n binary, levels binary")
+    asked = blocked.groupBy("block").applyInPandas(ask, "block long, segment long, words binary, pairs binary, pair_n binary")
+    answers = asked.groupBy("segment").cogroup(model.select("segment", "words", "word_n").groupBy("segment")).applyInPandas(answer, "block long, segment long, word_n binary, levels binary")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
