@@ -74,10 +74,7 @@ def _(t):
     return A.html_to_text(t.pages.select("page_id", "html")).select("page_id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"))
 
 
-RAW_POST = """SELECT event_id, '{"data":{"children":[{"data":{"title":"' || CASE WHEN event_id % 9 = 0 THEN ' ' ELSE 'Post ' || CAST(event_id AS VARCHAR(20)) END || '","subreddit":"' || CASE event_id % 3 WHEN 0 THEN 'technology' WHEN 1 THEN 'sports' ELSE 'unknown' END || '","score":' || CAST(event_id % 50 AS VARCHAR(20)) || ',"created_utc":' || CAST(1706600000 + event_id AS VARCHAR(20)) || '}}]}}' AS json FROM {events}"""
-
-
-@add("A4_reddit_to_trends", """SELECT 'Post ' || CAST(event_id AS VARCHAR) AS keyword, CASE event_id % 3 WHEN 0 THEN 'tech' WHEN 1 THEN 'sports' ELSE 'general' END AS category, CAST(event_id % 50 AS DOUBLE) AS score, 1706600000 + event_id AS epoch FROM events WHERE event_id % 9 <> 0""")
+@add("A4_reddit_to_trends", """SELECT 'Post ' || CAST(event_id AS VARCHAR) AS keyword, CASE event_id % 3 WHEN 0 THEN 'it' WHEN 1 THEN 'sports' ELSE 'general' END AS category, CAST(event_id % 50 AS DOUBLE) AS score, 1706600000 + event_id AS epoch FROM events WHERE event_id % 9 <> 0""")
 def _(t):
     raw = t.events.select(F.format_string('{"data":{"children":[{"data":{"title":"%s","subreddit":"%s","score":%d,"created_utc":%d}}]}}', F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.concat(F.lit("Post "), F.col("event_id"))), F.element_at(F.array(F.lit("technology"), F.lit("sports"), F.lit("unknown")), (F.col("event_id") % 3 + 1).cast("int")), F.col("event_id") % 50, F.col("event_id") + 1706600000).alias("json"))
     return A.reddit_to_trends(raw).select("keyword", "category", "score", F.unix_timestamp("snapshot_at").alias("epoch"))
@@ -152,9 +149,9 @@ def _(t):
     return T.normalize_articles(t.articles).select("article_id", "title", F.sha2("body", 256).alias("body_sha256"))
 
 
-@add("B4_repair_titles", r"""SELECT page_id, trim(regexp_replace(rtrim(regexp_replace(x, '\s+[0-9]+\s*$', '')), '^["''“”‘’]+|["''“”‘’]+$', '', 'g')) AS title FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '"Title" ' || CAST(page_id AS VARCHAR) ELSE 'Plain ' || CAST(page_id AS VARCHAR) END AS x FROM pages)""")
+@add("B4_repair_titles", """WITH x AS (SELECT page_id, rtrim(regexp_replace(CASE WHEN page_id % 2 = 0 THEN '"Title" ' || CAST(page_id AS VARCHAR) ELSE 'Plain" ' || CAST(page_id AS VARCHAR) END, ' [0-9]+$', '')) AS t FROM pages) SELECT page_id, CASE WHEN t LIKE '"%"' THEN trim(t, '"') ELSE t END AS title FROM x""")
 def _(t):
-    rows = t.pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('"Title" '), F.col("page_id"))).otherwise(F.concat(F.lit("Plain "), F.col("page_id"))).alias("title"))
+    rows = t.pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('"Title" '), F.col("page_id"))).otherwise(F.concat(F.lit('Plain" '), F.col("page_id"))).alias("title"))
     return T.repair_titles(rows)
 
 
@@ -243,7 +240,7 @@ def _(t):
 
 @add("B15_textrank")
 def _(t):
-    return T.textrank(t.articles.withColumn("body", F.substring("body", 1, 500)), "article_id", "body")
+    return T.group_summaries(t.articles)
 
 
 @add("B16_grounding_gate", """WITH g AS (SELECT conv_id, text FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id, text FROM conversations WHERE role <> 'assistant'),

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -68,8 +68,8 @@ def normalize_articles(articles: DataFrame) -> DataFrame:
 
 def repair_titles(articles: DataFrame) -> DataFrame:
     """Titles without a trailing number and without quotes around them."""
-    x = F.rtrim(F.regexp_replace("title", r"\s+[0-9]+\s*$", ""))
-    return articles.withColumn("title", F.trim(F.regexp_replace(x, r"^[\"'“”‘’]+|[\"'“”‘’]+$", "")))
+    x = F.rtrim(F.regexp_replace("title", " [0-9]+$", ""))
+    return articles.withColumn("title", F.when(x.rlike('(?s)^".*"$'), F.regexp_replace(x, '^"+|"+$', "")).otherwise(x))
 
 
 def drop_numeric_keywords(groups: DataFrame) -> DataFrame:
@@ -166,9 +166,10 @@ def infer_category(articles: DataFrame, dictionary: DataFrame, floor: float = 3.
 
 def textrank(articles: DataFrame, id_col: str, text: str, n: int = 5) -> DataFrame:
     """id and ``summary``: the ``n`` sentences closest to the others of the document, by summed Jaccard of words, in
-    order. Sentences are paired inside their document row, so nothing is shuffled and no pairs leave the row."""
-    sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
-    items = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")).alias("w")))
+    order. Sentences are paired inside their document row, so nothing is shuffled and no pairs leave the row; the work is
+    quadratic in the sentences of one row, so give it texts of bounded length, as :func:`group_summaries` does."""
+    sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    items = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"(?U)(\w+)"), 1)).alias("w")))
 
     def near(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a["w"], b["w"])) / F.greatest(F.size(F.array_union(a["w"], b["w"])), F.lit(1))
@@ -189,3 +190,11 @@ def grounding_gate(generated: DataFrame, sources: DataFrame, key: str, floor: fl
     recall = F.size(F.array_intersect("_w", F.coalesce("_known", F.array().cast("array<string>")))) / F.greatest(F.size("_w"), F.lit(1))
     cited = F.array_intersect("cited", F.coalesce("_urls", F.array().cast("array<string>")))
     return out.select(key, F.round(recall, 6).alias("recall"), (recall >= floor).alias("grounded"), cited.alias("cited"))
+
+
+def group_summaries(articles: DataFrame, n: int = 5, first: int = 5, chars: int = 500) -> DataFrame:
+    """group and summary over the first ``chars`` characters of its ``first`` newest articles (ties: article_id)."""
+    w = Window.partitionBy("group_id").orderBy(F.desc("publish_time"), "article_id")
+    top = articles.filter("group_id is not null").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= first)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.substring("body", 1, chars).alias("t")))), lambda e: e["t"]), " ")
+    return textrank(top.groupBy("group_id").agg(text.alias("text")), "group_id", "text", n)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources.tables import ago
 
-#: Short English stop words and news boilerplate; a table of more can be given.
-STOP = ("the", "is", "at", "which", "on", "and", "or", "but", "in", "to", "for", "of", "with", "as", "by", "an", "be", "this", "that", "it", "are", "was", "were", "been", "have", "has", "보도", "회의", "회견", "성명", "담화")
+#: English stop words; Korean particles, news boilerplate, media names and office words.
+STOP = ("the", "is", "at", "which", "on", "and", "or", "but", "in", "to", "for", "of", "with", "as", "by", "an", "be", "this", "that", "it", "are", "was", "were", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "from", "not", "no", "if", "then", "than", "so", "up", "out", "about", "into", "over", "after", "also", "its", "his", "her",
+        "것이", "하는", "있는", "하고", "에서", "으로", "이다", "했다", "되는", "하며", "그리고", "또한", "이를", "통해", "이번", "대한", "위해", "관련", "따르면", "밝혔다", "전했다",
+        "것으로", "지난", "올해", "오늘", "내년", "최근", "현재", "이후", "가운데", "사이", "가량", "정도", "이상", "미만", "대비", "전년", "분기", "한편", "이날",
+        "기자", "특파원", "뉴스", "연합뉴스", "한겨레", "매일경제", "조선일보", "중앙일보", "동아일보", "한국경제", "머니투데이", "아시아경제", "헤럴드경제",
+        "인사", "발표", "현황", "일정", "안내", "공지", "결과", "자료", "보도", "회의", "회견", "성명", "담화")
 DATE_LIKE = r"^\d+월\d*일?$|^\d{4}년$|^\d+월$|^\d+일$"
 LATIN, ANY_LETTER = "[a-zA-Z]{2,}", r"\p{L}{2,}"
 

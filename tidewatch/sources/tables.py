@@ -73,7 +73,10 @@ def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 #: Community to category.
-COMMUNITIES = {"technology": "tech", "programming": "tech", "worldnews": "politics", "politics": "politics", "sports": "sports", "science": "science", "business": "economy", "movies": "entertainment"}
+COMMUNITIES = {
+    "worldnews": "general", "news": "general", "korea": "general", "technology": "it", "programming": "it", "machinelearning": "it", "artificial": "it", "science": "it", "business": "economy", "stocks": "economy",
+    "cryptocurrency": "economy", "startups": "economy", "gaming": "entertainment", "entertainment": "entertainment", "movies": "entertainment", "television": "entertainment", "music": "entertainment", "kpop": "entertainment", "sports": "sports",
+}
 _TREND = ["platform", "keyword", "locale", "category", "score", "snapshot_at", "raw_data"]
 
 
