@@ -19,6 +19,7 @@ from tidewatch.operators import feeds as G
 from tidewatch.operators import keywords as D
 from tidewatch.operators import scoring as S
 from tidewatch.operators import series as R
+from tidewatch.params import Similarity
 from tidewatch.sources import tables as A
 
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -400,23 +401,24 @@ def items(t: Tables) -> DataFrame:
     return t.vectors.select(F.col("article_id").alias("item_id"), k.alias("keywords"), "published_at", "source_type", "embedding")
 
 
+LOOSE = Similarity(threshold=0.25)
 ITEMS = "items AS (SELECT article_id AS item_id, ['w7_' || (article_id % 7), 'w11_' || (article_id % 11), 'w13_' || (article_id % 13), 'w17_' || (article_id % 17)] AS k, published_at, source_type, CAST(embedding AS DOUBLE[]) AS e FROM vectors)"
 EDGES = f"""{ITEMS}, ed AS (SELECT x.item_id AS a, y.item_id AS b, 0.5 * list_cosine_similarity(x.e, y.e) + 0.25 * len(list_intersect(x.k, y.k)) / CAST(len(list_distinct(list_concat(x.k, y.k))) AS DOUBLE) + 0.15 * exp(-abs(epoch(x.published_at) - epoch(y.published_at)) / 86400)
- + 0.1 * CASE WHEN x.source_type IS NULL OR y.source_type IS NULL THEN 0.5 WHEN x.source_type = y.source_type THEN 1 ELSE 0 END AS weight FROM items x JOIN items y ON x.item_id < y.item_id AND len(list_intersect(x.k, y.k)) > 0), edges AS (SELECT * FROM ed WHERE weight >= 0.55)"""
+ + 0.1 * CASE WHEN x.source_type IS NULL OR y.source_type IS NULL THEN 0.5 WHEN x.source_type = y.source_type THEN 1 ELSE 0 END AS weight FROM items x JOIN items y ON x.item_id < y.item_id AND len(list_intersect(x.k, y.k)) > 0), edges AS (SELECT * FROM ed WHERE weight >= 0.25)"""
 
 
 @add("E4_similarity_edges", f"WITH {EDGES} SELECT a, b, round(weight, 6) AS weight FROM edges")
 def _(t):
-    return E.similarity_edges(items(t)).select("a", "b", r6("weight"))
+    return E.similarity_edges(items(t), LOOSE).select("a", "b", r6("weight"))
 
 
-@add("E5_match_groups", f"""WITH a AS (SELECT article_id, list_distinct(list_concat(list_transform(string_split(lower(kw), '|'), lambda x: x), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wa FROM (SELECT article_id, title, 'k' || (article_id % 7) || '|' || 'topic' || (article_id % 29) AS kw FROM articles WHERE group_id IS NULL)),
+@add("E5_match_groups", f"""WITH a AS (SELECT article_id, list_distinct(list_concat(list_transform(string_split(lower(kw), '|'), lambda x: x), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wa FROM (SELECT article_id, split_part(title, ' ', 1) AS title, 'k' || (article_id % 7) || '|' || 'topic' || (article_id % 29) AS kw FROM articles WHERE group_id IS NULL)),
 g AS (SELECT id, score, list_distinct(list_concat(list_transform(keywords, lambda x: lower(x)), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wg FROM groups WHERE created_at > {NOW} - INTERVAL 48 HOURS),
 m AS (SELECT article_id, id AS group_id, score, round(0.5 * len(list_intersect(wa, wg)) / CAST(len(list_distinct(list_concat(wa, wg))) AS DOUBLE), 9) AS similarity FROM a JOIN g ON len(list_intersect(wa, wg)) > 0)
-SELECT article_id, group_id, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.02 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY similarity DESC, score DESC, group_id) = 1""".replace("\\\\s", "\\s"))
+SELECT article_id, group_id, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.12 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY similarity DESC, score DESC, group_id) = 1""".replace("\\\\s", "\\s"))
 def _(t):
-    a = t.articles.filter("group_id is null").withColumn("keywords", F.array(F.concat(F.lit("k"), F.col("article_id") % 7), F.concat(F.lit("topic"), F.col("article_id") % 29)))
-    return E.match_groups(a, t.groups, AS_OF, 0.02, 48).select("article_id", "group_id", r6("similarity"))
+    a = t.articles.filter("group_id is null").withColumn("keywords", F.array(F.concat(F.lit("k"), F.col("article_id") % 7), F.concat(F.lit("topic"), F.col("article_id") % 29))).withColumn("title", F.split_part("title", F.lit(" "), F.lit(1)))
+    return E.match_groups(a, t.groups, AS_OF, 0.12, 48).select("article_id", "group_id", r6("similarity"))
 
 
 @add("E6_rescore_matched", "SELECT id, article_count, source_count, greatest(g.score, new_score) AS score, round(least(1.0, article_count / 10) * 0.4 + 0.3, 6) AS early_trend_score FROM groups g JOIN (SELECT group_id, count(*) AS article_count, count(DISTINCT source) AS source_count, CAST(max(article_id % 100) AS DOUBLE) AS new_score FROM articles WHERE group_id IS NOT NULL GROUP BY 1) n ON n.group_id = g.id")
@@ -430,7 +432,7 @@ CLOSED = "reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m
 @add("E7_topic_clusters")
 def _(t):
     it = items(t)
-    return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it))
+    return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it, LOOSE))
 
 
 @add("E8_communities")

@@ -12,26 +12,51 @@ from tidewatch.runtime import written
 from tidewatch.sources.tables import ago
 
 
+def _ranked_sets(rows: DataFrame, keys: list[str], word_keys: list[str]) -> DataFrame:
+    """``rows`` (keys and ``k``, a set of words) with ``k`` ordered from the words of fewest rows to those of most."""
+    each = rows.select(*keys, F.explode("k").alias("w"))
+    rank = each.groupBy(*word_keys, "w").agg(F.count(F.lit(1)).alias("df"))
+    return each.join(rank, [*word_keys, "w"]).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda e: e["w"]).alias("k"))
+
+
+def _prefix(floor: float) -> Column:
+    """The first n - ceil(floor * n) + 1 words: sets with that Jaccard share one of them."""
+    n = F.size("k")
+    return F.slice("k", 1, (n - F.ceil(n * floor - 1e-9) + 1).cast("int"))
+
+
+def _sizes_allow(floor: float) -> Column:
+    return F.least("na", "nb") >= F.greatest("na", "nb") * floor - 1e-9
+
+
 def keyword_pairs(items: DataFrame, id_col: str, floor: float, by: list[str] | None = None, keywords: str = "keywords") -> DataFrame:
     """Pairs (a, b), a < b, whose keyword sets have a Jaccard of at least ``floor`` > 0, with it as ``jaccard``; inside
-    equal ``by`` columns. Exact, by prefix filtering: with keywords ordered from rare to common, two such sets share one
-    of their first n - ceil(floor * n) + 1 keywords, so common keywords make few candidates."""
+    equal ``by`` columns. Exact, by prefix filtering: only the rarest words of each set make candidates, so common
+    keywords make few of them."""
     by = by or []
     rows = items.select(*by, F.col(id_col).alias("id"), F.array_distinct(F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: k.isNotNull())).alias("k")).filter("size(k) > 0")
-    each = rows.select(*by, "id", F.explode("k").alias("w"))
-    rank = each.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rank, [*by, "w"]).groupBy(*by, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda e: e["w"]).alias("k"))
-    ordered = written(ordered, "pairs-sets")
-    size = F.size("k")
-    head = F.slice("k", 1, (size - F.ceil(size * floor - 1e-9) + 1).cast("int"))
-    seek = ordered.select(*by, "id", size.alias("n"), F.explode(head).alias("w"))
+    ordered = written(_ranked_sets(rows, [*by, "id"], by), "pairs-sets")
+    seek = ordered.select(*by, "id", F.size("k").alias("n"), F.explode(_prefix(floor)).alias("w"))
     a, b = seek.withColumnsRenamed({"id": "a", "n": "na"}), seek.withColumnsRenamed({"id": "b", "n": "nb"})
-    pairs = a.join(b, [*by, "w"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * floor - 1e-9)).select(*by, "a", "b").distinct()
+    pairs = a.join(b, [*by, "w"]).filter((F.col("a") < F.col("b")) & _sizes_allow(floor)).select(*by, "a", "b").distinct()
     sets = ordered.select(*by, "id", "k")
     full = pairs.join(sets.withColumnsRenamed({"id": "a", "k": "ka"}), [*by, "a"]).join(sets.withColumnsRenamed({"id": "b", "k": "kb"}), [*by, "b"])
     return full.withColumn("jaccard", jaccard(F.col("ka"), F.col("kb"))).filter(F.col("jaccard") >= floor - 1e-12).select(*by, "a", "b", "jaccard")
 
 
+def set_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """Pairs (a of ``left``, b of ``right``; both id and ``k``) whose sets have a Jaccard of at least ``floor`` > 0, with
+    it as ``jaccard``. Exact, by prefix filtering as in :func:`keyword_pairs`."""
+    both = left.select(F.lit(0).alias("side"), F.col("id").cast("string").alias("id"), "k").unionByName(right.select(F.lit(1).alias("side"), F.col("id").cast("string").alias("id"), "k"))
+    ordered = written(_ranked_sets(both.filter("size(k) > 0"), ["side", "id"], []), "match-sets")
+    seek = ordered.select("side", "id", F.size("k").alias("n"), F.explode(_prefix(floor)).alias("w"))
+    a, b = (seek.filter(F.col("side") == i).drop("side").withColumnsRenamed({"id": x, "n": f"n{x}"}) for i, x in ((0, "a"), (1, "b")))
+    pairs = a.join(b, "w").filter(_sizes_allow(floor)).select("a", "b").distinct()
+    sa, sb = (ordered.filter(F.col("side") == i).select(F.col("id").alias(x), F.col("k").alias(f"k{x}")) for i, x in ((0, "a"), (1, "b")))
+    full = pairs.join(sa, "a").join(sb, "b").withColumn("jaccard", jaccard(F.col("ka"), F.col("kb"))).filter(F.col("jaccard") >= floor - 1e-12)
+    return full.select(F.col("a").cast(left.schema["id"].dataType).alias("a"), F.col("b").cast(right.schema["id"].dataType).alias("b"), "jaccard")
+
+
 def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame:
     """Pairs of items (item_id, keywords, published_at, source_type, embedding) whose composite similarity reaches the
     threshold, among pairs with a keyword Jaccard of at least ``p.early``. Blocking on keywords is exact for that bound;
@@ -61,22 +86,24 @@ def title_words(title: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
 
 
-def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float = 0.5, hours: int = 6) -> DataFrame:
+def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float = 0.5, hours: int = 6, min_jaccard: float = 0.1) -> DataFrame:
     """article, group and similarity of the best group of the last ``hours``, from ``threshold`` on.
 
     Sets are keywords and title words. Similarity is half Jaccard and half cosine where both sides have vectors
-    (``embedding``), else half Jaccard alone. Ties: higher group score, then id. Candidates share a word; without one
-    the Jaccard is 0 and the similarity can reach 0.5 only with equal vectors."""
-    words = lambda: F.array_union(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), title_words(F.col("title")))
+    (``embedding``), else half Jaccard alone, so that it must reach twice the threshold. With vectors a pair needs a
+    Jaccard of 2 * threshold - 1, and of ``min_jaccard`` at least. Ties: higher group score, then id."""
+    words = lambda: F.array_distinct(F.array_union(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), title_words(F.col("title"))))
     has = "embedding" in articles.columns and "embedding" in groups.columns
-    a = articles.select("article_id", words().alias("wa"), *([F.col("embedding").alias("ea")] if has else []))
-    g = groups.filter(F.col("created_at") > ago(as_of, hours * 3600)).select(F.col("id").alias("group_id"), words().alias("wg"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else []))
-    near = a.select("article_id", F.explode("wa").alias("w")).join(g.select("group_id", F.explode("wg").alias("w")), "w").select("article_id", "group_id").distinct()
-    rows = near.join(a, "article_id").join(g, "group_id")
-    sim = 0.5 * jaccard(F.col("wa"), F.col("wg")) + (0.5 * cosine(F.col("ea"), F.col("eg")) if has else F.lit(0.0))
+    recent = groups.filter(F.col("created_at") > ago(as_of, hours * 3600))
+    floor = max(2 * threshold - 1, min_jaccard) if has else 2 * threshold
+    near = set_matches(articles.select(F.col("article_id").alias("id"), words().alias("k")), recent.select("id", words().alias("k")), floor)
+    rows = near.join(recent.select(F.col("id").alias("b"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else [])), "b")
+    if has:
+        rows = rows.join(articles.select(F.col("article_id").alias("a"), F.col("embedding").alias("ea")), "a")
+    sim = 0.5 * F.col("jaccard") + (0.5 * cosine(F.col("ea"), F.col("eg")) if has else F.lit(0.0))
     rows = rows.withColumn("similarity", F.round(sim, 9)).filter(F.col("similarity") >= threshold)
-    w = Window.partitionBy("article_id").orderBy(F.desc("similarity"), F.desc("group_score"), "group_id")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("article_id", "group_id", "similarity")
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), F.desc("group_score"), "b")
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.col("a").alias("article_id"), F.col("b").alias("group_id"), "similarity")
 
 
 def rescore_matched(groups: DataFrame, matched: DataFrame) -> DataFrame:
