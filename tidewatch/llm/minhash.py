@@ -5,8 +5,9 @@ rounds T to 2T-1 fill one bin each for certain, so each coordinate is filled, ag
 equal to their Jaccard similarity, and concentrates like independent ones.
 
 Pairs are never made from all members of a bucket. Equal sets are one row. In each bucket the members are first held
-against one hub, the member with the smallest share of shingles of its own; whatever the links through hubs leave apart
-is compared pairwise only where the numbers of shared shingles allow a link at all.
+against one hub, the member with the smallest share of shingles of its own; members without enough shingles in common
+with others cannot link and go; whatever the links through hubs leave apart is compared block by block inside tasks,
+from which only links that join components come out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tidewatch.operators.components import connected_components
 from tidewatch.runtime import maybe_broadcast, written
 
 COORDINATES, BANDS = 128, 32
+BLOCK, OTHERS = 512, 2048  # documents of the two sides of a task that compares blocks
 SHARDS_OF = 8  # bits of a shingle's hash that choose its shard when shingles are counted
 
 
@@ -136,6 +138,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.filter(linked("set_a", "set_b")).select("a", "b")
 
 
+def linked_in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components inside buckets; ``apart`` has key, id, component.
+
+    Buckets that share members make one neighbourhood. Its documents outside its largest component, in blocks of BLOCK,
+    meet all its documents, in blocks of OTHERS, so every pair that shares a bucket and is not joined yet is counted on
+    full sets, inside one task for each two blocks. Only links that join two components still apart in the task leave
+    it: fewer than documents."""
+    first = apart.groupBy("key").agg(F.min("id").alias("m"))
+    near = connected_components(apart.join(first, "key").select("id", "m"), "id", "m").withColumnsRenamed({"node": "id", "component": "near"})
+    docs = apart.select("id", "component").distinct().join(near, "id")
+    sizes = docs.groupBy("near", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top")
+    sizes = sizes.groupBy("near").agg(top, F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    sizes = sizes.select("near", (-F.col("top.c")).alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("ks"), F.ceil(F.col("all") / OTHERS).alias("js"))
+    docs = written(docs.join(sizes, "near").join(sets, "id"), "near-blocks")
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = docs.filter("component <> main").select("near", slot("ks").alias("k"), every("js").alias("j"), F.lit(True).alias("few"), "id", "component", "set")
+    rest = docs.select("near", every("ks").alias("k"), slot("js").alias("j"), F.lit(False).alias("few"), "id", "component", "set")
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def count(x: pd.DataFrame) -> pd.DataFrame:
+        few, rest = x[x["few"]].sort_values("id"), x[~x["few"]].sort_values("id")
+        parent: dict = {}
+
+        def root(c):
+            while parent.setdefault(c, c) != c:
+                c = parent[c] = parent[parent[c]]
+            return c
+
+        out = []
+        if len(few):
+            own = [np.frombuffer(s, U) for s in few["set"]]
+            size = np.array([len(s) for s in own])
+            hashes, at = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(hashes, kind="stable")
+            hashes, at = hashes[order], at[order]
+            ids, parts = few["id"].tolist(), few["component"].tolist()
+            for i, c, s in zip(rest["id"].tolist(), rest["component"].tolist(), rest["set"]):
+                y = np.frombuffer(s, U)
+                low, high = np.searchsorted(hashes, y), np.searchsorted(hashes, y, "right")
+                lengths = high - low
+                where = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+                shared = np.bincount(at[where], minlength=len(own))
+                for k in np.flatnonzero(100 * shared >= percent * (size + len(y) - shared)).tolist():
+                    a, b = root(c), root(parts[k])
+                    if a != b:
+                        parent[a] = b
+                        out.append((i, ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return few.unionByName(rest).groupBy("near", "k", "j").applyInPandas(count, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, broadcast_limit: int = 32 << 20) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id of its component), ``kept``.
 
@@ -176,14 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that the hubs left in several parts
     placed = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    hub_part = hubs.select("key", F.col("hub.id").alias("hub_id")).join(label.withColumnRenamed("node", "hub_id").withColumnRenamed("component", "hub_component"), "hub_id", "left")
-    hub_part = hub_part.select("key", F.coalesce("hub_component", "hub_id").alias("hub_component"))
-    apart = written(placed.join(parts, "key", "left_semi").join(hub_part, "key"), "near-apart")
-    x, y = apart.filter("component <> hub_component").alias("x"), apart.alias("y")
-    rest = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.component <> y.component and (y.component = y.hub_component or x.id < y.id)")
-    rest = rest.filter(possible(F.col("x.n"), F.col("x.common"), F.col("y.n"), F.col("y.common")))
-    rest = rest.selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b").distinct()
-    more = written(verified(rest, sets, percent), "near-links")
+    apart = written(placed.join(parts, "key", "left_semi").select("key", "id", "component"), "near-apart")
+    more = written(linked_in_blocks(apart, sets, percent), "near-links")
     if not more.isEmpty():
         label = connected_components(links.unionByName(more), "a", "b")
 
