@@ -159,25 +159,17 @@ def refine_clusters(assigned: DataFrame, sigma: float = 1.0, item: str = "articl
 
 
 def silhouette(assigned: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: items, clusters and the mean silhouette with squared cosine distances, in linear time from cluster sums;
-    null under 2 clusters or 4 items. The distance of a point to a cluster is the mean of 1 - cosine to its members."""
-    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
-    unit = assigned.withColumn("_s", size).filter("_s > 0").select("cluster_id", F.transform(vector, lambda x: x.cast("double") / F.col("_s")).alias("u"))
-    sums = unit.select("cluster_id", F.posexplode("u").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"))
-    sums = sums.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
-    sums = sums.join(unit.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id").select(F.col("cluster_id").alias("other"), "total", "n")
-    rows = unit.withColumn("item", F.monotonically_increasing_id())
-    from tidewatch.runtime import maybe_broadcast
-
-    rows = written(rows, "silhouette-units").join(maybe_broadcast(written(sums, "silhouette-sums"), 4096))  # every item against every cluster's sum
-    d = F.aggregate(F.zip_with("u", "total", lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
-    own = F.col("cluster_id") == F.col("other")
-    near = rows.select("item", F.when(own & (F.col("n") > 1), (F.col("n") - d) / (F.col("n") - 1)).alias("a"), F.when(~own, 1 - d / F.col("n")).alias("b"))
-    each = near.groupBy("item").agg(F.max("a").alias("a"), F.min("b").alias("b"))
-    score = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    counts = unit.agg(F.countDistinct("cluster_id").alias("clusters"))
-    out = each.agg(F.count(F.lit(1)).alias("items"), F.avg(score).alias("s")).crossJoin(counts)  # one row each
-    return out.select("items", "clusters", F.when((F.col("clusters") >= 2) & (F.col("items") >= 4), F.col("s")).alias("silhouette"))
+    """One row: items, clusters and the mean cosine silhouette, by the evaluator of pyspark.ml, which compares items with
+    cluster sums; null under 2 clusters or 4 items. Zero vectors are left out."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    size = F.aggregate(vector, F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    rows = assigned.filter(size > 0).select(F.col("cluster_id").cast("double").alias("prediction"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    n = rows.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("prediction").alias("clusters")).first()
+    enough = n["clusters"] >= 2 and n["items"] >= 4
+    value = ClusteringEvaluator(distanceMeasure="cosine").evaluate(rows) if enough else None
+    return assigned.sparkSession.createDataFrame([(n["items"], n["clusters"], value)], "items long, clusters long, silhouette double")
 
 
 def meta_trends(groups: DataFrame, threshold: float = 0.2, keywords: int = 10) -> DataFrame:
