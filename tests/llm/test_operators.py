@@ -372,3 +372,24 @@ def test_licences(spark):
     assert got[3].licences == "CC-BY-NC-4.0,MIT" and got[9].licences == "Apache-2.0"
     assert not set(got) & {4, 5, 6, 7}
     assert licenses.scan_licences(df.limit(0)).count() == 0
+
+
+# nulls in any column
+
+
+def test_null_ids_and_columns(spark):
+    rows = [(None, "a text of some words here"), (1, None), (2, "a text of some words here"), (None, None), (2**60 + 1, "another text with other words"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tokenizer_path()
+    ids = {r[0] for r in rows}
+    for out in (
+        dedup_exact.exact_dedup(df), bpe.bpe_decode(bpe.bpe_encode(df, path), path), lm.score_texts(df), lm.score_texts(df, broadcast_limit=0), minhash.near_duplicates(df), media.sniff(media.store_texts(df)),
+        quality.score_quality(df, quality.fit_quality(df, df.selectExpr("doc_id", "cast(null as int) quality"))), pack.pack_documents(df, path),
+    ):
+        got = out.collect()
+        assert len(got) == len(rows) and {r.doc_id for r in got} == ids
+    assert licenses.scan_licences(df).count() == 0
+    for f in (dedup_exact.drop_copies, minhash.drop_near_copies):
+        out = f(df).collect()
+        assert 2**60 + 1 in {r.doc_id for r in out} and out[0].asDict().keys() == {"doc_id", "text"}
+    assert urls.judge_urls(spark.createDataFrame([(None, None)], "page_id long, url string"), urls.rule_table(spark)).count() == 1

@@ -169,7 +169,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     results (long texts need not have distinct ids). Other columns are ignored. Empty table: empty result.
     """
     source, id_type = Source(docs.sparkSession, path), docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = source.load()
@@ -196,12 +196,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         own = [np.frombuffer(y, "<u4") for y in x["ids"].iloc[::copies]]
         return pd.DataFrame({"id": [x["id"].iloc[0]] * copies, "ids": [bpe.tree(own).astype("<u4").tobytes()] * copies})
 
-    size, out = F.length(F.coalesce("text", F.lit(""))), f"id {id_type}, ids binary"
+    size, out = F.length(F.coalesce("text", F.lit(""))), "id string, ids binary"
     short = rows.filter(size <= segment).mapInPandas(whole, out)
-    pieces = rows.filter(size > segment).mapInPandas(cut, f"row string, id {id_type}, k long, text string")
-    pieces = pieces.repartition("row", "k").mapInPandas(encode_segments, f"row string, id {id_type}, k long, ids binary")
+    pieces = rows.filter(size > segment).mapInPandas(cut, "row string, id string, k long, text string")
+    pieces = pieces.repartition("row", "k").mapInPandas(encode_segments, "row string, id string, k long, ids binary")
     long = pieces.groupBy("row").applyInPandas(join_text, out)
-    return short.unionByName(long).select(F.col("id").alias(id_col), "ids")
+    return short.unionByName(long).select(F.col("id").cast(id_type).alias(id_col), "ids")
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -215,5 +215,5 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             for s in batches(rows):
                 yield x.iloc[s].assign(decoded=[bpe.decode(y or b"") for y in rows[s]])
 
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInPandas(decode, f"id {id_type}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    rows = encoded.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInPandas(decode, "id string, ids binary, decoded string").select(F.col("id").cast(id_type).alias(id_col), "ids", "decoded")

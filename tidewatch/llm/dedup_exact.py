@@ -57,6 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay. Repeated ids keep one row."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay. Rows that share an
+    id stay together if one of them does (ids are keys)."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -216,7 +216,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to learn from, N is 0 and every token is unknown. At any size all rows are counted and scored."""
     kind = docs.schema[id_col].dataType.simpleString()
     out_held = F.coalesce(held_out(id_col) if exclude is None else exclude, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), out_held.alias("held_out"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), out_held.alias("held_out"))
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     chars, most = size["chars"] or 0, (size["chars"] or 0) / 2 + size["n"]
     segments = 1 << max(0, int(np.ceil(np.log2(max(chars, 1) / SEGMENT_CHARS))))
@@ -224,12 +224,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = written(build_segments(count_corpus(rows, segments, whole)), "lm-segments")
     total = model.agg(F.sum("tokens"), F.sum("kinds"), F.sum("ends")).first()
     n, v, starts = (int(x or 0) for x in total)
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if whole:
         out = _by_broadcast(rows, model, segments, n, v, starts, schema)
     else:
         out = _by_routing(rows, model, segments, max(1, chars // BLOCK_CHARS), n, v, starts, schema)
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 
 def _by_broadcast(rows: DataFrame, model: DataFrame, segments: int, n: int, v: int, starts: int, schema: str) -> DataFrame:

@@ -70,8 +70,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     "keys": [k if m else None for k, m in zip(keys, sizes)],
                 })
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n long, digest binary, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, "id string, n long, digest binary, keys array<long>")
+    return out.withColumn("id", F.col("id").cast(kind))
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int, limit: int) -> DataFrame:
@@ -86,8 +87,8 @@ def set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shi
                 yield pd.DataFrame({"id": ids.iloc[start : start + len(texts)].to_numpy(), "set": [s.tobytes() for s in sets]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(maybe_broadcast(wanted.select("id"), 24, limit), "id", "left_semi")
-    return rows.mapInPandas(run, f"id {kind}, set binary")
+    rows = rows.join(maybe_broadcast(wanted.select("id"), 24, limit), "id", "left_semi").withColumn("id", F.col("id").cast("string"))
+    return rows.mapInPandas(run, "id string, set binary").withColumn("id", F.col("id").cast(kind))
 
 
 def own_counts(sets: DataFrame) -> DataFrame:
@@ -199,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lowered; words are runs without blank, tab, newline and their like. Fewer words than ``shingle``: all of
     them are one shingle. Null, empty and blank texts have no shingles and link with nothing. A pair at the threshold
     shares a bucket with a probability of 1 - (1 - 0.8^4)^32, all but 5 in 10^8 of them; every link is confirmed on full
-    sets. Rows that repeat an id count as one document and are ``kept`` alike (ids are keys). Other columns are ignored.
+    sets. Rows that repeat an id count as one document and are ``kept`` alike (ids are keys). A
+    row with a null id links with copies of its set alone. Other columns are ignored.
     An empty table gives an empty table.
     """
     sk = written(sketches(docs, id_col, text_col, shingle), "near-sketches")
@@ -240,10 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_rep = reps.join(label, reps.rep == label.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     filled = sk.filter("digest is not null").select("id", "n", "digest").join(of_rep, "digest").select("id", "n", "component")
     out = filled.unionByName(sk.filter("digest is null").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

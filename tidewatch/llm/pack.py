@@ -44,9 +44,9 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(cut, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(cut, "id string, piece int, start long, length long, ids_crc32 long")
+    return out.select(F.col("id").cast(id_type).alias(id_col), "piece", "start", "length", "ids_crc32")
 
 
 class Histogram:
