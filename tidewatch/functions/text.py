@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 URL = r"(?i)https?://[^\s<>\"')\]]+"
 EMAIL = r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 TAG = r"<[^>]+>"
-SPECIAL = r"(?U)[^\w\s가-힣ㄱ-ㅎㅏ-ㅣぁ-ゟ゠-ヿ一-鿿.,!?;:()\"'\-–—…·]"
+SPECIAL = r"[^\p{L}\p{N}_\p{IsWhite_Space}.,!?;:()\"'\-–—…·]"
 #: Spam patterns.
 SPAM_URL = r"(?i)https?://[^\s]+"
 PHONE = r"0\d{1,2}[-.\s]?\d{3,4}[-.\s]?\d{4}"
@@ -45,7 +45,7 @@ def normalize_text(text: Column, max_length: int = 0) -> Column:
     """Entities, tags, NFC, URLs, e-mails, other signs, runs of a character over two, white space, in that order; cut at
     a word if ``max_length`` is given. Null gives an empty string."""
     x = _plain(text)
-    for pattern, to in ((URL, ""), (EMAIL, ""), (SPECIAL, " "), (r"(?s)([^\n])\1{2,}", "$1$1"), (r"(?U)\s+", " ")):
+    for pattern, to in ((URL, ""), (EMAIL, ""), (SPECIAL, " "), (r"(?s)([^\n])\1{2,}", "$1$1"), (r"\p{IsWhite_Space}+", " ")):
         x = F.regexp_replace(x, pattern, to)
     x = F.trim(x)
     if max_length:
