@@ -20,6 +20,7 @@ from tidewatch.operators import keywords as D
 from tidewatch.operators import scoring as S
 from tidewatch.operators import series as R
 from tidewatch.params import Similarity
+from tidewatch.runtime import written
 from tidewatch.sources import tables as A
 
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -323,7 +324,8 @@ def _(t):
 
 
 def tagged(t: Tables) -> DataFrame:
-    return t.articles.join(D.extract_keywords(t.articles), "article_id")
+    rows = t.articles.select("article_id", "group_id", "title", "body")
+    return written(rows.select("article_id", "group_id").join(D.extract_keywords(rows), "article_id"), "tagged")
 
 
 KW_ROWS = f"{KEYWORDS}, ak AS (SELECT DISTINCT group_id, article_id, unnest(string_split(keywords, '|')) AS keyword FROM articles JOIN kw USING (article_id) WHERE group_id IS NOT NULL)"

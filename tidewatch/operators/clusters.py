@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim
+from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim, unit, unit_cosine
 from tidewatch.operators.components import connected_components
 from tidewatch.params import Similarity
 from tidewatch.runtime import written
@@ -63,9 +63,9 @@ def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame
     a pair that shares no keyword and passes by its vectors alone is not found here (see :func:`vector_pairs`)."""
     p = p or Similarity()
     pairs = keyword_pairs(items, "item_id", p.early)
-    side = lambda s: items.select(F.col("item_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("published_at", "source_type", "embedding")])
+    side = lambda s: items.select(F.col("item_id").alias(s), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = p.cosine * cosine(F.col("embedding_a"), F.col("embedding_b")) + p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
+    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
     return rows.select("a", "b", total.alias("weight")).filter(F.col("weight") >= p.threshold)
 
 
