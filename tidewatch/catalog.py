@@ -240,7 +240,10 @@ def _(t):
     return t.posts.select("id", T.is_question(F.col("keyword")).alias("question"))
 
 
-@add("B15_textrank")
+@add("B15_textrank", r"""WITH top AS (SELECT group_id, body, row_number() OVER (PARTITION BY group_id ORDER BY publish_time DESC, article_id) AS r FROM articles WHERE group_id IS NOT NULL), txt AS (SELECT group_id, string_agg(substr(body, 1, 500), ' ' ORDER BY r) AS t FROM top WHERE r <= 5 GROUP BY 1),
+p AS (SELECT group_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM txt), s AS (SELECT group_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM p), w AS (SELECT *, list_distinct(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+')) AS w FROM s),
+r AS (SELECT x.group_id, x.i, x.s, round(sum(CASE WHEN x.i = y.i THEN 0 ELSE len(list_intersect(x.w, y.w)) / greatest(len(list_distinct(list_concat(x.w, y.w))), 1) END), 9) AS sc FROM w x JOIN w y USING (group_id) GROUP BY 1, 2, 3), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY sc DESC, i) <= 5)
+SELECT group_id, string_agg(s, ' ' ORDER BY i) AS summary FROM b GROUP BY 1""".replace("\\\\", "\\"))
 def _(t):
     return T.group_summaries(t.articles)
 
@@ -431,13 +434,18 @@ def _(t):
 CLOSED = "reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m FROM reach r JOIN both_ b ON b.a = r.m), label AS (SELECT n, min(m) AS component FROM reach GROUP BY n)"
 
 
-@add("E7_topic_clusters")
+@add("E7_topic_clusters", f"WITH RECURSIVE {EDGES}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), {CLOSED} SELECT item_id, coalesce(component, item_id) AS cluster_id FROM items LEFT JOIN label ON n = item_id")
 def _(t):
     it = items(t)
     return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it, LOOSE))
 
 
-@add("E8_communities")
+def _rounds(n: int) -> str:
+    step = "l{k} AS (SELECT node, label FROM (SELECT node, label, round(sum(w), 9) AS w FROM (SELECT e.a AS node, l.label, e.weight AS w FROM bw e JOIN l{j} l ON l.node = e.b UNION ALL SELECT node, label, 1.0 FROM l{j}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1)"
+    return ", ".join(["bw AS (SELECT a, b, jaccard AS weight FROM pairs WHERE jaccard >= 0.2 UNION ALL SELECT b, a, jaccard FROM pairs WHERE jaccard >= 0.2)", "l0 AS (SELECT DISTINCT a AS node, a AS label FROM bw)", *(step.format(k=k, j=k - 1) for k in range(1, n + 1))])
+
+
+@add("E8_communities", f"WITH {PAIRS}, {_rounds(5)} SELECT node, label AS community FROM l5")
 def _(t):
     return E.communities(group_pairs(t).select("a", "b", F.col("jaccard").alias("weight")))
 

@@ -169,7 +169,7 @@ def textrank(articles: DataFrame, id_col: str, text: str, n: int = 5) -> DataFra
     order. Sentences are paired inside their document row, so nothing is shuffled and no pairs leave the row; the work is
     quadratic in the sentences of one row, so give it texts of bounded length, as :func:`group_summaries` does."""
     sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    items = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"(?U)(\w+)"), 1)).alias("w")))
+    items = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("w")))
 
     def near(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a["w"], b["w"])) / F.greatest(F.size(F.array_union(a["w"], b["w"])), F.lit(1))
