@@ -178,6 +178,19 @@ def test_components_of_paths_and_stars(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    import random
+
+    from tidewatch.operators.components import connected_components
+
+    rnd = random.Random(8)
+    nodes = rnd.sample(range(1000, 9000), 200)
+    tree = [(nodes[i], nodes[rnd.randrange(max(0, i - 3), i)]) for i in range(1, 200)]  # deep, ids in no order
+    edges = [(i, i + 1) for i in range(299)] + tree + [(10000 + i, 20000 - i) for i in range(50)] + [(20000 - i, 10001 + i) for i in range(49)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {n: min(nodes) for n in nodes} | {n: 10000 for e in edges if e[0] >= 10000 for n in e}
+
+
 def test_keyword_pairs_are_exact(spark):
     import random
 

@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from tidewatch.runtime import written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label every node that has an edge with the smallest node of its component: ``(node, component)``.
 
-    Each round hooks every node to its smallest neighbour and contracts the edges, so the edge table shrinks at least
-    by half its nodes. The hub of a star is pre-aggregated map-side. Nulls and self loops are ignored; repeated edges
-    count once. An empty table gives an empty table. Only the number of edges left comes to the driver.
+    Each round every node picks its smallest neighbour, larger or not. Picks run along ever smaller edges into a pair
+    that picked each other, whose smaller node is the smallest of the tree; pointers are doubled until all nodes point
+    to it, and the edges contracted. Every tree has two nodes or more, so a round at least halves the nodes: both loops
+    are logarithmic and run until nothing is left, also on long paths. The hub of a star is pre-aggregated map-side.
+    Nulls and self loops are ignored; repeated edges count once. An empty table gives an empty table. Only whether
+    anything is left comes to the driver.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     e = written(e.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "edges")
     label = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         both = e.unionByName(e.selectExpr("b a", "a b"))
-        hook = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).selectExpr("v", "least(v, m) m"), "hook")
+        pick = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")), "pick")
+        # the pick's pick is v itself where two picked each other: the smaller one is the root
+        hook = written(pick.join(pick.selectExpr("v m", "m g"), "m").selectExpr("v", "least(m, g) m"), "hook")
+        moved = True
+        while moved:
+            hook = written(hook.join(hook.selectExpr("v m", "m g"), "m").selectExpr("v", "g m", "g <> m moved"), "hook")
+            moved, hook = not hook.filter("moved").isEmpty(), hook.select("v", "m")
         if label is None:
             label = hook.selectExpr("v node", "m component")
         else:
@@ -31,8 +38,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         left, right = hook.selectExpr("v a", "m ma"), hook.selectExpr("v b", "m mb")
         e = e.join(left, "a").join(right, "b").filter("ma <> mb").selectExpr("least(ma, mb) a", "greatest(ma, mb) b").distinct()
         e = written(e, "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if label is None:
         kind = edges.schema[src].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
