@@ -202,6 +202,38 @@ def test_keyword_pairs_are_exact(spark):
         assert {(r.a, r.b) for r in E.keyword_pairs(df, "id", floor).collect()} == want
 
 
+def test_similarity_edges_need_no_shared_keyword(spark, monkeypatch):
+    import math
+    import random
+
+    from tidewatch.params import Similarity
+
+    monkeypatch.setattr(E, "BLOCK", 16)  # several blocks
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        v = [None, [], [0.0, 0.0, 0.0]][i] if i < 3 else [rnd.gauss(0, 1) for _ in range(2 if i % 9 == 0 else 3)]
+        at = None if i % 13 == 0 else AT - dt.timedelta(hours=rnd.randrange(48))
+        rows.append((i, None if i % 11 == 0 else rnd.sample("abcdefghijklmnop", rnd.randint(0, 4)), at, rnd.choice(["x", "y", None, ""]), v))
+
+    def total(a, b, p):
+        (x, y), (s, t) = (set(r[1] or []) for r in (a, b)), (a[3] or "", b[3] or "")
+        j = len(x & y) / len(x | y) if x and y else 0.0
+        if j < p.early and (a[4] is None or b[4] is None):
+            return -1
+        v, w = a[4] or [], b[4] or []
+        size = math.hypot(*v) * math.hypot(*w)
+        c = sum(f * g for f, g in zip(v, w)) / size if len(v) == len(w) and size else 0.0
+        near = math.exp(-abs((a[2] - b[2]).total_seconds()) / 86400) if a[2] and b[2] else 0.0
+        return p.cosine * c + p.jaccard * j + p.time * near + p.source * (0.5 if not s or not t else float(s == t))
+
+    df = spark.createDataFrame(rows, "item_id int, keywords array<string>, published_at timestamp, source_type string, embedding array<double>")
+    for p in (Similarity(), Similarity(threshold=0.25)):
+        want = {(a[0], b[0]): total(a, b, p) for a, b in itertools.combinations(rows, 2) if total(a, b, p) >= p.threshold}
+        assert {(r.a, r.b): r.weight for r in E.similarity_edges(df, p).collect()} == pytest.approx(want)
+    assert any(not set(rows[a][1] or []) & set(rows[b][1] or []) for a, b in want)
+
+
 def test_timeline_and_feed(spark):
     a = spark.createDataFrame([(1, "g", "s1", AT - dt.timedelta(minutes=30)), (2, "g", "s2", AT), (3, "g", "s1", AT - dt.timedelta(days=3)), (4, None, "s", AT)], "article_id int, group_id string, source string, publish_time timestamp")
     got = G.timeline(a, spark.createDataFrame([("g",), ("h",)], "id string"), "15m", NOW).collect()

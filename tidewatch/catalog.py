@@ -414,7 +414,7 @@ EDGES = f"""{ITEMS}, ed AS (SELECT x.item_id AS a, y.item_id AS b, 0.5 * list_co
 
 @add("E4_similarity_edges", f"WITH {EDGES} SELECT a, b, round(weight, 6) AS weight FROM edges")
 def _(t):
-    return E.similarity_edges(items(t), LOOSE).select("a", "b", r6("weight"))
+    return E.similarity_edges(items(t), LOOSE, shared_only=True).select("a", "b", r6("weight"))  # as the SQL: pairs that share a keyword
 
 
 @add("E5_match_groups", f"""WITH a AS (SELECT article_id, list_distinct(list_concat(list_transform(string_split(lower(kw), '|'), lambda x: x), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wa FROM (SELECT article_id, split_part(title, ' ', 1) AS title, 'k' || (article_id % 7) || '|' || 'topic' || (article_id % 29) AS kw FROM articles WHERE group_id IS NULL)),
@@ -437,7 +437,7 @@ CLOSED = "reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m
 @add("E7_topic_clusters", f"WITH RECURSIVE {EDGES}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), {CLOSED} SELECT item_id, coalesce(component, item_id) AS cluster_id FROM items LEFT JOIN label ON n = item_id")
 def _(t):
     it = items(t)
-    return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it, LOOSE))
+    return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it, LOOSE, shared_only=True))
 
 
 def _rounds(n: int) -> str:

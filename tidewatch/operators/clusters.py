@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from tidewatch.params import Similarity
 from tidewatch.runtime import written
 from tidewatch.sources.tables import ago
 
+#: Rows of a block where all pairs of two blocks meet in one task.
+BLOCK = 1024
+
 
 def _ranked_sets(rows: DataFrame, keys: list[str], word_keys: list[str]) -> DataFrame:
     """``rows`` (keys and ``k``, a set of words) with ``k`` ordered from the words of fewest rows to those of most."""
@@ -57,15 +62,67 @@ def set_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     return full.select(F.col("a").cast(left.schema["id"].dataType).alias("a"), F.col("b").cast(right.schema["id"].dataType).alias("b"), "jaccard")
 
 
-def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame | None, near: Callable) -> DataFrame:
+    """Pairs (a of ``left``, b of ``right``) that ``near(x, y, cosines)`` accepts. Rows have id, ``unit`` (:func:`unit`
+    vectors) and what ``near`` reads; it gets two blocks as pandas frames with the matrix of their cosines (0 where one is
+    missing or sizes differ) and gives a boolean matrix. ``right`` None: pairs a < b of ``left``. Exact: every pair
+    meets in one task, a matrix product for each two blocks, so rows are copied and work grows with their square."""
+    import numpy as np
+    import pandas as pd
+
+    same = right is None
+    left = written(left, "block-rows")
+    right = left if same else written(right, "block-rows")
+    n, m = (max(1, -(-rows.count() // BLOCK)) for rows in (left, right))
+    slot = lambda k: F.pmod(F.xxhash64("id"), F.lit(k).cast("long"))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    first, last = F.lit(0).cast("long"), lambda k: F.lit(k - 1).cast("long")
+    x = left.withColumn("i", slot(n)).withColumn("j", every(F.col("i") if same else first, last(m)))
+    y = right.withColumn("j", slot(m)).withColumn("i", every(first, F.col("j") if same else last(n)))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        cosines = np.zeros((len(x), len(y)))
+        dx, dy = (np.array([0 if v is None else len(v) for v in part["unit"]], dtype=int) for part in (x, y))
+        for d in set(dx.tolist()) & set(dy.tolist()) - {0}:
+            ix, iy = np.flatnonzero(dx == d), np.flatnonzero(dy == d)
+            cosines[np.ix_(ix, iy)] = np.stack(x["unit"].iloc[ix].tolist()) @ np.stack(y["unit"].iloc[iy].tolist()).T
+        i, j = np.nonzero(near(x, y, cosines)) if cosines.size else ([], [])
+        return pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array})
+
+    kind = lambda rows: rows.schema["id"].dataType.simpleString()
+    pairs = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, f"a {kind(left)}, b {kind(right)}")
+    return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct() if same else pairs.distinct()
+
+
+def similar_by_vectors(items: DataFrame, p: Similarity) -> DataFrame:
+    """Pairs (a, b) of items with vectors that can reach the threshold though their keyword Jaccard is under ``p.early``."""
+    import numpy as np
+
+    floor, cos, time, source = p.threshold - p.jaccard * p.early - 1e-9, p.cosine, p.time, p.source
+
+    def near(x, y, cosines):
+        hours = np.abs(x["at"].to_numpy(float)[:, None] - y["at"].to_numpy(float)[None, :]) / 3600
+        sx, sy = x["source"].to_numpy(object)[:, None], y["source"].to_numpy(object)[None, :]
+        alike = np.where((sx == "") | (sy == ""), 0.5, sx == sy)
+        return cos * cosines + time * np.nan_to_num(np.exp(-hours / 24)) + source * alike >= floor
+
+    rows = items.filter("embedding is not null").select(F.col("item_id").alias("id"), unit(F.col("embedding")).alias("unit"), F.col("published_at").cast("double").alias("at"), F.coalesce("source_type", F.lit("")).alias("source"))
+    return block_pairs(rows, None, near)
+
+
+def similarity_edges(items: DataFrame, p: Similarity | None = None, shared_only: bool = False) -> DataFrame:
     """Pairs of items (item_id, keywords, published_at, source_type, embedding) whose composite similarity reaches the
-    threshold, among pairs with a keyword Jaccard of at least ``p.early``. Blocking on keywords is exact for that bound;
-    a pair that shares no keyword and passes by its vectors alone is not found here (see :func:`vector_pairs`)."""
+    threshold. The early filter (a keyword Jaccard of ``p.early``) holds only where a vector is missing: the others also
+    meet in blocks of vectors, exactly (:func:`block_pairs`). ``shared_only``: the early filter for all pairs, a smaller
+    result whose pairs share keywords, without the quadratic part."""
     p = p or Similarity()
-    pairs = keyword_pairs(items, "item_id", p.early)
-    side = lambda s: items.select(F.col("item_id").alias(s), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
+    pairs = keyword_pairs(items, "item_id", p.early).select("a", "b")
+    if not shared_only:
+        pairs = pairs.unionByName(similar_by_vectors(items, p)).distinct()
+    words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull())
+    side = lambda s: items.select(F.col("item_id").alias(s), words.alias(f"k_{s}"), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
+    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * jaccard(F.col("k_a"), F.col("k_b")) + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
     return rows.select("a", "b", total.alias("weight")).filter(F.col("weight") >= p.threshold)
 
 
