@@ -60,6 +60,42 @@ def test_pipeline_stream(spark, tmp_path):
     assert got == article_pipeline(a, AS_OF).select("group_id", "score").orderBy("group_id").collect()
 
 
+def test_pipeline_stream_over_two_batches(spark, tmp_path):
+    import datetime as dt
+
+    from tidewatch.adapters import AS_OF
+    from tidewatch.streaming.streams import newest_groups, start_pipeline
+
+    schema = "article_id long, url string, title string, body string, source string, locale string, category string, publish_time timestamp"
+    at = dt.datetime(2024, 1, 30, 23)
+    flood, comet = "river flood valley bridge rescue", "comet telescope orbit tail astronomer"
+
+    def row(i, words, url=None, more=""):
+        return (i, url or f"https://a.example/{i}", words, f"{words} {words} {words}{more}", f"s{i}", "en", "general", at + dt.timedelta(minutes=i))
+
+    first = [row(1, flood), row(2, flood, more=" once"), row(3, comet)]
+    second = [
+        row(4, flood, more=" twice"),  # of the group that is there
+        row(5, "harvest grain tractor field barn", "https://a.example/1"),  # a known url
+        row(6, comet),  # a known text
+        row(7, "opera tenor stage chorus violin"),  # a group of its own
+        row(8, "funeral obituary mourners chapel wreath"),  # off topic
+    ]
+    ran = []
+    for name, parts in (("two", (first, second)), ("one", (first + second,))):
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            paths = [str(tmp_path / name / x) for x in ("in", "out", "state")]
+            start_pipeline(spark, *paths, spark.createDataFrame([], schema).schema, lambda: AS_OF, off_topic=("funeral", "obituary")).awaitTermination()
+        rows = spark.read.parquet(paths[1])
+        ran.append({r.group_id: (r.article_count, r.source_count) for r in newest_groups(rows).collect()})
+        if name == "two":
+            assert {(r.group_id, r.batch) for r in rows.collect()} == {(1, 0), (3, 0), (1, 1), (7, 1)}
+            scores = [r.score for r in rows.filter("group_id = 1").orderBy("batch").collect()]
+            assert scores[1] >= scores[0]
+    assert ran[0] == ran[1] == {1: (3, 3), 3: (1, 1), 7: (1, 1)}
+
+
 def test_without_the_llm_package(spark):
     import __spark_entry__ as entry
 
