@@ -234,6 +234,38 @@ def test_similarity_edges_need_no_shared_keyword(spark, monkeypatch):
     assert any(not set(rows[a][1] or []) & set(rows[b][1] or []) for a, b in want)
 
 
+def test_match_groups_by_vectors_alone(spark, monkeypatch):
+    import math
+    import random
+
+    monkeypatch.setattr(E, "BLOCK", 8)  # several blocks
+    rnd = random.Random(3)
+    words = ["storm", "river", "comet", "grain", "opera", "engine", "harbour", "market"]
+    vector = lambda i: None if i % 10 == 9 else [rnd.gauss(0, 1) for _ in range(3)]
+    rows = [(i, rnd.sample(words, rnd.randint(0, 4)) if i % 8 else [], "12" if i % 8 == 0 else rnd.choice(words), vector(i)) for i in range(1, 41)]
+    groups = [(f"g{i}", rnd.sample(words, rnd.randint(0, 5)), rnd.choice(words), float(i % 5), AT - dt.timedelta(hours=1), vector(i)) for i in range(30)]
+    a = spark.createDataFrame(rows, "article_id int, keywords array<string>, title string, embedding array<double>")
+    g = spark.createDataFrame(groups, "id string, keywords array<string>, title string, score double, created_at timestamp, embedding array<double>")
+    far = 0
+    for threshold in (0.3, 0.5, 0.6):
+        want = {}
+        for i, k, t, v in rows:
+            x = set(k) | ({t} if not t.isdigit() else set())
+            best = []
+            for n, gk, gt, score, _, w in groups if x else []:
+                y = set(gk) | {gt}
+                j = len(x & y) / len(x | y)
+                c = sum(p * q for p, q in zip(v, w)) / math.hypot(*v) / math.hypot(*w) if v and w else 0.0
+                best.append((-round(0.5 * j + 0.5 * c, 9), -score, n, j))
+            if best and -min(best)[0] >= threshold:
+                want[i] = (min(best)[2], -min(best)[0])
+                far += min(best)[3] < 0.1
+        got = {r.article_id: (r.group_id, r.similarity) for r in E.match_groups(a, g, NOW, threshold).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
+        assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
+    assert far  # such matches were lost
+
+
 def test_timeline_and_feed(spark):
     a = spark.createDataFrame([(1, "g", "s1", AT - dt.timedelta(minutes=30)), (2, "g", "s2", AT), (3, "g", "s1", AT - dt.timedelta(days=3)), (4, None, "s", AT)], "article_id int, group_id string, source string, publish_time timestamp")
     got = G.timeline(a, spark.createDataFrame([("g",), ("h",)], "id string"), "15m", NOW).collect()

@@ -146,15 +146,24 @@ def title_words(title: Column) -> Column:
 def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float = 0.5, hours: int = 6, min_jaccard: float = 0.1) -> DataFrame:
     """article, group and similarity of the best group of the last ``hours``, from ``threshold`` on.
 
-    Sets are keywords and title words. Similarity is half Jaccard and half cosine where both sides have vectors
-    (``embedding``), else half Jaccard alone, so that it must reach twice the threshold. With vectors a pair needs a
-    Jaccard of 2 * threshold - 1, and of ``min_jaccard`` at least. Ties: higher group score, then id."""
+    Sets are keywords and title words; articles without any match nothing. Similarity is half Jaccard and half cosine
+    where both sides have vectors (``embedding``), else half Jaccard alone, so that it must reach twice the threshold.
+    Candidates have a Jaccard of 2 * threshold - 1, and of ``min_jaccard`` at least; where that is more than the bound,
+    pairs with vectors also meet in blocks (:func:`block_pairs`), so that none reaching the threshold is lost.
+    Ties: higher group score, then id."""
     words = lambda: F.array_distinct(F.array_union(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), title_words(F.col("title"))))
     has = "embedding" in articles.columns and "embedding" in groups.columns
     recent = groups.filter(F.col("created_at") > ago(as_of, hours * 3600))
-    floor = max(2 * threshold - 1, min_jaccard) if has else 2 * threshold
-    near = set_matches(articles.select(F.col("article_id").alias("id"), words().alias("k")), recent.select("id", words().alias("k")), floor)
-    rows = near.join(recent.select(F.col("id").alias("b"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else [])), "b")
+    floor = max(2 * threshold - 1, min(min_jaccard, 2 * threshold)) if has else 2 * threshold
+    left, right = articles.select(F.col("article_id").alias("id"), words().alias("k")), recent.select("id", words().alias("k"))
+    rows = set_matches(left, right, floor)
+    if has and floor > 2 * threshold - 1:
+        least = 2 * threshold - floor - 1e-9  # of the cosine, under the Jaccard floor
+        units = lambda rows, key: rows.filter("embedding is not null").select(F.col(key).alias("id"), words().alias("k"), unit(F.col("embedding")).alias("unit"))
+        by_vector = block_pairs(units(articles, "article_id").filter("size(k) > 0").drop("k"), units(recent, "id").drop("k"), lambda x, y, cosines: cosines >= least)
+        pairs = rows.select("a", "b").unionByName(by_vector).distinct()
+        rows = pairs.join(left.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(right.withColumnsRenamed({"id": "b", "k": "kb"}), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
+    rows = rows.join(recent.select(F.col("id").alias("b"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else [])), "b")
     if has:
         rows = rows.join(articles.select(F.col("article_id").alias("a"), F.col("embedding").alias("ea")), "a")
     sim = 0.5 * F.col("jaccard") + (0.5 * cosine(F.col("ea"), F.col("eg")) if has else F.lit(0.0))
