@@ -116,13 +116,15 @@ def similarity_edges(items: DataFrame, p: Similarity | None = None, shared_only:
     meet in blocks of vectors, exactly (:func:`block_pairs`). ``shared_only``: the early filter for all pairs, a smaller
     result whose pairs share keywords, without the quadratic part."""
     p = p or Similarity()
-    pairs = keyword_pairs(items, "item_id", p.early).select("a", "b")
+    pairs = keyword_pairs(items, "item_id", p.early)
     if not shared_only:
-        pairs = pairs.unionByName(similar_by_vectors(items, p)).distinct()
-    words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull())
-    side = lambda s: items.select(F.col("item_id").alias(s), words.alias(f"k_{s}"), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
+        words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull())
+        named = lambda s: items.select(F.col("item_id").alias(s), words.alias(f"k{s}"))
+        far = similar_by_vectors(items, p).join(named("a"), "a").join(named("b"), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
+        pairs = pairs.unionByName(far.filter(F.col("jaccard") < p.early - 1e-12))
+    side = lambda s: items.select(F.col("item_id").alias(s), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * jaccard(F.col("k_a"), F.col("k_b")) + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
+    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
     return rows.select("a", "b", total.alias("weight")).filter(F.col("weight") >= p.threshold)
 
 
