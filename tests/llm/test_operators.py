@@ -23,153 +23,10 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-@pytest.fixture(scope="session")
-def texts():
-    rnd = random.Random(5)
-    base = [" ".join(rnd.choice(["the", "of", "Über", "näher", "code", "x9", "日本", "re-do", "a"]) + str(rnd.randint(0, 40)) for _ in range(rnd.randint(5, 90))) for _ in range(40)]
-    out = base + [None, "", " \n\t", "one", "one two", base[0], base[0].upper(), base[1].replace(" ", "\n"), "w " * 3000]
-    for b in base[:12]:
-        w = b.split()
-        for _ in range(4):
-            v = list(w)
-            v[rnd.randrange(len(v))] = "changed%d" % rnd.randint(0, 9)
-            out.append(" ".join(v))
-    return dict(enumerate(out))
-
-
-@pytest.fixture(scope="session")
-def docs(spark, texts):
-    rows = [(i, t, "en", "s", len(t or ""), "extra", 1.0) for i, t in texts.items()]
-    # names that the operators use inside must not clash
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, n double").repartition(5)
-
-
 def empty(docs):
     return docs.limit(0)
 
 
-# 1 chat
-
-
-def test_chat_round_trip(spark):
-    turns = [(1, 0, "system", "be <s> good"), (1, 1, "user", PLANTED), (1, 2, "assistant", "a\\[INST]\\\\"), (2, 0, "assistant", None), (2, 1, None, "x"), (2, 1, "tool", "[ROLE] y [:]"), (3, 0, "user", ""), (3, 1, "assistant", PLANTED), (None, None, "user", "z")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit("clash")).withColumn("pos", F.lit(9))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
-    by = collections.defaultdict(list)
-    for c, t, r, x in turns:
-        by[c].append((t, r or "", x or ""))
-    assert set(got) == set(by)
-    for c, rows in by.items():
-        rows = sorted(rows, key=lambda x: (x[0] is not None, x))
-        loss = "".join(x for _, r, x in rows if r == "assistant")
-        assert got[c].n_turns == len(rows)
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in rows).encode()).hexdigest()
-        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert got[1].valid and got[3].valid and not got[2].valid and got[2].first_error == "order"
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
-
-
-def test_chat_escapes_are_reversible():
-    template, rnd = chat.ChatTemplate(), random.Random(1)
-    bits = [*template.controls, "\\", "<", "[", "]", "a", "\n", "INST]"]
-    for _ in range(300):
-        turns = [(rnd.choice(["user", "assistant", "system", "x[y", ""]), "".join(rnd.choices(bits, k=rnd.randint(0, 9)))) for _ in range(rnd.randint(1, 5))]
-        formatted = "".join(s for r, t in turns for s, _ in template.segments(r, t))
-        assert template.parse(formatted) == turns
-
-
-# 2 media
-
-
-def test_media_payload(docs, texts):
-    out = media.wave_features(media.sniff(media.store_texts(docs), "blob", "declared")).collect()
-    assert len(out) == len(texts)
-    for r in out:
-        raw = (texts[r.doc_id] or "").encode()
-        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        stored = media.wav(payload)
-        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert r.sniffed.corrected == "audio/wav" and r.sniffed.mismatch
-
-
-def png():
-    def chunk(kind, body):
-        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
-
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
-
-
-def test_sniff_and_carve(spark):
-    import gzip
-    import io
-    import zipfile
-
-    z = io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("a.txt", "hello")
-    gif = b"GIF89a\1\0\1\0\0\0\0" + b"\x2c\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
-    made = {"image/png": png(), "image/gif": gif, "application/gzip": gzip.compress(b"x" * 99), "application/zip": z.getvalue(), "audio/wav": media.wav(b"abc"), "application/pdf": b"%PDF-1.4\nstartxref\n0\n%%EOF"}
-    for kind, blob in made.items():
-        assert media.scan(blob)[0] == (0, kind, len(blob)), kind
-        assert (7, kind, len(blob)) in media.scan(b"BMRIFF?" + blob + b"tail"), kind
-        if kind != "application/gzip":
-            assert not [x for x in media.scan(blob[:-1]) if x[0] == 0], kind
-    rows = [(1, b"junk" + png() + b"..", "image/png"), (2, gif, "image/png"), (3, None, "text/plain"), (4, b"", None)]
-    seen = media.sniff(spark.createDataFrame(rows, "id int, blob binary, declared string"), "blob", "declared")
-    got = {r.id: r.sniffed for r in seen.collect()}
-    assert got[1].type is None and got[1].corrected == "image/png" and [(e.offset, e.type) for e in got[1].embedded] == [(4, "image/png")]
-    assert got[2].corrected == "image/gif" and got[2].mismatch
-    assert got[3].corrected == "text/plain" and not got[3].embedded
-    assert [(r.id, bytes(r.bytes)) for r in media.carve(seen).collect()] == [(1, png())]
-
-
-# 3 quality
-
-
-def test_quality(spark):
-    rnd = random.Random(2)
-    good = lambda: " ".join(rnd.choice(["the", "a", "river", "runs", "over", "hills", "and", "meadows"]) for _ in range(60)) + "."
-    bad = lambda: " | ".join(rnd.choice(["BUY", "###", "$$$", "NOW!!", "%%%"]) + str(rnd.randint(0, 9)) for _ in range(60))
-    rows = [(i, good() if i % 4 else bad()) for i in range(400)] + [(900, None), (901, ""), (902, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_y", F.lit("clash"))
-    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(5, None)], "doc_id long, quality int")
-    model = quality.fit_quality(docs, labels, exclude=quality.held_out())
-    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert all((got[i] >= 0.7) == (i % 4 > 0) for i in held) and len(held) > 50
-    assert got[900] == got[901] == pytest.approx(model.prior) and 0 <= got[902] <= 1
-    none = quality.fit_quality(docs, labels.limit(0))
-    assert {r.score for r in quality.score_quality(docs, none).collect() if r.doc_id == 900} == {0.5}
-
-
-def test_quality_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = quality.fit_quality(docs, labels, exclude=quality.held_out())
-    rows = quality.score_quality(docs, model).join(labels, "doc_id").filter(quality.held_out()).select("score", "quality").collect()
-    right = sum((r.score >= 0.7) == (r.quality == 1) for r in rows)
-    assert len(rows) > 60 and right / len(rows) > 0.9
-
-
-# 4 exact dedup
-
-
-@pytest.mark.parametrize("limit", [dedup_exact.KEYS_LIMIT, 0])
-def test_exact_dedup(docs, texts, limit):
-    groups = collections.defaultdict(list)
-    for i, t in texts.items():
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append(i)
-    out = dedup_exact.exact_dedup(docs, all_digests=True, keys_limit=limit).collect()
-    assert len(out) == len(texts)
-    for r in out:
-        norm = re.sub(r"[\x20\x09-\x0D]", "", texts[r.doc_id] or "")
-        keep = min(groups[norm], key=lambda i: (-len(texts[i] or ""), i))
-        assert (r.keep_id, r.group_size, r.kept, r.digest) == (keep, len(groups[norm]), keep == r.doc_id, hashlib.sha256(norm.encode()).hexdigest())
-    assert dedup_exact.exact_dedup(empty(docs)).count() == 0
-    assert dedup_exact.drop_copies(docs.unionByName(docs)).columns == docs.columns
-
-
 # 5 BPE
 
 
@@ -203,57 +60,6 @@ def test_bpe_tree_agrees_at_any_cut():
         assert np.frombuffer(b.encode([text], rnd.choice([1, 2, 5, 17, 64, 200]))[0], "<u4").tolist() == reference_ids(text)
 
 
-# 6 language model
-
-
-@pytest.mark.parametrize("routed", [False, True])
-def test_lm(docs, texts, routed, monkeypatch):
-    monkeypatch.setattr(lm, "SEGMENT_CHARS", 9000)
-    monkeypatch.setattr(lm, "BLOCK_CHARS", 8000)
-    out = lm.score_texts(docs, broadcast_limit=0 if routed else lm.BROADCAST).collect()
-    toks = {i: [*words(t), None] for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    c = collections.Counter(w for i in toks if not held[i] for w in toks[i])
-    pairs = collections.Counter(p for i in toks if not held[i] for p in zip(["<s>"] + toks[i], toks[i]))
-    n, v, starts = sum(c.values()), len(c), sum(not h for h in held.values())
-    assert len(out) == len(texts)
-    worst = []
-    for r in out:
-        t = toks[r.doc_id]
-        p = {w: (c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t}
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, held[r.doc_id])
-        assert r.base_score == pytest.approx(sum(math.log10(p[w]) for w in t), abs=1e-6)
-        exact = 0.0
-        for before, w in zip(["<s>"] + t, t):
-            have, level = (starts if before == "<s>" else c[before]), pairs[before, w] and 1 + int(math.log2(pairs[before, w]))
-            q = min((2 ** (level - 1) + 2**level - 1) / 2 if level else 0, have, c[w])
-            exact += math.log10((q + lm.K * p[w]) / (have + lm.K))
-        worst.append((r.score - exact) / len(t))
-    assert min(worst) > -1e-9 and np.mean(worst) < 0.05  # a filter never loses a pair, and rarely invents one
-    assert lm.score_texts(empty(docs)).count() == 0
-
-
-# 7 url filter
-
-
-def test_urls(spark):
-    rules = [*urls.RULES, ("a.b", "/x", "block"), ("a.b", "/x", "allow"), ("b", "/", "allow"), (None, "/", "block")]
-    hosts = ["example.com", "www.example.com", "EXAMPLE.com", "badexample.com", "x.net", "net", "a.b", "q.a.b", "b", "", "com."]
-    all_urls = [f"http://{h}{p}" for h, p in itertools.product(hosts, ["", "/", "/en/", "/en", "/es/1?q", "/fr/#a", "/x", "/xyz", "?a=://b", "/en/?://x"])] + [None, "", "no scheme", "://", "x://y://z/"]
-    df = spark.createDataFrame(list(enumerate(all_urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r for r in urls.judge_urls(df, urls.rule_table(spark, rules)).collect()}
-    assert len(got) == len(all_urls)
-    for i, u in enumerate(all_urls):
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
-        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
-        fit = [(len(h) + len(p), len(h), h, p, v == "block") for h, p, v in rules if h and host and (host == h or host.endswith("." + h)) and path.startswith(p)]
-        best = max(fit, default=None)
-        want = (host, path, best and best[2] + best[3], "allow" if not best or not best[4] else "block")
-        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want, u
-    assert urls.judge_urls(df.limit(0), urls.rule_table(spark)).count() == 0
-    assert urls.judge_urls(df, urls.rule_table(spark).limit(0)).filter("verdict = 'allow'").count() == len(all_urls)
-
-
 # 8 near duplicates
 
 
@@ -358,22 +164,6 @@ def test_plans_are_near_optimal():
         assert sum(n for _, n in sets) <= len(room)  # never worse than best fit alone
 
 
-# 10 licences
-
-
-def test_licences(spark):
-    mit, apache = licenses.RULES[3][1], licenses.RULES[0][1]
-    wrapped = "# " + apache.replace("software distributed", "software\n#  distributed").replace(". You may", ".\n# You may")
-    rows = [(1, "Intro.\n" + mit + "\nEnd."), (2, wrapped), (3, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (4, mit[:200]), (5, None), (6, ""), (7, "no such thing"), (8, "text | Released  under the mit license!"), (9, "Licensed under the\nApache License, Version 2.0.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("view", F.lit(1)).withColumn("number", F.lit(2))
-    got = {r.doc_id: r for r in licenses.scan_licences(df).collect()}
-    assert got[1].licences == "MIT" and got[1].rule == 3 and got[1].n_sentences == 4 - 1
-    assert got[2].licences == "Apache-2.0" and got[2].rule == 0
-    assert got[3].licences == "CC-BY-NC-4.0,MIT" and got[9].licences == "Apache-2.0"
-    assert not set(got) & {4, 5, 6, 7}
-    assert licenses.scan_licences(df.limit(0)).count() == 0
-
-
 # nulls in any column
 
 
