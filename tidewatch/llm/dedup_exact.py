@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.skew import fresh, spread_join
 from tidewatch.runtime import small, written
 
 #: The white space that does not count when texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
-KEY_BYTES, KEYS_LIMIT = 64, 64 << 20
+KEY_BYTES, GROUP_BYTES, BROADCAST = 64, 160, 64 << 20
 
 
 def normalised(text: str):
@@ -17,18 +18,21 @@ def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, all_digests: bool = False, keys_limit: int = KEYS_LIMIT) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, all_digests: bool = False, broadcast_limit: int = BROADCAST) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept`` and ``digest`` of the normalised text.
 
     1. lengths of normalised texts that occur more than once; 2. among those, prefix hashes that occur more than once;
-    3. a full SHA-256 only for rows whose (length, prefix) survives, and groups by it. The surviving keys are broadcast
-    when they are small (checked); beyond that every row is hashed in its scan, which moves less than shuffling texts.
-    Sizes, prefixes and digests are pre-aggregated before each shuffle, so a group of any size is a few rows.
-
-    Of equal texts the longest original stays, then the smallest id. Null text: empty, and all empty texts are one
-    group. Rows that repeat an id and a text are copies of each other and each such row is ``kept`` if its id stays;
-    null ids sort last. ``digest`` is null for rows outside surviving groups unless ``all_digests``. Other columns are
-    ignored whatever their names. An empty table gives an empty table.
+    3. a full SHA-256 only for rows whose (length, prefix) survives, and groups by it. Sizes, prefixes and digests are
+    pre-aggregated before each shuffle, so a group of any size is a few rows, and what is known of a group goes back to
+    its rows by :func:`spread_join`. Surviving keys that are few (counted) are broadcast into the scan, which hashes
+    only their rows; more of them are joined by shuffle to short rows (sizes, prefix, digest), which moves less than
+    the texts, and the result is the same.
+
+    Of equal texts the longest original stays, then the smallest id, of any type that has an order; null ids sort last.
+    Null text: empty, and all empty texts are one group. Very long texts are hashed whole where they are read. Rows that
+    repeat an id and a text are copies of each other and each such row is ``kept`` if its id stays. ``digest`` is null
+    for rows whose length and prefix no other row has, unless ``all_digests``. Other columns are ignored whatever their
+    names. An empty table gives an empty table.
     """
     norm = normalised(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"), norm.alias("norm"))
@@ -36,28 +40,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sizes = written(keyed.groupBy("n", "pre").agg(F.count(F.lit(1)).alias("rows")), "dedup-sizes")
     lengths = sizes.groupBy("n").agg(F.sum("rows").alias("of_length")).filter("of_length > 1").select("n")
-    keys = written(sizes.join(lengths, "n", "left_semi").filter("rows > 1").select("n", "pre"), "dedup-keys")
+    keys = written(sizes.join(lengths, "n", "left_semi").filter("rows > 1"), "dedup-keys")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
 
     full = F.sha2("norm", 256)
-    if small(keys, KEY_BYTES, keys_limit):
-        hashed = keyed.join(F.broadcast(keys.withColumn("survives", F.lit(True))), ["n", "pre"], "left")
-        group_key = F.when(F.col("survives"), full)
+    if small(keys, KEY_BYTES, broadcast_limit):
+        found = keyed.join(F.broadcast(keys), ["n", "pre"], "left").withColumn("key", F.when(F.col("rows").isNotNull(), full))
     else:
-        hashed, group_key = keyed, full
-    hashed = hashed.select("id", "points", group_key.alias("key"), (full if all_digests else group_key).alias("digest"))
-    hashed = written(hashed, "dedup-hashed")
-
-    best = F.max(F.struct("points", (-F.col("id")).alias("neg"))).alias("best")
-    groups = hashed.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), best)
-    groups = groups.filter("group_size > 1").select("key", "group_size", (-F.col("best.neg")).alias("keep_id"))
-    alone = hashed.filter("key is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    grouped = hashed.filter("key is not null").join(groups, "key", "left")
-    grouped = grouped.select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest")
-    return alone.unionByName(grouped).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay. Rows that share an
-    id stay together if one of them does (ids are keys)."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+        short = keyed.select("id", "points", "n", "pre", full.alias("full"))
+        found = spread_join(short, keys, ["n", "pre"], "rows", total, KEY_BYTES, broadcast_limit)
+        found, full = found.withColumn("key", F.when(F.col("rows").isNotNull(), F.col("full"))), F.col("full")
+    hashed = written(found.select("id", "points", "key", (full if all_digests else F.col("key")).alias("digest")), "dedup-hashed")
+
+    best = F.min(F.struct((-F.col("points")).alias("neg"), F.col("id").isNull().alias("last"), "id")).alias("best")
+    groups = hashed.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
+    groups = written(groups.select("key", "group_size", F.col("best.id").alias("best"), F.lit(True).alias("grouped")), "dedup-groups")
+    out = spread_join(hashed, groups, ["key"], "group_size", total, GROUP_BYTES, broadcast_limit)
+    keep = F.when(F.col("grouped"), F.col("best")).otherwise(F.col("id"))
+    out = out.select("id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest")
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = BROADCAST) -> DataFrame:
+    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay, whatever their names. Rows that
+    share an id stay together if one of them does (ids are keys; null is one of them)."""
+    stays = fresh("kept", docs.columns)
+    kept = exact_dedup(docs, id_col, text_col, broadcast_limit=broadcast_limit).filter("kept").select(F.col(id_col).alias(stays)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(stays)), "left_semi")
