@@ -33,10 +33,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(table(spark, sf_dir, "documents"))
-    seen = media.sniff(stored, "blob", "declared")
-    out = media.wave_features(seen)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("sniffed.corrected").alias("corrected_type"))
+    out = media.describe_texts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", *media.FEATURES, "corrected_type")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
