@@ -40,10 +40,16 @@ class ChatTemplate:
         return "".join(dict.fromkeys([self.escape, *(c[0] for c in self.controls)]))
 
     def escaped(self, text: str) -> str:
-        return re.sub(f"[{re.escape(self.special())}]", lambda m: self.escape + m[0], text)
+        for c in self.special():  # the escape itself comes first
+            text = text.replace(c, self.escape + c)
+        return text
 
     def unescaped(self, text: str) -> str:
-        return re.sub(f"(?s){re.escape(self.escape)}(.)", r"\1", text)
+        """Whole replacements, without a step per character: a first character never stands without its own escape, so
+        its pairs are found anywhere; then all runs of escapes are pairs."""
+        for c in reversed(self.special()):
+            text = text.replace(self.escape + c, c)
+        return text
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """Mark, text, mark; only the text of a loss role carries loss."""
@@ -54,21 +60,28 @@ class ChatTemplate:
         return role in self.follows.get(state, ())
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
-        """Roles and texts of formatted turns. Unescaped control strings come from the template alone."""
-        found = [(role, a, z) for role, (a, z) in self.around.items()]
+        """Roles and texts of formatted turns, one or a whole conversation. Unescaped control strings come from the
+        template alone, so a text ends at the first unescaped character that may begin one."""
+        stop = re.compile(f"{re.escape(self.escape)}.|[{re.escape(self.special()[1:])}]", re.S)
+
+        def until(mark: str, at: int) -> tuple[str, int]:
+            """What stands before ``mark``, and where it ends."""
+            lead = next(k for k, c in enumerate(mark) if c in self.special())
+            end = next((m.start() for m in stop.finditer(formatted, at) if m[0][0] != self.escape), len(formatted)) - lead
+            if not formatted.startswith(mark, end):
+                raise ValueError(f"no {mark!r} at {end}")
+            return self.unescaped(formatted[at:end]), end + len(mark)
+
         out, at = [], 0
-        unescaped = rf"(?s)((?:[^{re.escape(self.special())}]|{re.escape(self.escape)}.)*)"
         while at < len(formatted):
-            for role, a, z in found:
+            for role, (a, z) in self.around.items():
                 head, _, rest = a.partition("{role}")
                 if formatted.startswith(head, at):
                     at += len(head)
                     if role == "*":
-                        m = re.compile(unescaped + re.escape(rest)).match(formatted, at)
-                        role, at = self.unescaped(m[1]), m.end()
-                    m = re.compile(unescaped + re.escape(z)).match(formatted, at)
-                    out.append((role, self.unescaped(m[1])))
-                    at = m.end()
+                        role, at = until(rest, at)
+                    text, at = until(z, at)
+                    out.append((role, text))
                     break
             else:
                 raise ValueError(f"no turn begins at {at}")
@@ -80,8 +93,11 @@ def format_turns(turns: DataFrame, template: ChatTemplate | None = None, conv: s
 
     ``state`` is ``ok``, or says what the machine did not admit: ``order`` (the role may not follow), ``turn`` (the turn
     number repeats or is missing). Nothing is dropped: such turns are formatted too and the machine goes on from their
-    role. Rows of a conversation are ordered by turn, nulls first, then role and text, so ties have one order. Null role
-    and text count as empty; rows with a null conversation form one conversation. Other columns are ignored.
+    role. Rows of a conversation are ordered by turn, nulls first, then role and text, so ties have one order; repeated
+    rows are turns each. Null role and text count as empty; rows with a null conversation form one conversation. Very
+    long texts are replaced in whole, with a few times their size of memory. The turns of one conversation follow one
+    another through one task, a batch of rows at a time, as each turn's state depends on the one before. Other columns
+    are ignored whatever their names. An empty table gives an empty table.
     """
     template = template or ChatTemplate()
     kind = turns.schema[conv].dataType.simpleString()
@@ -108,7 +124,8 @@ def format_turns(turns: DataFrame, template: ChatTemplate | None = None, conv: s
 def read_back(formatted: DataFrame, template: ChatTemplate | None = None, conv: str = "conv_id") -> DataFrame:
     """One row per conversation, from the formatted segments alone: ``n_turns``, ``turns_sha256`` (role, newline, text,
     newline per turn), ``loss_chars`` and ``loss_sha256`` (the unescaped text under the loss mask), ``formatted_chars``,
-    ``valid`` (the machine admitted every turn and the end) and ``first_error``."""
+    ``valid`` (the machine admitted every turn and the end) and ``first_error``. Turns are digested in order, one at a time.
+    Other columns are ignored. An empty table gives an empty table."""
     template = template or ChatTemplate()
     kind = formatted.schema[conv].dataType.simpleString()
     columns = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "first_error"]
