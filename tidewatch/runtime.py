@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, one process may use a temporary folder of its
+    own, which goes with it; a cluster may not, as its executors would each write to a disk of theirs."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-tidewatch-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return "file://" + _OWN[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the scratch folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet under the scratch folder and read it back: cuts lineage and survives lost executors. What a
+    result still reads stays there; :func:`forget` removes what nothing reads any more."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables that :func:`written` made and that no later table reads: all that came from them was written itself."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
@@ -43,7 +63,6 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20)
 def shipped(spark: SparkSession) -> SparkSession:
     """Make this package importable on the workers, where neither PYTHONPATH nor the working folder does so."""
     import os
-    import shutil
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     app = spark.sparkContext.applicationId
