@@ -32,7 +32,7 @@ VIEWS = {
         FROM (SELECT DISTINCT CAST(floor(doc_id / 40) AS BIGINT) * 4 + CASE WHEN doc_id % 40 < 20 THEN 0 WHEN doc_id % 40 < 30 THEN 1 WHEN doc_id % 40 < 33 THEN 2 ELSE 3 END AS n FROM documents WHERE doc_id % 40 < 34) x""",
     "sns": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' WHEN 2 THEN 'google_trends' ELSE 'naver' END AS platform,
         'k' || CAST(event_id % 13 AS VARCHAR(20)) AS keyword, CASE CAST(floor(event_id / 4) AS BIGINT) % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS locale, 'general' AS category,
-        round(value, 4) AS score, CAST(event_id % 7 AS DOUBLE) AS burst_z, CASE event_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment_badge,
+        round(value, 4) AS score, CAST(CASE WHEN event_id % 13 < 4 THEN 4 + event_id % 3 ELSE event_id % 7 END AS DOUBLE) AS burst_z, CASE WHEN event_id % 13 < 4 THEN 'negative' WHEN event_id % 3 = 0 THEN 'positive' WHEN event_id % 3 = 1 THEN 'negative' ELSE 'neutral' END AS sentiment_badge,
         @sec(1706659200, 0 - (event_id * 61) % 172800) AS snapshot_at FROM events""",
     "posts": """SELECT conv_id * 100 + turn AS id, 'reddit' AS platform, substr(CASE WHEN conv_id % 3 = 0 THEN 'How ' || text WHEN conv_id % 3 = 1 THEN text || '?' ELSE text END, 1, 500) AS keyword,
         'en' AS locale, CAST(conv_id % 50 AS DOUBLE) AS score, @sec(1706659200, 0 - (conv_id * 977 + turn) % 172800) AS snapshot_at FROM conversations""",
@@ -46,18 +46,18 @@ VIEWS = {
     "attempts": """SELECT 'f' || CAST(user_id % 40 AS VARCHAR(20)) AS feed_id, event_id, CAST(ts AS TIMESTAMP) AS ts, event_type <> 'error' AS success, round(value, 3) AS latency_ms,
         CASE WHEN event_type = 'error' THEN 'e' || CAST(event_id % 5 AS VARCHAR(20)) END AS error FROM events""",
     "subs": """SELECT c_custkey AS user_id, 'K' || CAST(c_custkey % 13 AS VARCHAR(20)) AS keyword, c_custkey % 2 = 0 AS alert_surge, c_custkey % 3 = 0 AS alert_daily FROM customer""",
-    "daily_subs": """SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'tion' WHEN 2 THEN 'que' ELSE 'ung' END AS keyword, c_custkey % 3 = 0 AS alert_daily FROM customer WHERE c_custkey % 20 = 0""",
+    "daily_subs": """SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'tion' WHEN 2 THEN 'que' ELSE 'ung' END AS keyword, c_custkey % 3 = 0 AS alert_daily FROM customer""",
     "users": """SELECT c_custkey AS user_id, 'u' || CAST(c_custkey AS VARCHAR(20)) || '@example.com' AS email, CASE c_custkey % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'business' END AS plan, c_custkey % 7 <> 0 AS is_active, c_custkey % 5 <> 0 AS email_enabled FROM customer""",
     "plans": """SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 3 WHEN 0 THEN 'pro' ELSE 'business' END AS plan, CASE WHEN o_orderkey % 4 = 0 THEN 'cancelled' ELSE 'active' END AS status, @sec(1706659200, ((o_orderkey * 7) % 61 - 30) * 86400) AS expires_at FROM orders""",
     "brands": """SELECT s_suppkey AS id, s_suppkey % 9 AS user_id, 'brand' || CAST(s_suppkey AS VARCHAR(20)) AS brand_name, @list('k' || CAST(s_suppkey % 13 AS VARCHAR(20)), 'k' || CAST((s_suppkey * 5) % 13 AS VARCHAR(20))) AS keywords, s_suppkey % 6 <> 0 AS is_active,
         CASE WHEN s_suppkey % 4 = 0 THEN @sec(1706659200, 0 - s_suppkey * 3600) END AS last_alerted_at FROM supplier""",
     "mentions": """SELECT (conv_id * 7 + turn) % 97 AS brand_id, CASE WHEN conv_id % 4 = 0 THEN 'good ' || text WHEN conv_id % 4 = 1 THEN 'bad fail ' || text ELSE text END AS text FROM conversations""",
     "audit": """SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'login' WHEN 'O' THEN 'update' ELSE 'delete' END AS action, @sec(1706659200, 0 - (o_orderkey % 200) * 86400) AS created_at FROM orders""",
-    "jobs": """SELECT event_id AS id, 'g' || CAST(event_id % 97 AS VARCHAR(20)) AS group_id, @sec(1706659200, 0 - (event_id * 13) % 40000) AS triggered_at, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' ELSE 'running' END AS status FROM events WHERE event_id % 5 = 0""",
+    "jobs": """SELECT event_id AS id, 'g' || CAST(event_id AS VARCHAR(20)) AS group_id, @sec(1706659200, 0 - (event_id * 13) % 40000) AS triggered_at, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' ELSE 'running' END AS status FROM events""",
     "snapshots": """SELECT 'g' || CAST(event_id % 23 AS VARCHAR(20)) AS group_id, 'k' || CAST(event_id % 17 AS VARCHAR(20)) AS keyword, event_id % 31 AS frequency, @sec(1706659200, 0 - (event_id % 29) * 21600) AS snapshot_at FROM events""",
     "history": """SELECT 'k' || CAST(event_id % 13 AS VARCHAR(20)) AS keyword, @sec(1706659200, 0 - (event_id % 400) * 86400 - event_id) AS ts, CAST(event_id % 11 AS DOUBLE) AS value, event_id FROM events""",
     "alerts": """SELECT 's' || CAST(user_id % 5 AS VARCHAR(20)) AS service, event_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'error'""",
-    "vectors": """SELECT v.vec_id AS article_id, v.embedding AS embedding, v.label AS cluster_id, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.source END AS source_type, @sec(1706486400, (v.vec_id * 7919) % 172800) AS published_at FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id""",
+    "vectors": """SELECT v.vec_id AS article_id, v.embedding AS embedding, substr(d.text, 1, v.vec_id % 60) AS text, v.label AS cluster_id, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.source END AS source_type, @sec(1706486400, (v.vec_id * 7919) % 172800) AS published_at FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id""",
 }
 
 

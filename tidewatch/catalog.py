@@ -122,9 +122,10 @@ def _(t):
     return A.export_trends(t.groups)
 
 
-@add("A12_materialize_feeds", "SELECT category, locale, count(*) AS items FROM (SELECT *, row_number() OVER (PARTITION BY category, locale ORDER BY score DESC, id) AS n FROM groups) WHERE n <= 100 GROUP BY 1, 2")
+@add("A12_materialize_feeds", """SELECT category, locale, count(*) AS items, '[' || string_agg('{"title":"' || title || '","score":' || CAST(score AS VARCHAR) || ',"keywords":["' || array_to_string(keywords, '","') || '"]}', ',' ORDER BY n) || ']' AS feed
+FROM (SELECT *, row_number() OVER (PARTITION BY category, locale ORDER BY score DESC, id) AS n FROM groups) WHERE n <= 100 GROUP BY 1, 2""")
 def _(t):
-    return A.materialize_feeds(t.groups).select("category", "locale", "items")
+    return A.materialize_feeds(t.groups)
 
 
 @add("A13_ingest_events", "SELECT user_id, event_type AS action, CAST(NULL AS VARCHAR) AS item_id, coalesce(props, '{}') AS meta, count(*) AS n FROM events GROUP BY ALL")
@@ -216,7 +217,7 @@ def _(t):
     from tidewatch.functions.models import spam_model
 
     rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "text", (1 - F.col("quality")).alias("label"))
-    return spam_model(rows.filter("label is not null and doc_id % 2 = 0"), rows).select("doc_id", "spam_probability")
+    return spam_model(rows.filter("label is not null"), rows).select("doc_id", "spam_probability")
 
 
 def _stems(words) -> str:
@@ -250,13 +251,14 @@ def _(t):
 
 @add("B16_grounding_gate", """WITH g AS (SELECT conv_id, text FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id, text FROM conversations WHERE role <> 'assistant'),
 gw AS (SELECT DISTINCT conv_id, id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM (SELECT conv_id, text, conv_id * 1000 + turn AS id FROM conversations WHERE role = 'assistant')),
-sw AS (SELECT DISTINCT conv_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM s)
-SELECT id, round(CAST(count(sw.w) AS DOUBLE) / count(*), 6) AS recall, CAST(count(sw.w) AS DOUBLE) / count(*) >= 0.05 AS grounded FROM gw LEFT JOIN sw ON gw.conv_id = sw.conv_id AND gw.w = sw.w GROUP BY id""".replace("\\\\s", "\\s"))
+sw AS (SELECT DISTINCT conv_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM s),
+r AS (SELECT id, any_value(gw.conv_id) AS conv_id, CAST(count(sw.w) AS DOUBLE) / count(*) AS recall FROM gw LEFT JOIN sw ON gw.conv_id = sw.conv_id AND gw.w = sw.w GROUP BY id), su AS (SELECT conv_id, list('c' || conv_id || 't' || turn) AS urls FROM conversations WHERE role <> 'assistant' GROUP BY 1)
+SELECT id, round(recall, 6) AS recall, recall >= 0.05 AS grounded, array_to_string(list_filter(['c' || r.conv_id || 't0', 'c' || r.conv_id || 't1', 'elsewhere'], lambda u: list_contains(coalesce(urls, []), u)), '|') AS cited FROM r LEFT JOIN su ON su.conv_id = r.conv_id""".replace("\\\\s", "\\s"))
 def _(t):
     c = t.conversations
-    g = c.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "text", F.array().cast("array<string>").alias("cited"))
-    s = g.select("id", "conv_id").join(c.filter("role <> 'assistant'").select("conv_id", "text"), "conv_id").select("id", "text", F.lit(None).cast("string").alias("url"))
-    return T.grounding_gate(g.select("id", "text", "cited"), s, "id").select("id", "recall", "grounded")
+    g = c.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "text", F.array(F.format_string("c%dt0", "conv_id"), F.format_string("c%dt1", "conv_id"), F.lit("elsewhere")).alias("cited"))
+    s = g.select("id", "conv_id").join(c.filter("role <> 'assistant'").select("conv_id", "text", F.format_string("c%dt%d", "conv_id", "turn").alias("url")), "conv_id").select("id", "text", "url")
+    return T.grounding_gate(g.select("id", "text", "cited"), s, "id").select("id", "recall", "grounded", F.array_join("cited", "|").alias("cited"))
 
 
 # De-duplication
@@ -301,9 +303,10 @@ def _(t):
     return t.articles.select("article_id", F.array_join(D.tokenize(F.col("body")), " ").alias("tokens"))
 
 
-@add("D2_corpus_stats", f"WITH {TERMS} SELECT term, count(*) AS df FROM terms GROUP BY 1")
+@add("D2_corpus_stats", f"WITH {TERMS}, lens AS (SELECT article_id, sum(tf) AS n FROM terms GROUP BY 1) SELECT term, count(*) AS df, (SELECT count(*) FROM lens) AS docs, (SELECT round(avg(n), 6) FROM lens) AS mean_n FROM terms GROUP BY 1")
 def _(t):
-    return D.corpus_stats(D._terms(t.articles, 2.0, 500))[0]
+    df, stats = D.corpus_stats(D._terms(t.articles, 2.0, 500))
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", "docs", r6("mean_n"))  # one row
 
 
 @add("D3_keyword_scores", f"WITH {SCORES} SELECT article_id, term, tf, round(score, 6) AS score FROM scores")
@@ -403,27 +406,32 @@ def _(t):
 
 def items(t: Tables) -> DataFrame:
     k = F.transform(F.array(F.lit(7), F.lit(11), F.lit(13), F.lit(17)), lambda m: F.concat(F.lit("w"), m, F.lit("_"), F.col("article_id") % m))
-    return t.vectors.select(F.col("article_id").alias("item_id"), k.alias("keywords"), "published_at", "source_type", "embedding")
+    k = F.slice(k, F.lit(1), (F.col("article_id") % 3 + 2).cast("int"))
+    return t.vectors.select(F.col("article_id").alias("item_id"), k.alias("keywords"), "published_at", "source_type", "embedding", "text")
 
 
 LOOSE = Similarity(threshold=0.25)
-ITEMS = "items AS (SELECT article_id AS item_id, ['w7_' || (article_id % 7), 'w11_' || (article_id % 11), 'w13_' || (article_id % 13), 'w17_' || (article_id % 17)] AS k, published_at, source_type, CAST(embedding AS DOUBLE[]) AS e FROM vectors)"
+ITEMS = "items AS (SELECT article_id AS item_id, text, (['w7_' || (article_id % 7), 'w11_' || (article_id % 11), 'w13_' || (article_id % 13), 'w17_' || (article_id % 17)])[1:2 + article_id % 3] AS k, published_at, source_type, CAST(embedding AS DOUBLE[]) AS e FROM vectors)"
 EDGES = f"""{ITEMS}, ed AS (SELECT x.item_id AS a, y.item_id AS b, 0.5 * list_cosine_similarity(x.e, y.e) + 0.25 * len(list_intersect(x.k, y.k)) / CAST(len(list_distinct(list_concat(x.k, y.k))) AS DOUBLE) + 0.15 * exp(-abs(epoch(x.published_at) - epoch(y.published_at)) / 86400)
- + 0.1 * CASE WHEN x.source_type IS NULL OR y.source_type IS NULL THEN 0.5 WHEN x.source_type = y.source_type THEN 1 ELSE 0 END AS weight FROM items x JOIN items y ON x.item_id < y.item_id AND len(list_intersect(x.k, y.k)) > 0), edges AS (SELECT * FROM ed WHERE weight >= 0.25)"""
+ + 0.1 * CASE WHEN x.source_type IS NULL OR y.source_type IS NULL THEN 0.5 WHEN x.source_type = y.source_type THEN 1 ELSE 0 END AS weight FROM items x JOIN items y ON x.item_id < y.item_id), edges AS (SELECT * FROM ed WHERE weight >= 0.25)"""
 
 
 @add("E4_similarity_edges", f"WITH {EDGES} SELECT a, b, round(weight, 6) AS weight FROM edges")
 def _(t):
-    return E.similarity_edges(items(t), LOOSE, shared_only=True).select("a", "b", r6("weight"))  # as the SQL: pairs that share a keyword
+    return E.similarity_edges(items(t), LOOSE).select("a", "b", r6("weight"))
 
 
-@add("E5_match_groups", f"""WITH a AS (SELECT article_id, list_distinct(list_concat(list_transform(string_split(lower(kw), '|'), lambda x: x), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wa FROM (SELECT article_id, split_part(title, ' ', 1) AS title, 'k' || (article_id % 7) || '|' || 'topic' || (article_id % 29) AS kw FROM articles WHERE group_id IS NULL)),
-g AS (SELECT id, score, list_distinct(list_concat(list_transform(keywords, lambda x: lower(x)), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wg FROM groups WHERE created_at > {NOW} - INTERVAL 48 HOURS),
-m AS (SELECT article_id, id AS group_id, score, round(0.5 * len(list_intersect(wa, wg)) / CAST(len(list_distinct(list_concat(wa, wg))) AS DOUBLE), 9) AS similarity FROM a JOIN g ON len(list_intersect(wa, wg)) > 0)
-SELECT article_id, group_id, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.12 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY similarity DESC, score DESC, group_id) = 1""".replace("\\\\s", "\\s"))
+@add("E5_match_groups", f"""WITH {KEYWORDS}, a AS (SELECT article_id, e, list_distinct(list_concat(CASE WHEN keywords IS NULL THEN [] ELSE string_split(keywords, '|') END, list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wa
+  FROM articles LEFT JOIN kw USING (article_id) LEFT JOIN (SELECT vec_id AS article_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) USING (article_id) WHERE group_id IS NULL),
+g AS (SELECT id, score, e, list_distinct(list_concat(list_transform(keywords, lambda x: lower(x)), list_filter(string_split_regex(lower(title), '\\s+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS wg
+  FROM groups LEFT JOIN (SELECT 'g' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) USING (id) WHERE created_at > {NOW} - INTERVAL 48 HOURS),
+m AS (SELECT article_id, id AS group_id, score, round(0.5 * len(list_intersect(wa, wg)) / CAST(len(list_distinct(list_concat(wa, wg))) AS DOUBLE) + 0.5 * CASE WHEN a.e IS NULL OR g.e IS NULL THEN 0 ELSE list_cosine_similarity(a.e, g.e) END, 9) AS similarity FROM a JOIN g ON len(wa) > 0 AND len(wg) > 0)
+SELECT article_id, group_id, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.12 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY similarity DESC, score DESC, group_id) = 1""")
 def _(t):
-    a = t.articles.filter("group_id is null").withColumn("keywords", F.array(F.concat(F.lit("k"), F.col("article_id") % 7), F.concat(F.lit("topic"), F.col("article_id") % 29))).withColumn("title", F.split_part("title", F.lit(" "), F.lit(1)))
-    return E.match_groups(a, t.groups, AS_OF, 0.12, 48).select("article_id", "group_id", r6("similarity"))
+    v = t.embeddings.select("vec_id", "embedding")
+    a = t.articles.filter("group_id is null").join(D.extract_keywords(t.articles), "article_id", "left").join(v.withColumnRenamed("vec_id", "article_id"), "article_id", "left")
+    g = t.groups.join(v.select(F.concat(F.lit("g"), F.col("vec_id")).alias("id"), "embedding"), "id", "left")
+    return E.match_groups(a, g, AS_OF, 0.12, 48).select("article_id", "group_id", r6("similarity"))
 
 
 @add("E6_rescore_matched", "SELECT id, article_count, source_count, greatest(g.score, new_score) AS score, round(least(1.0, article_count / 10) * 0.4 + 0.3, 6) AS early_trend_score FROM groups g JOIN (SELECT group_id, count(*) AS article_count, count(DISTINCT source) AS source_count, CAST(max(article_id % 100) AS DOUBLE) AS new_score FROM articles WHERE group_id IS NOT NULL GROUP BY 1) n ON n.group_id = g.id")
@@ -434,10 +442,10 @@ def _(t):
 CLOSED = "reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m FROM reach r JOIN both_ b ON b.a = r.m), label AS (SELECT n, min(m) AS component FROM reach GROUP BY n)"
 
 
-@add("E7_topic_clusters", f"WITH RECURSIVE {EDGES}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), {CLOSED} SELECT item_id, coalesce(component, item_id) AS cluster_id FROM items LEFT JOIN label ON n = item_id")
+@add("E7_topic_clusters", f"WITH RECURSIVE {EDGES.replace('weight >= 0.25', 'weight >= 0.38')}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), {CLOSED} SELECT item_id, coalesce(component, item_id) AS cluster_id FROM items LEFT JOIN label ON n = item_id WHERE component IS NOT NULL OR (length(text) >= 20 AND len(k) >= 3)")
 def _(t):
     it = items(t)
-    return E.topic_clusters(it.withColumn("text", F.lit("twenty characters or more")), E.similarity_edges(it, LOOSE, shared_only=True))
+    return E.topic_clusters(it, E.similarity_edges(it, Similarity(threshold=0.38)))  # sparse enough for several clusters and noise
 
 
 def _rounds(n: int) -> str:
@@ -476,10 +484,13 @@ def _(t):
     return E.meta_trends(t.groups).select("component", "category", F.size("ids").cast("long").alias("n"), "title", F.array_join("ids", "|").alias("ids"), r6("score"))
 
 
-@add("E13_group_titles", "SELECT group_id, CASE WHEN t IS NULL THEN 'Untitled' WHEN length(t) > 50 THEN substr(t, 1, 45) || '…' ELSE t END AS title FROM (SELECT group_id, arg_min(trim(title), (-length(trim(title)), trim(title))) FILTER (WHERE length(trim(title)) >= 4) AS t FROM articles WHERE group_id IS NOT NULL GROUP BY 1)")
+@add("E13_group_titles", f"""WITH {KW_ROWS}, c AS (SELECT group_id, keyword, count(*) AS articles FROM ak WHERE length(keyword) > 1 AND NOT regexp_full_match(keyword, '[0-9]+') GROUP BY 1, 2), top AS (SELECT group_id, string_agg(keyword, ' · ' ORDER BY r) AS k FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY articles DESC, keyword) AS r FROM c) WHERE r <= 3 GROUP BY 1),
+short AS (SELECT group_id, CASE WHEN group_id LIKE '%3' OR group_id LIKE '%5' THEN substr(title, 1, 3) ELSE title END AS title FROM articles WHERE group_id IS NOT NULL), b AS (SELECT group_id, arg_min(trim(title), (-length(trim(title)), trim(title))) FILTER (WHERE length(trim(title)) >= 4) AS t FROM short GROUP BY 1)
+SELECT group_id, CASE WHEN t IS NULL THEN coalesce(CASE WHEN group_id NOT LIKE '%13' THEN k END, 'Untitled') WHEN length(t) > 50 THEN substr(t, 1, 45) || '…' ELSE t END AS title FROM b LEFT JOIN top USING (group_id)""")
 def _(t):
-    none = t.spark.createDataFrame([], "group_id string, keyword string, rank int")
-    return E.group_titles(t.articles, none)
+    short = F.when(F.col("group_id").like("%3") | F.col("group_id").like("%5"), F.substring("title", 1, 3)).otherwise(F.col("title"))
+    keywords = D.group_keywords(tagged(t)).filter("group_id not like '%13'")
+    return E.group_titles(t.articles.withColumn("title", short), keywords)
 
 
 # Scores and series
@@ -858,9 +869,9 @@ def _(t):
     return H.brand_monitor(t.brands, t.mentions, t.sns, AS_OF).select("id", r6("current"), F.col("mentions").cast("long").alias("mentions"), r6("z_score"), "label")
 
 
-@add("H8_brand_alerts", f"WITH {BRAND}, z AS (SELECT b.id, user_id, CASE WHEN std < 1e-12 THEN 0 ELSE -mean / std END AS z, mean, std FROM brands b JOIN bb ON bb.id = b.id WHERE is_active AND (last_alerted_at IS NULL OR last_alerted_at <= {NOW} - INTERVAL 24 HOURS)), l AS (SELECT *, CASE WHEN std < 1e-12 AND mean < -0.3 THEN 'crisis' WHEN z < -0.1 THEN 'crisis' WHEN z > 0.1 THEN 'surge' ELSE 'normal' END AS label FROM z) SELECT id, user_id, round(z, 6) AS z_score, label FROM l WHERE label <> 'normal'")
+@add("H8_brand_alerts", f"WITH {BRAND}, z AS (SELECT b.id, user_id, CASE WHEN std < 1e-12 THEN 0 ELSE -mean / std END AS z, mean, std FROM brands b JOIN bb ON bb.id = b.id WHERE is_active AND (last_alerted_at IS NULL OR last_alerted_at <= {NOW} - INTERVAL 24 HOURS)), l AS (SELECT *, CASE WHEN std < 1e-12 AND mean < -0.3 THEN 'crisis' WHEN z < -2 THEN 'crisis' WHEN z > 2 THEN 'surge' ELSE 'normal' END AS label FROM z) SELECT id, user_id, round(z, 6) AS z_score, label FROM l WHERE label <> 'normal'")
 def _(t):
-    return H.brand_alerts(t.brands, t.sns, AS_OF, 0.1).select("id", "user_id", r6("z_score"), "label")
+    return H.brand_alerts(t.brands, t.sns, AS_OF).select("id", "user_id", r6("z_score"), "label")
 
 
 @add("H9_surge_alerts", "WITH w AS (SELECT DISTINCT id AS group_id, lower(unnest(keywords)) AS k FROM groups) SELECT DISTINCT user_id, group_id, k AS keyword FROM subs JOIN w ON lower(keyword) = k WHERE alert_surge")
@@ -933,7 +944,7 @@ def _(t):
     from tidewatch.streaming import streams as J
 
     rows = streamed(t, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    return J.stored(J.stream_dedupe(rows, "key", "ts", "3650 days").select("user_id", "event_type"), stream_path(t))
+    return J.stored(J.stream_dedupe(rows, "key", "ts").select("user_id", "event_type"), stream_path(t))
 
 
 @add("J3_stream_hourly", f"WITH {HOURS} SELECT key, {dstamp('ts')}, value FROM hs WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM series) - INTERVAL 1 HOUR")
@@ -961,9 +972,9 @@ def _(t):
     return J.stored(J.stream_debounce(rows), stream_path(t)).select("service", "event_id", "notify")
 
 
-@add("J6_stream_alerts", "SELECT DISTINCT s.user_id, 'g' || CAST(event_id AS VARCHAR) AS group_id, lower(s.keyword) AS keyword FROM events JOIN subs s ON lower(s.keyword) = 'k' || CAST(event_id % 13 AS VARCHAR) WHERE alert_surge AND event_id % 50 = 0")
+@add("J6_stream_alerts", "SELECT DISTINCT s.user_id, 'g' || CAST(event_id AS VARCHAR) AS group_id, lower(s.keyword) AS keyword FROM events JOIN subs s ON lower(s.keyword) = 'k' || CAST(event_id % 1009 AS VARCHAR) WHERE alert_surge")
 def _(t):
     from tidewatch.streaming import streams as J
 
-    groups = streamed(t, "events").filter("event_id % 50 = 0").select(F.concat(F.lit("g"), F.col("event_id")).alias("id"), F.array(F.concat(F.lit("K"), F.col("event_id") % 13)).alias("keywords"))
+    groups = streamed(t, "events").select(F.concat(F.lit("g"), F.col("event_id")).alias("id"), F.array(F.concat(F.lit("K"), F.col("event_id") % 1009)).alias("keywords"))
     return J.stored(J.stream_alerts(groups, t.subs), stream_path(t))

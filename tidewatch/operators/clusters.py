@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim, unit, unit_cosine
+from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim, unit
 from tidewatch.operators.components import connected_components
 from tidewatch.params import Similarity
-from tidewatch.runtime import written
+from tidewatch.runtime import again, written
 from tidewatch.sources.tables import ago
 
 #: Rows of a block where all pairs of two blocks meet in one task.
@@ -34,19 +34,38 @@ def _sizes_allow(floor: float) -> Column:
     return F.least("na", "nb") >= F.greatest("na", "nb") * floor - 1e-9
 
 
+def _can_overlap(floor: float) -> Column:
+    """Whether sets of sizes na and nb that share the words at places pa and pb, and none before, can reach the Jaccard:
+    the shared word and what stands behind it on the shorter side must be enough."""
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return most >= (F.col("na") + F.col("nb")) * (floor / (1 + floor)) - 1e-9
+
+
+def _seek(sets: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    """keys, ``n`` and each word of the prefix with its place from 1."""
+    rows = sets.select(*keys, F.size("k").alias("n"), F.posexplode(_prefix(floor)).alias("p", "w"))
+    return rows.withColumn("p", F.col("p") + 1)
+
+
 def keyword_pairs(items: DataFrame, id_col: str, floor: float, by: list[str] | None = None, keywords: str = "keywords") -> DataFrame:
     """Pairs (a, b), a < b, whose keyword sets have a Jaccard of at least ``floor`` > 0, with it as ``jaccard``; inside
-    equal ``by`` columns. Exact, by prefix filtering: only the rarest words of each set make candidates, so common
-    keywords make few of them."""
+    equal ``by`` columns. Exact: items with equal sets are one, and only the rarest words of each set (its prefix) make
+    candidates, whose places and sizes must allow the overlap. The lower the floor, the longer the prefix: at 0.1 it is a
+    set of ten whole, and then a common keyword does bring its distinct sets together."""
     by = by or []
     rows = items.select(*by, F.col(id_col).alias("id"), F.array_distinct(F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: k.isNotNull())).alias("k")).filter("size(k) > 0")
     ordered = written(_ranked_sets(rows, [*by, "id"], by), "pairs-sets")
-    seek = ordered.select(*by, "id", F.size("k").alias("n"), F.explode(_prefix(floor)).alias("w"))
-    a, b = seek.withColumnsRenamed({"id": "a", "n": "na"}), seek.withColumnsRenamed({"id": "b", "n": "nb"})
-    pairs = a.join(b, [*by, "w"]).filter((F.col("a") < F.col("b")) & _sizes_allow(floor)).select(*by, "a", "b").distinct()
-    sets = ordered.select(*by, "id", "k")
-    full = pairs.join(sets.withColumnsRenamed({"id": "a", "k": "ka"}), [*by, "a"]).join(sets.withColumnsRenamed({"id": "b", "k": "kb"}), [*by, "b"])
-    return full.withColumn("jaccard", jaccard(F.col("ka"), F.col("kb"))).filter(F.col("jaccard") >= floor - 1e-12).select(*by, "a", "b", "jaccard")
+    sets = written(ordered.groupBy(*by, "k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("items")), "pairs-distinct")
+    seek = _seek(sets, [*by, "rep"], floor)
+    a, b = (seek.withColumnsRenamed({"rep": x, "n": f"n{x}", "p": f"p{x}"}) for x in "ab")
+    pairs = a.join(b, [*by, "w"]).filter((F.col("a") < F.col("b")) & _sizes_allow(floor) & _can_overlap(floor)).select(*by, "a", "b").distinct()
+    named = lambda x: sets.select(*by, F.col("rep").alias(x), F.col("k").alias(f"k{x}"))
+    full = pairs.join(named("a"), [*by, "a"]).join(named("b"), [*by, "b"])
+    near = full.withColumn("jaccard", jaccard(F.col("ka"), F.col("kb"))).filter(F.col("jaccard") >= floor - 1e-12).select(*by, "a", "b", "jaccard")
+    near = near.unionByName(sets.filter("items > 1").select(*by, F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")))
+    of = lambda x: ordered.join(sets.select(*by, "k", "rep"), [*by, "k"]).select(*by, F.col("rep").alias(x), F.col("id").alias(f"i{x}"))
+    out = near.join(of("a"), [*by, "a"]).join(of("b"), [*by, "b"]).filter("a <> b or ia < ib")
+    return out.select(*by, F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "jaccard")
 
 
 def set_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
@@ -54,25 +73,26 @@ def set_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     it as ``jaccard``. Exact, by prefix filtering as in :func:`keyword_pairs`."""
     both = left.select(F.lit(0).alias("side"), F.col("id").cast("string").alias("id"), "k").unionByName(right.select(F.lit(1).alias("side"), F.col("id").cast("string").alias("id"), "k"))
     ordered = written(_ranked_sets(both.filter("size(k) > 0"), ["side", "id"], []), "match-sets")
-    seek = ordered.select("side", "id", F.size("k").alias("n"), F.explode(_prefix(floor)).alias("w"))
-    a, b = (seek.filter(F.col("side") == i).drop("side").withColumnsRenamed({"id": x, "n": f"n{x}"}) for i, x in ((0, "a"), (1, "b")))
-    pairs = a.join(b, "w").filter(_sizes_allow(floor)).select("a", "b").distinct()
+    seek = _seek(ordered, ["side", "id"], floor)
+    a, b = (seek.filter(F.col("side") == i).drop("side").withColumnsRenamed({"id": x, "n": f"n{x}", "p": f"p{x}"}) for i, x in ((0, "a"), (1, "b")))
+    pairs = a.join(b, "w").filter(_sizes_allow(floor) & _can_overlap(floor)).select("a", "b").distinct()
     sa, sb = (ordered.filter(F.col("side") == i).select(F.col("id").alias(x), F.col("k").alias(f"k{x}")) for i, x in ((0, "a"), (1, "b")))
     full = pairs.join(sa, "a").join(sb, "b").withColumn("jaccard", jaccard(F.col("ka"), F.col("kb"))).filter(F.col("jaccard") >= floor - 1e-12)
     return full.select(F.col("a").cast(left.schema["id"].dataType).alias("a"), F.col("b").cast(right.schema["id"].dataType).alias("b"), "jaccard")
 
 
-def block_pairs(left: DataFrame, right: DataFrame | None, near: Callable) -> DataFrame:
-    """Pairs (a of ``left``, b of ``right``) that ``near(x, y, cosines)`` accepts. Rows have id, ``unit`` (:func:`unit`
-    vectors) and what ``near`` reads; it gets two blocks as pandas frames with the matrix of their cosines (0 where one is
-    missing or sizes differ) and gives a boolean matrix. ``right`` None: pairs a < b of ``left``. Exact: every pair
-    meets in one task, a matrix product for each two blocks, so rows are copied and work grows with their square."""
+def block_pairs(left: DataFrame, right: DataFrame | None, weigh: Callable) -> DataFrame:
+    """Pairs (a of ``left``, b of ``right``) and their ``weight``, where ``weigh(x, y, cosines)`` gives one. Rows have id,
+    ``unit`` (:func:`unit` vectors) and what ``weigh`` reads; it gets two blocks as pandas frames with the matrix of their
+    cosines (0 where one is missing or sizes differ) and gives a matrix of weights, NaN for no pair. ``right`` None: pairs
+    a < b of ``left``. Exact: every pair meets in one task, a matrix product for each two blocks, so rows are copied and
+    work grows with their square; only pairs with a weight leave the task."""
     import numpy as np
     import pandas as pd
 
     same = right is None
     left = written(left, "block-rows")
-    right = left if same else written(right, "block-rows")
+    right = again(left) if same else written(right, "block-rows")
     n, m = (max(1, -(-rows.count() // BLOCK)) for rows in (left, right))
     slot = lambda k: F.pmod(F.xxhash64("id"), F.lit(k).cast("long"))
     every = lambda low, high: F.explode(F.sequence(low, high))
@@ -81,63 +101,78 @@ def block_pairs(left: DataFrame, right: DataFrame | None, near: Callable) -> Dat
     y = right.withColumn("j", slot(m)).withColumn("i", every(first, F.col("j") if same else last(n)))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):  # a block without rows on one side has no columns either
+            return pd.DataFrame({"a": [], "b": [], "weight": []})
         cosines = np.zeros((len(x), len(y)))
         dx, dy = (np.array([0 if v is None else len(v) for v in part["unit"]], dtype=int) for part in (x, y))
         for d in set(dx.tolist()) & set(dy.tolist()) - {0}:
             ix, iy = np.flatnonzero(dx == d), np.flatnonzero(dy == d)
             cosines[np.ix_(ix, iy)] = np.stack(x["unit"].iloc[ix].tolist()) @ np.stack(y["unit"].iloc[iy].tolist()).T
-        i, j = np.nonzero(near(x, y, cosines)) if cosines.size else ([], [])
-        return pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array})
+        weights = weigh(x, y, cosines)
+        i, j = np.nonzero(~np.isnan(weights))
+        return pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array, "weight": weights[i, j]})
 
     kind = lambda rows: rows.schema["id"].dataType.simpleString()
-    pairs = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, f"a {kind(left)}, b {kind(right)}")
-    return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct() if same else pairs.distinct()
+    pairs = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, f"a {kind(left)}, b {kind(right)}, weight double")
+    if not same:
+        return pairs
+    # a block meets itself with every pair twice, in both orders
+    return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b", "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+
+
+def shared_words(x, y):
+    """Matrix of the Jaccard of two blocks' word sets (arrays of distinct words), by a product of 0/1 matrices over the
+    words that both blocks have."""
+    import numpy as np
+
+    both = {w: k for k, w in enumerate({w for k in x for w in k} & {w for k in y for w in k})}
+
+    def table(rows):
+        out = np.zeros((len(rows), len(both)), np.float32)
+        for i, words in enumerate(rows):
+            out[i, [both[w] for w in words if w in both]] = 1
+        return out
+
+    common = (table(x) @ table(y).T).astype(float)
+    union = np.array([len(k) for k in x])[:, None] + np.array([len(k) for k in y])[None, :] - common
+    return common / np.maximum(union, 1)
 
 
 def similar_by_vectors(items: DataFrame, p: Similarity) -> DataFrame:
-    """Pairs (a, b) of items with vectors that can reach the threshold though their keyword Jaccard is under ``p.early``."""
+    """Pairs (a, b) of items with vectors and their composite similarity, from the threshold on."""
     import numpy as np
 
-    floor, cos, time, source = p.threshold - p.jaccard * p.early - 1e-9, p.cosine, p.time, p.source
+    threshold, cos, words, time, source = p.threshold, p.cosine, p.jaccard, p.time, p.source
 
-    def near(x, y, cosines):
+    def weigh(x, y, cosines):
         hours = np.abs(x["at"].to_numpy(float)[:, None] - y["at"].to_numpy(float)[None, :]) / 3600
         sx, sy = x["source"].to_numpy(object)[:, None], y["source"].to_numpy(object)[None, :]
         alike = np.where((sx == "") | (sy == ""), 0.5, sx == sy)
-        return cos * cosines + time * np.nan_to_num(np.exp(-hours / 24)) + source * alike >= floor
+        total = cos * cosines + words * shared_words(x["words"].tolist(), y["words"].tolist()) + time * np.nan_to_num(np.exp(-hours / 24)) + source * alike
+        return np.where(total >= threshold, total, np.nan)
+
+    rows = items.filter("embedding is not null").select(F.col("item_id").alias("id"), unit(F.col("embedding")).alias("unit"), _words().alias("words"), F.col("published_at").cast("double").alias("at"), F.coalesce("source_type", F.lit("")).alias("source"))
+    return block_pairs(rows, None, weigh)
+
 
-    rows = items.filter("embedding is not null").select(F.col("item_id").alias("id"), unit(F.col("embedding")).alias("unit"), F.col("published_at").cast("double").alias("at"), F.coalesce("source_type", F.lit("")).alias("source"))
-    return block_pairs(rows, None, near)
+def _words() -> Column:
+    return F.array_distinct(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()))
 
 
-def similarity_edges(items: DataFrame, p: Similarity | None = None, shared_only: bool = False) -> DataFrame:
+def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame:
     """Pairs of items (item_id, keywords, published_at, source_type, embedding) whose composite similarity reaches the
-    threshold. The early filter (a keyword Jaccard of ``p.early``) holds only where a vector is missing: the others also
-    meet in blocks of vectors, exactly (:func:`block_pairs`). ``shared_only``: the early filter for all pairs, a smaller
-    result whose pairs share keywords, without the quadratic part."""
+    threshold. Items with vectors meet in blocks, exactly (:func:`similar_by_vectors`), with work that grows with their
+    square, as no word need be shared. Where a vector is missing the early filter holds, a keyword Jaccard of ``p.early``,
+    and candidates come from keywords (:func:`set_matches`)."""
     p = p or Similarity()
-    pairs = keyword_pairs(items, "item_id", p.early)
-    if not shared_only:
-        words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull())
-        named = lambda s: items.select(F.col("item_id").alias(s), words.alias(f"k{s}"))
-        far = similar_by_vectors(items, p).join(named("a"), "a").join(named("b"), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
-        pairs = pairs.unionByName(far.filter(F.col("jaccard") < p.early - 1e-12))
-    side = lambda s: items.select(F.col("item_id").alias(s), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"), unit(F.col("embedding")).alias(f"unit_{s}"))
+    by_vectors = similar_by_vectors(items, p)
+    sets = items.select(F.col("item_id").alias("id"), _words().alias("k"), F.col("embedding").isNull().alias("bare"))
+    pairs = set_matches(sets.filter("bare").drop("bare"), sets.drop("bare"), p.early).filter("a <> b")
+    pairs = pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "jaccard").dropDuplicates(["a", "b"])
+    side = lambda s: items.select(F.col("item_id").alias(s), F.col("published_at").alias(f"published_at_{s}"), F.col("source_type").alias(f"source_type_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = p.cosine * unit_cosine(F.col("unit_a"), F.col("unit_b")) + p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
-    return rows.select("a", "b", total.alias("weight")).filter(F.col("weight") >= p.threshold)
-
-
-def vector_pairs(items: DataFrame, id_col: str, vector: str, floor: float, bucket: float = 0.5, tables: int = 12) -> DataFrame:
-    """Pairs with a cosine of at least ``floor``, found by locality-sensitive hashing of unit vectors (approximate)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    rows = items.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
-    unit = Normalizer(inputCol="v", outputCol="u").transform(rows).select("id", "u")
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
-    near = model.approxSimilarityJoin(unit, unit, (2 - 2 * floor) ** 0.5 + 1e-9, "distance").filter("datasetA.id < datasetB.id")
-    return near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("distance") ** 2 / 2).alias("cosine"))
+    total = p.jaccard * F.col("jaccard") + p.time * temporal_sim(F.col("published_at_a"), F.col("published_at_b")) + p.source * source_sim(F.col("source_type_a"), F.col("source_type_b"))
+    return by_vectors.unionByName(rows.select("a", "b", total.alias("weight")).filter(F.col("weight") >= p.threshold))
 
 
 def title_words(title: Column) -> Column:
@@ -153,6 +188,8 @@ def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float
     Candidates have a Jaccard of 2 * threshold - 1, and of ``min_jaccard`` at least; where that is more than the bound,
     pairs with vectors also meet in blocks (:func:`block_pairs`), so that none reaching the threshold is lost.
     Ties: higher group score, then id."""
+    import numpy as np
+
     words = lambda: F.array_distinct(F.array_union(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), title_words(F.col("title"))))
     has = "embedding" in articles.columns and "embedding" in groups.columns
     recent = groups.filter(F.col("created_at") > ago(as_of, hours * 3600))
@@ -162,8 +199,8 @@ def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float
     if has and floor > 2 * threshold - 1:
         least = 2 * threshold - floor - 1e-9  # of the cosine, under the Jaccard floor
         units = lambda rows, key: rows.filter("embedding is not null").select(F.col(key).alias("id"), words().alias("k"), unit(F.col("embedding")).alias("unit"))
-        by_vector = block_pairs(units(articles, "article_id").filter("size(k) > 0").drop("k"), units(recent, "id").drop("k"), lambda x, y, cosines: cosines >= least)
-        pairs = rows.select("a", "b").unionByName(by_vector).distinct()
+        by_vector = block_pairs(units(articles, "article_id").filter("size(k) > 0").drop("k"), units(recent, "id").drop("k"), lambda x, y, cosines: np.where(cosines >= least, cosines, np.nan))
+        pairs = rows.select("a", "b").unionByName(by_vector.select("a", "b")).distinct()
         rows = pairs.join(left.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(right.withColumnsRenamed({"id": "b", "k": "kb"}), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
     rows = rows.join(recent.select(F.col("id").alias("b"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else [])), "b")
     if has:

@@ -41,6 +41,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A table of :func:`written` with columns of its own, for the other side of a cogroup with itself, where columns that
+    both sides share would be pruned from one."""
+    return table.sparkSession.read.schema(table.schema).parquet(_PATHS[table])
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Remove tables that :func:`written` made and that no later table reads: all that came from them was written itself."""
     for df in tables:
