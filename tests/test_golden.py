@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,3 +313,76 @@ def test_spam_model_and_grounding(spark):
     s = spark.createDataFrame([(1, "A b x", "u1"), (1, "c", "u2")], "k int, text string, url string")
     got = {r.k: (r.recall, r.grounded, r.cited) for r in T.grounding_gate(g, s, "k").collect()}
     assert got == {1: (0.75, True, ["u1"]), 2: (0.0, False, [])}
+
+
+def test_containing_by_broadcast_and_by_shuffle(spark):
+    from tidewatch.functions.text import containing, infer_category
+    from tidewatch.operators.feeds import search_articles
+
+    texts = {1: "the rain in spain", 2: "", 3: None, 4: "a", 5: "ab ab", 6: "Ünïcode 日本語 text", 7: "spa"}
+    words = ["rain", "a", "ab", "spa", "本語", "zz", "", None, "the rain in spain and more"]
+    rows = spark.createDataFrame(list(texts.items()), "id long, t string")
+    table = spark.createDataFrame([(w,) for w in words], "k string")
+    want = sorted((i, w) for i, t in texts.items() for w in words if t and w and w in t)
+    for limit in (1 << 20, 0):
+        assert sorted((r.id, r.k) for r in containing(rows, "t", table, limit).collect()) == want
+    articles = spark.createDataFrame([(i, t, None, "general") for i, t in texts.items()], "article_id long, title string, body string, category string")
+    dictionary = spark.createDataFrame([("weather", "RAIN", 2.0), ("weather", "spain", 1.5), ("travel", "spa", 3.5), ("letters", "ab", 3.0)], "category string, keyword string, weight double")
+    for limit in (1 << 20, 0):
+        got = {r.article_id: r.category for r in infer_category(articles, dictionary, limit_bytes=limit).collect()}
+        assert got == {1: "travel", 2: "general", 3: "general", 4: "general", 5: "letters", 6: "general", 7: "travel"}
+    queries = spark.createDataFrame([("q", ["SPA", "rain"]), ("r", ["nothing"])], "query_id string, keywords array<string>")
+    found = search_articles(articles.selectExpr("article_id", "title", "timestamp'2024-01-01' publish_time"), queries)
+    assert [(r.query_id, r.article_id) for r in found.orderBy("rank").collect()] == [("q", 1), ("q", 7)]
+
+
+def test_stream_dedupe_forgets_after_its_memory(spark, tmp_path):
+    """A key is let through again once the watermark, seven days behind the newest row of the batches before, has passed
+    its seven days: ``a`` and ``b`` are, ``c`` of day 18 is not yet."""
+    from tidewatch.streaming.streams import stream_dedupe
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "key string, ts timestamp, n int"
+    files = [[("a", day(0), 1), ("b", day(0), 2)], [("a", day(5), 3), ("c", day(6), 4)], [("x", day(16), 5)], [("a", day(17), 6), ("c", day(18), 7)], [("b", day(40), 8)]]
+    query = None
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_dedupe(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "key", "ts")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 4, 5, 6, 8]
+
+
+def test_vectors_and_words_in_one_similarity(spark):
+    """Blocks of several sizes, items without vectors, words or times: all pairs by brute force."""
+    import numpy as np
+
+    from tidewatch.operators import clusters as E
+    from tidewatch.params import Similarity
+
+    rnd = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        vector = None if i % 6 == 0 else rnd.normal(size=4 if i % 7 else 5).tolist()
+        words = None if i % 11 == 0 else [f"w{k}" for k in rnd.choice(12, rnd.integers(0, 5), replace=False)]
+        rows.append((i, words, None if i % 13 == 0 else 1_700_000_000 + int(rnd.integers(0, 200_000)), None if i % 5 == 0 else f"s{i % 3}", vector))
+    df = spark.createDataFrame(rows, "item_id long, keywords array<string>, published_at long, source_type string, embedding array<double>")
+    df = df.selectExpr("item_id", "keywords", "timestamp_seconds(published_at) published_at", "source_type", "embedding")
+    p = Similarity(threshold=0.45)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] >= b[0]:
+                continue
+            x, y = set(a[1] or ()), set(b[1] or ())
+            j = len(x & y) / len(x | y) if x and y else 0.0
+            if (a[4] is None or b[4] is None) and j < p.early:
+                continue
+            c = float(np.dot(a[4], b[4]) / np.linalg.norm(a[4]) / np.linalg.norm(b[4])) if a[4] and b[4] and len(a[4]) == len(b[4]) else 0.0
+            t = math.exp(-abs(a[2] - b[2]) / 86400) if a[2] and b[2] else 0.0
+            s = 0.5 if not a[3] or not b[3] else float(a[3] == b[3])
+            total = p.cosine * c + p.jaccard * j + p.time * t + p.source * s
+            if total >= p.threshold:
+                want[a[0], b[0]] = total
+    got = {(r.a, r.b): r.weight for r in E.similarity_edges(df, p).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 20

@@ -71,7 +71,26 @@ def _(t):
     return A.entries_to_articles(t.entries, t.feeds, AS_OF).select("page_id", "url", "title", "url_hash", stamp("publish_time"), "source", "category")
 
 
-@add("A3_html_to_text")
+#: White space, as Unicode has it, for RE2; entities that the pages have, ``&amp;`` last.
+SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ENTITIES = {"&quot;": '"', "&#39;": "''", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+
+
+def unescaped(x: str) -> str:
+    for name, to in ENTITIES.items():
+        x = f"replace({x}, '{name}', '{to}')"
+    return x
+
+
+def _page_text_sql() -> str:
+    x = "regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', chr(1), 'g')"
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?(</{tag}[^>]*>|\z)', chr(1), 'g')"
+    parts = f"list_transform(string_split(regexp_replace({x}, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda d: regexp_replace({unescaped('d')}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'))"
+    return f"SELECT page_id, CASE WHEN length(x) >= 50 THEN x ELSE '' END AS text FROM (SELECT page_id, array_to_string(list_filter({parts}, lambda d: d <> ''), chr(10)) AS x FROM pages)"
+
+
+@add("A3_html_to_text", f"SELECT page_id, CAST(length(text) AS INTEGER) AS n, sha256(text) AS text_sha256 FROM ({_page_text_sql()})")
 def _(t):
     return A.html_to_text(t.pages.select("page_id", "html")).select("page_id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -137,17 +156,37 @@ def _(t):
 # Text
 
 
-@add("B1_normalize_text")
+def normal_sql(column: str, table: str, key: str) -> str:
+    """``table`` (key, x) with its column normalised, step by step; a sign is dropped where the two before it are the same."""
+    steps = [(r"(?i)https?://[^\t\n\x0B\f\r <>\"'')\]]+", ""), (r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", ""), (rf"[^\pL\pN_{SPACE}.,!?;:()\"''\-–—…·]", " ")]
+    plain = unescaped(f"coalesce({column}, '')")
+    out = f"nfc_normalize(regexp_replace({plain}, '<[^>]+>', '', 'g'))"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    kept = "array_to_string(list_filter(c, lambda e, i: e = chr(10) OR i < 3 OR NOT (c[i - 1] = e AND c[i - 2] = e)), '')"
+    return f"SELECT {key}, trim(regexp_replace({kept}, '[{SPACE}]+', ' ', 'g'), ' ') AS x FROM (SELECT {key}, regexp_extract_all({out}, '(?s).') AS c FROM {table})"
+
+
+def title_sql(x: str) -> str:
+    for pattern in (rf"^[\[(【].*?[】\])][{SPACE}]*", rf"[{SPACE}]*[\[(]\p{{Nd}}+[\])][{SPACE}]*$", rf"[{SPACE}]+\p{{Nd}}+[{SPACE}]*$", rf"(?i)[{SPACE}]*[\[(]\.[a-z0-9]{{1,6}}[\])][{SPACE}]*$"):
+        x = f"regexp_replace({x}, '{pattern}', '')"
+    return f"trim({x}, ' ')"
+
+
+TITLES = f"titles AS (SELECT article_id, {title_sql('x')} AS title FROM ({normal_sql('title', 'articles', 'article_id')}))"
+
+
+@add("B1_normalize_text", f"SELECT page_id, CAST(length(x) AS INTEGER) AS n, sha256(x) AS text_sha256 FROM ({normal_sql('html', 'pages', 'page_id')})")
 def _(t):
     return t.pages.select("page_id", T.normalize_text(F.col("html")).alias("x")).select("page_id", F.length("x").alias("n"), F.sha2("x", 256).alias("text_sha256"))
 
 
-@add("B2_normalize_title")
+@add("B2_normalize_title", f"WITH {TITLES} SELECT article_id, title FROM titles")
 def _(t):
     return t.articles.select("article_id", T.normalize_title(F.col("title")).alias("title"))
 
 
-@add("B3_normalize_articles")
+@add("B3_normalize_articles", f"WITH {TITLES} SELECT article_id, title, sha256(x) AS body_sha256 FROM titles JOIN ({normal_sql('body', 'articles', 'article_id')}) USING (article_id) WHERE title <> ''")
 def _(t):
     return T.normalize_articles(t.articles).select("article_id", "title", F.sha2("body", 256).alias("body_sha256"))
 
@@ -939,6 +978,18 @@ def _(t):
     return article_pipeline(t.articles, AS_OF, t.sns).select("group_id", "article_count", "score", "growth_type")
 
 
+@add("J1_article_stream")
+def _(t):
+    """The articles as four files in two micro-batches, the second with the state of the first."""
+    from tidewatch.plans.pipeline import INPUT
+    from tidewatch.streaming import streams as J
+
+    path, rows = stream_path(t), t.articles.select(*INPUT)
+    rows.repartitionByRange(4, "publish_time", "article_id").write.parquet(f"{path}/in")
+    J.start_pipeline(t.spark, f"{path}/in", f"{path}/out", f"{path}/state", rows.schema, lambda: AS_OF, files=2).awaitTermination()
+    return J.newest_groups(t.spark.read.parquet(f"{path}/out")).select("group_id", "article_count", "score", "growth_type", "batch")
+
+
 @add("J2_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     from tidewatch.streaming import streams as J

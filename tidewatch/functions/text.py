@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewatch.runtime import small
+
 #: What text normalisation removes, keeps and collapses.
 URL = r"(?i)https?://[^\s<>\"')\]]+"
 EMAIL = r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -152,16 +154,33 @@ def is_question(title: Column) -> Column:
     return t.contains("?") | first.isin(*QUESTION_FIRST) | (occurrences(t, QUESTION_IN) > 0)
 
 
-def infer_category(articles: DataFrame, dictionary: DataFrame, floor: float = 3.0) -> DataFrame:
-    """``articles`` with ``category`` from the weights of dictionary words found in title and body[:200], if the best
-    class reaches ``floor``; ties go to the first class by name. The dictionary is a small table of its own."""
+def containing(rows: DataFrame, text: str, words: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+    """Each row of ``rows`` with each row of ``words`` (``k``, not empty, and more) whose ``k`` its ``text`` contains.
+
+    Few words (counted) are broadcast and looked for in every text. More of them meet the texts by shuffle on their first
+    characters, three at most, which a text that contains the word has among its runs of that many; then the whole word
+    is looked for. The columns of both sides have names of their own."""
+    words = words.filter("k is not null and k <> ''")
+    if small(words, 200, limit_bytes):
+        return rows.join(F.broadcast(words), F.col(text).contains(F.col("k")))
+    words = words.withColumn("_run", F.substring("k", 1, 3))
+    sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))
+    every = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), runs)))
+    return rows.withColumn("_run", F.explode(every)).join(words, "_run").filter(F.col(text).contains(F.col("k"))).drop("_run")
+
+
+def infer_category(articles: DataFrame, dictionary: DataFrame, floor: float = 3.0, limit_bytes: int = 8 << 20) -> DataFrame:
+    """``articles`` (article_id) with ``category`` from the weights of dictionary words found in title and body[:200], if
+    the best class reaches ``floor``; ties go to the first class by name. Words: :func:`containing`. A word listed twice
+    in a class counts twice; an id stands for one article."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, 200)))
-    words = dictionary.groupBy(F.col("category").alias("_class")).agg(F.collect_list(F.struct(F.lower("keyword").alias("k"), F.col("weight").alias("w"))).alias("_words"))
-    classes = words.agg(F.sort_array(F.collect_list(F.struct("_class", "_words"))).alias("_all"))
-    total = lambda c: F.aggregate(F.filter(c["_words"], lambda w: F.col("_text").contains(w["k"])), F.lit(0.0), lambda n, w: n + w["w"])
-    scored = F.transform("_all", lambda c: F.struct((-F.round(total(c), 6)).alias("score"), c["_class"].alias("name")))
-    out = articles.withColumn("_text", text).crossJoin(F.broadcast(classes)).withColumn("_best", F.array_min(scored))  # one row
-    return out.withColumn("category", F.when(F.col("_best.score") <= -floor, F.col("_best.name")).otherwise(F.col("category"))).select(*articles.columns)
+    words = dictionary.select(F.lower("keyword").alias("k"), F.col("category").alias("_class"), "weight")
+    hits = containing(articles.select("article_id", text.alias("_text")), "_text", words, limit_bytes)
+    total = hits.groupBy("article_id", "_class").agg(F.round(F.sum("weight"), 6).alias("_sum"))
+    best = total.groupBy("article_id").agg(F.min(F.struct((-F.col("_sum")).alias("_neg"), "_class")).alias("_best"))
+    out = articles.join(best, "article_id", "left")
+    return out.withColumn("category", F.when(F.col("_best._neg") <= -floor, F.col("_best._class")).otherwise(F.col("category"))).select(*articles.columns)
 
 
 def textrank(articles: DataFrame, id_col: str, text: str, n: int = 5) -> DataFrame:

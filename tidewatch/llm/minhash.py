@@ -6,8 +6,8 @@ equal to their Jaccard similarity, and concentrates like independent ones.
 
 Pairs are never made from all members of a bucket. Equal sets are one row. In each bucket the members are first held
 against one hub, the member with the smallest share of shingles of its own; members without enough shingles in common
-with others cannot link and go; whatever the links through hubs leave apart is compared block by block inside tasks,
-from which only links that join components come out.
+with others cannot link and go. Buckets that the links through hubs leave in several parts are searched in blocks inside
+tasks, where the rarest shingles of each set make the candidates; only links that join components come out.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.hashing import U, chunks, mix, shingle_sets, words
+from tidewatch.llm.skew import fresh, salted_join, spread_join
 from tidewatch.operators.components import connected_components
 from tidewatch.runtime import maybe_broadcast, written
 
 COORDINATES, BANDS = 128, 32
-BLOCK, OTHERS = 512, 2048  # documents of the two sides of a task that compares blocks
-SHARDS_OF = 8  # bits of a shingle's hash that choose its shard when shingles are counted
+#: Shingles (8 bytes each) of the two sides of a task that searches blocks, and of a shard that counts shingles.
+BLOCK, OTHERS, SHARD = 1 << 18, 1 << 20, 1 << 20
+KEY_BYTES = 48
 
 
 def sketch(elements: np.ndarray, owner: np.ndarray, n: int, t: int = COORDINATES) -> np.ndarray:
@@ -91,8 +93,9 @@ def set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shi
     return rows.mapInPandas(run, "id string, set binary").withColumn("id", F.col("id").cast(kind))
 
 
-def own_counts(sets: DataFrame) -> DataFrame:
-    """id and how many of its shingles no other row of ``sets`` has. Shingles travel packed, by shard and batch."""
+def own_counts(sets: DataFrame, bits: int) -> DataFrame:
+    """id and how many of its shingles no other row of ``sets`` has. Shingles travel packed, by batch and shard; ``bits``
+    of a shingle's hash choose its shard."""
     kind = sets.schema["id"].dataType.simpleString()
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,9 +104,9 @@ def own_counts(sets: DataFrame) -> DataFrame:
                 own = [np.frombuffer(s, U) for s in x["set"].iloc[a : a + 512]]
                 ids = x["id"].iloc[a : a + 512].to_numpy()
                 hashes, at = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])
-                shard = (hashes >> U(64 - SHARDS_OF)).astype(np.int64)
+                shard = (hashes >> U(63 - bits) >> U(1)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                hashes, at, edges = hashes[order], at[order], np.searchsorted(shard[order], np.arange((1 << SHARDS_OF) + 1))
+                hashes, at, edges = hashes[order], at[order], np.searchsorted(shard[order], np.arange((1 << bits) + 1))
                 rows = [(s, ids[np.unique(at[i:j])].tolist(), hashes[i:j].tobytes(), np.unique(at[i:j], return_inverse=True)[1].astype(np.int32).tobytes()) for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
                 yield pd.DataFrame(rows, columns=["shard", "ids", "hashes", "at"])
 
@@ -134,63 +137,89 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append(100 * shared >= percent * (len(both) - shared))
             yield pd.Series(out, dtype=bool)
 
-    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    pairs = written(pairs.select("a", "b"), "near-pairs")
+    of_b = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")), "near-hubs")
+    total = of_b.agg(F.sum("pairs")).first()[0] or 0
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")  # a stands in a few pairs, b may in many
+    rows = salted_join(rows, of_b.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"), "b", "pairs", total, ["a"])
     return rows.filter(linked("set_a", "set_b")).select("a", "b")
 
 
+def joining_links(few: list, rest: list, percent: int) -> list[tuple]:
+    """Links between sets of ``few`` and of ``rest`` (each: id, component, sorted hashes) that join components still
+    apart, each a pair of ids. Exact: with the shingles of both sides ordered from rare to common, sets that are similar
+    enough share one of the first n - ceil(n percent / 100) + 1."""
+    parent: dict = {}
+
+    def root(c):
+        while parent.setdefault(c, c) != c:
+            c = parent[c] = parent[parent[c]]
+        return c
+
+    size = np.array([len(s) for _, _, s in (*few, *rest)], np.int64)
+    flat = np.concatenate([s for _, _, s in (*few, *rest)])
+    order = np.argsort(flat)
+    first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    counts = np.diff(np.concatenate([first, [len(flat)]]))
+    rank = np.empty(len(flat), U)
+    rank[order] = np.repeat(np.minimum(counts, 0xFFFF), counts)
+    rank = (rank << U(48)) | (flat >> U(16))  # rare before common, then by hash; equal ranks only make more candidates
+    need = size - (-(-size * percent // 100)) + 1
+    prefix = [np.partition(part, n - 1)[:n] for part, n in zip(np.split(rank, np.cumsum(size)[:-1]), need.tolist())]
+    seek, held = np.concatenate(prefix[: len(few)]), np.repeat(np.arange(len(few)), need[: len(few)])
+    order = np.argsort(seek)
+    seek, held, own = seek[order], held[order], size[: len(few)]
+    out = []
+    for at in range(0, len(rest), 256):
+        part = prefix[len(few) + at : len(few) + at + 256]
+        sought, who = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
+        low, n = np.searchsorted(seek, sought), np.searchsorted(seek, sought, "right")
+        n -= low
+        match = held[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        k, j = np.divmod(np.unique(np.repeat(who, n) * len(few) + match), len(few))
+        sizes = size[len(few) + at + k], own[j]
+        fits = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+        for k, j in zip(k[fits].tolist(), j[fits].tolist()):
+            (i, c, y), (f, d, z) = rest[at + k], few[j]
+            a, b = root(c), root(d)
+            if a != b:
+                shared = len(np.intersect1d(y, z, assume_unique=True))
+                if 100 * shared >= percent * (len(y) + len(z) - shared):
+                    parent[a] = b
+                    out.append((i, f))
+    return out
+
+
 def linked_in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components inside buckets; ``apart`` has key, id, component.
-
-    Buckets that share members make one neighbourhood. Its documents outside its largest component, in blocks of BLOCK,
-    meet all its documents, in blocks of OTHERS, so every pair that shares a bucket and is not joined yet is counted on
-    full sets, inside one task for each two blocks. Only links that join two components still apart in the task leave
-    it: fewer than documents."""
-    first = apart.groupBy("key").agg(F.min("id").alias("m"))
-    near = connected_components(apart.join(first, "key").select("id", "m"), "id", "m").withColumnsRenamed({"node": "id", "component": "near"})
-    docs = apart.select("id", "component").distinct().join(near, "id")
-    sizes = docs.groupBy("near", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top")
-    sizes = sizes.groupBy("near").agg(top, F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    sizes = sizes.select("near", (-F.col("top.c")).alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("ks"), F.ceil(F.col("all") / OTHERS).alias("js"))
-    docs = written(docs.join(sizes, "near").join(sets, "id"), "near-blocks")
+    """Links (a, b) that join different components inside buckets; ``apart`` has key, id, n (shingles), component.
+
+    Buckets with the same members count once. The members outside a bucket's largest component, in blocks of BLOCK
+    shingles, meet all its members, in blocks of OTHERS, so every pair of a bucket that is not joined yet is looked for
+    on full sets, inside one task for each two blocks (a document over a block's size is a block). Only links that join
+    two components still apart in the task leave it: fewer than documents."""
+    same = apart.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("more"), F.count(F.lit(1)).alias("members"))
+    once = same.groupBy("ids", "more", "members").agg(F.min("key").alias("key")).select("key")
+    sizes = apart.join(once, "key", "left_semi").groupBy("key", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    top = F.max(F.struct("n", "component")).alias("top")
+    sizes = sizes.groupBy("key").agg(top, F.sum("n").alias("all"), F.sum("members").alias("members"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1).cast("long"))
+    sizes = sizes.select("key", "members", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.n"), BLOCK).alias("ks"), blocks(F.col("all"), OTHERS).alias("js"))
+    sizes = written(sizes, "near-buckets")
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    docs = spread_join(apart.select("key", "id", "component"), sizes, ["key"], "members", total, KEY_BYTES).filter("main is not null")
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = docs.filter("component <> main").select("near", slot("ks").alias("k"), every("js").alias("j"), F.lit(True).alias("few"), "id", "component", "set")
-    rest = docs.select("near", every("ks").alias("k"), slot("js").alias("j"), F.lit(False).alias("few"), "id", "component", "set")
+    few = docs.filter("component <> main").select("key", slot("ks").alias("k"), every("js").alias("j"), F.lit(True).alias("few"), "id", "component")
+    rest = docs.select("key", every("ks").alias("k"), slot("js").alias("j"), F.lit(False).alias("few"), "id", "component")
     kind = sets.schema["id"].dataType.simpleString()
 
-    def count(x: pd.DataFrame) -> pd.DataFrame:
-        few, rest = x[x["few"]].sort_values("id"), x[~x["few"]].sort_values("id")
-        parent: dict = {}
-
-        def root(c):
-            while parent.setdefault(c, c) != c:
-                c = parent[c] = parent[parent[c]]
-            return c
-
-        out = []
-        if len(few):
-            own = [np.frombuffer(s, U) for s in few["set"]]
-            size = np.array([len(s) for s in own])
-            hashes, at = np.concatenate(own), np.repeat(np.arange(len(own)), size)
-            order = np.argsort(hashes, kind="stable")
-            hashes, at = hashes[order], at[order]
-            ids, parts = few["id"].tolist(), few["component"].tolist()
-            for i, c, s in zip(rest["id"].tolist(), rest["component"].tolist(), rest["set"]):
-                y = np.frombuffer(s, U)
-                low, high = np.searchsorted(hashes, y), np.searchsorted(hashes, y, "right")
-                lengths = high - low
-                where = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                shared = np.bincount(at[where], minlength=len(own))
-                for k in np.flatnonzero(100 * shared >= percent * (size + len(y) - shared)).tolist():
-                    a, b = root(c), root(parts[k])
-                    if a != b:
-                        parent[a] = b
-                        out.append((i, ids[k]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return few.unionByName(rest).groupBy("near", "k", "j").applyInPandas(count, f"a {kind}, b {kind}").distinct()
+    def search(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id")
+        side = lambda part: [(i, c, np.frombuffer(s, U)) for i, c, s in zip(part["id"].tolist(), part["component"].tolist(), part["set"])]
+        few, rest = side(x[x["few"]]), side(x[~x["few"]])
+        return pd.DataFrame(joining_links(few, rest, percent) if few and rest else [], columns=["a", "b"])
+
+    return few.unionByName(rest).join(sets, "id").groupBy("key", "k", "j").applyInPandas(search, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, broadcast_limit: int = 32 << 20) -> DataFrame:
@@ -200,21 +229,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lowered; words are runs without blank, tab, newline and their like. Fewer words than ``shingle``: all of
     them are one shingle. Null, empty and blank texts have no shingles and link with nothing. A pair at the threshold
     shares a bucket with a probability of 1 - (1 - 0.8^4)^32, all but 5 in 10^8 of them; every link is confirmed on full
-    sets. Rows that repeat an id count as one document and are ``kept`` alike (ids are keys). A
-    row with a null id links with copies of its set alone. Other columns are ignored.
-    An empty table gives an empty table.
+    sets. Very long texts are whole sets, one of them in a task's memory at a time where they are hashed. Rows that
+    repeat an id count as one document and are ``kept`` alike (ids are keys, of any type that has an order). A row with
+    a null id links with copies of its set alone. Other columns are ignored whatever their names. An empty table gives
+    an empty table.
+
+    Buckets, hubs and groups of copies may hold any share of the rows: what is known of one goes to its members by
+    :func:`spread_join` or, where it is a whole set, by :func:`salted_join`.
     """
     sk = written(sketches(docs, id_col, text_col, shingle), "near-sketches")
-    reps = written(sk.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "near-reps")
+    reps = written(sk.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
 
     # one row per set and band; buckets with one member are gone
     first = sk.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys").dropDuplicates(["id"])
     keyed = first.select("id", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    members = written(keyed.join(shared, "key", "left_semi"), "near-members")
-    wanted = written(members.select("id").distinct(), "near-wanted")
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-keys")
+    total = shared.agg(F.sum("members")).first()[0] or 0
+    members = spread_join(keyed, shared, ["key"], "members", total, KEY_BYTES, broadcast_limit).filter("members is not null")
+    members = written(members.select("key", "id", "n"), "near-members")
+    wanted = written(members.select("id", "n").distinct(), "near-wanted")
     sets = written(set_rows(docs, wanted, id_col, text_col, shingle, broadcast_limit).dropDuplicates(["id"]), "near-sets")
-    own = written(own_counts(sets), "near-own")
+    shingles = wanted.agg(F.sum("n")).first()[0] or 0
+    own = written(own_counts(sets, max(0, (shingles // SHARD).bit_length())), "near-own")
     members = members.join(own, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     # a link needs common / n >= percent on its own: intersection <= common, union >= n
     members = written(members.filter(F.col("common") * 100 >= F.col("n") * percent), "near-members")
@@ -225,27 +261,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return most * 100 >= (n_a + n_b - most) * percent
 
     hub = F.min(F.struct((-F.col("common") / F.col("n")).alias("rank"), "id", "n", "common")).alias("hub")
-    hubs = members.groupBy("key").agg(hub, F.count(F.lit(1)).alias("members")).filter("members > 1")
-    spokes = members.join(hubs.select("key", "hub"), "key").filter("id <> hub.id")
+    hubs = written(members.groupBy("key").agg(hub, F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-hubs")
+    spokes = spread_join(members, hubs, ["key"], "members", total, 2 * KEY_BYTES, broadcast_limit).filter("hub is not null and id <> hub.id")
     spokes = spokes.filter(possible(F.col("n"), F.col("common"), F.col("hub.n"), F.col("hub.common")))
     links = written(verified(spokes.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), sets, percent), "near-links")
     label = connected_components(links, "a", "b")
 
     # buckets that the hubs left in several parts
     placed = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    apart = written(placed.join(parts, "key", "left_semi").select("key", "id", "component"), "near-apart")
-    more = written(linked_in_blocks(apart, sets, percent), "near-links")
+    parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
+    parts = written(parts.select("key", "members", F.lit(True).alias("apart")), "near-parts")
+    apart = spread_join(placed, parts, ["key"], "members", total, KEY_BYTES, broadcast_limit).filter("apart")
+    more = written(linked_in_blocks(written(apart.select("key", "id", "n", "component"), "near-apart"), sets, percent), "near-links")
     if not more.isEmpty():
         label = connected_components(links.unionByName(more), "a", "b")
 
-    of_rep = reps.join(label, reps.rep == label.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    filled = sk.filter("digest is not null").select("id", "n", "digest").join(of_rep, "digest").select("id", "n", "component")
+    of_rep = reps.join(label, reps.rep == label.node, "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"))
+    copies = reps.agg(F.sum("copies")).first()[0] or 0
+    filled = spread_join(sk.filter("digest is not null").select("id", "n", "digest"), written(of_rep, "near-of-rep"), ["digest"], "copies", copies, KEY_BYTES, broadcast_limit).select("id", "n", "component")
     out = filled.unionByName(sk.filter("digest is null").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay, whatever their names.
+    Rows that share an id stay together."""
+    stays = fresh("kept", docs.columns)
+    kept = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col(id_col).alias(stays)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(stays)), "left_semi")

@@ -33,3 +33,17 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     marked = rows.join(F.broadcast(groups.filter(F.col(size) > above).withColumn(mark, F.lit(True))), on, "left")
     rest = marked.filter(F.col(mark).isNull()).select(*rows.columns).join(groups.filter(F.col(size) <= above), on, "left")
     return marked.filter(F.col(mark)).drop(mark).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, spread: list[str], hot: int = HOT, least: int = LEAST) -> DataFrame:
+    """``rows`` inner joined to ``groups`` (unique in ``on``, of any width; ``size``: rows of the key, of ``total``).
+
+    A hot key's rows are dealt by a hash of ``spread`` over as many copies of its group as keep each under ``total / hot``
+    rows (or ``least``). Only the hot keys' numbers are broadcast, fewer than ``hot`` of them whatever the data."""
+    above = max(least, total // hot)
+    salts, salt = fresh("salts", [*rows.columns, *groups.columns]), fresh("salt", [*rows.columns, *groups.columns])
+    many = F.ceil(F.col(size) / above)
+    split = groups.filter(F.col(size) > above).select(on, many.alias(salts))
+    dealt = rows.join(F.broadcast(split), on, "left").withColumn(salt, F.pmod(F.xxhash64(*spread), F.coalesce(salts, F.lit(1).cast("long")))).drop(salts)
+    copies = groups.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    return dealt.join(copies, [on, salt]).drop(salt)

@@ -100,7 +100,7 @@ def block_pairs(left: DataFrame, right: DataFrame | None, weigh: Callable) -> Da
     x = left.withColumn("i", slot(n)).withColumn("j", every(F.col("i") if same else first, last(m)))
     y = right.withColumn("j", slot(m)).withColumn("i", every(first, F.col("j") if same else last(n)))
 
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def meet(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):  # a block without rows on one side has no columns either
             return pd.DataFrame({"a": [], "b": [], "weight": []})
         cosines = np.zeros((len(x), len(y)))
@@ -110,14 +110,12 @@ def block_pairs(left: DataFrame, right: DataFrame | None, weigh: Callable) -> Da
             cosines[np.ix_(ix, iy)] = np.stack(x["unit"].iloc[ix].tolist()) @ np.stack(y["unit"].iloc[iy].tolist()).T
         weights = weigh(x, y, cosines)
         i, j = np.nonzero(~np.isnan(weights))
-        return pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array, "weight": weights[i, j]})
+        out = pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array, "weight": weights[i, j]})
+        return out[out["a"] < out["b"]] if same and key[0] == key[1] else out  # such a block has every pair twice
 
     kind = lambda rows: rows.schema["id"].dataType.simpleString()
     pairs = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, f"a {kind(left)}, b {kind(right)}, weight double")
-    if not same:
-        return pairs
-    # a block meets itself with every pair twice, in both orders
-    return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b", "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    return pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "weight") if same else pairs
 
 
 def shared_words(x, y):

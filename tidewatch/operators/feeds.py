@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import containing
 from tidewatch.operators.scoring import round_up_tie, seconds_before
+from tidewatch.runtime import maybe_broadcast, written
 from tidewatch.sources.tables import ago, ts
 
 #: Bucket and range in minutes.
@@ -117,10 +119,10 @@ def news_feed(articles: DataFrame, groups: DataFrame, as_of, category: str | Non
     return out.limit(limit) if limit else out
 
 
-def _containing(rows: DataFrame, text: str, queries: DataFrame) -> DataFrame:
+def _containing(rows: DataFrame, text: str, queries: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """Rows with the query_id of every query (query_id, keywords) one of whose keywords their text contains, without case."""
     words = queries.select("query_id", F.explode("keywords").alias("k")).select("query_id", F.lower("k").alias("k")).distinct()
-    return rows.join(F.broadcast(words), F.lower(text).contains(F.col("k"))).drop("k").distinct()  # queries are a request's, not data
+    return containing(rows.withColumn("_text", F.lower(text)), "_text", words, limit_bytes).drop("k", "_text").distinct()
 
 
 def search_articles(articles: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
@@ -171,19 +173,26 @@ def top_trends(groups: DataFrame, articles: DataFrame, n: int = 10) -> DataFrame
     return best.join(size, "id", "left").select("id", "title", "score", "burst_score", "category", "locale", F.coalesce("article_count", F.lit(0)).alias("article_count"))
 
 
-def feed_health(attempts: DataFrame) -> DataFrame:
+def feed_health(attempts: DataFrame, memory: int = 200) -> DataFrame:
     """Per feed, from its attempts in order of time and event: last times, last error, failures at the end, totals and the
-    latency smoothed .7 old, .3 new (6 digits)."""
+    latency smoothed .7 old, .3 new (6 digits).
+
+    Totals and last times are pre-aggregated sums and maxima; only the last ``memory`` attempts of a feed are ranked for
+    the latency, as what lies further back weighs less than .7^200."""
+    at, ok = F.struct("ts", "event_id"), F.col("success")
+    totals = attempts.groupBy("feed_id").agg(
+        F.max("ts").alias("last_crawled_at"), F.max(F.when(ok, F.col("ts"))).alias("last_success_at"), F.max(F.when(~ok, F.col("ts"))).alias("last_error_at"), F.max_by("error", F.when(~ok, at)).alias("last_error"),
+        F.max(F.when(ok, at)).alias("_ok"), F.count(F.lit(1)).alias("total_crawl_count"), F.count(F.when(~ok, 1)).alias("total_error_count"))
+    totals = written(totals, "feed-totals")
+    ends = attempts.join(maybe_broadcast(totals.select("feed_id", "_ok"), 64), "feed_id").filter(~ok & (F.col("_ok").isNull() | (at > F.col("_ok"))))
+    ends = ends.groupBy("feed_id").agg(F.count(F.lit(1)).alias("_failures"))
     w = Window.partitionBy("feed_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = attempts.withColumn("k", F.row_number().over(w) - 1)
-    ok = F.col("success")
-    # the weight of an attempt k steps from the end is .3 * .7^k, of the oldest .7^k: past some hundred steps nothing is left
-    rows = rows.withColumn("oldest", F.lead("ts").over(w).isNull())
-    weight = F.when(F.col("oldest"), 1.0).otherwise(0.3) * F.pow(F.lit(0.7), F.col("k"))
-    return rows.groupBy("feed_id").agg(
-        F.max("ts").alias("last_crawled_at"), F.max(F.when(ok, F.col("ts"))).alias("last_success_at"), F.max(F.when(~ok, F.col("ts"))).alias("last_error_at"), F.min_by("error", F.when(~ok, F.col("k"))).alias("last_error"),
-        F.coalesce(F.min(F.when(ok, F.col("k"))), F.count(F.lit(1))).cast("long").alias("consecutive_failures"), F.count(F.lit(1)).alias("total_crawl_count"), F.count(F.when(~ok, 1)).alias("total_error_count"),
-        F.round(F.sum(F.col("latency_ms") * weight), 6).alias("avg_latency_ms"))
+    last = attempts.select("feed_id", "latency_ms", "ts", "event_id").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= memory)
+    # the weight of an attempt k steps from the end is .3 * .7^k, of the oldest .7^k
+    sums = last.groupBy("feed_id").agg(F.sum(F.col("latency_ms") * 0.3 * F.pow(F.lit(0.7), F.col("k") - 1)).alias("_sum"), F.max("k").alias("_n"), F.max_by("latency_ms", "k").alias("_old"))
+    out = totals.join(ends, "feed_id", "left").join(sums, "feed_id", "left")
+    latency = F.col("_sum") + F.when(F.col("_n") == F.col("total_crawl_count"), 0.7 * F.col("_old") * F.pow(F.lit(0.7), F.col("_n") - 1)).otherwise(0.0)
+    return out.select("feed_id", "last_crawled_at", "last_success_at", "last_error_at", "last_error", F.coalesce("_failures", F.lit(0)).cast("long").alias("consecutive_failures"), "total_crawl_count", "total_error_count", F.round(latency, 6).alias("avg_latency_ms"))
 
 
 def health_status(as_of) -> Column:

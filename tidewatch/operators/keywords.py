@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.runtime import written
 from tidewatch.sources.tables import ago
 
 #: English stop words; Korean particles, news boilerplate, media names and office words.
@@ -42,7 +43,7 @@ def corpus_stats(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keyword_scores(articles: DataFrame, boost: float = 2.0, body: int = 500, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """article, term, tf and score: tf/len * idf * BM25, idf = ln((N - df + .5) / (df + .5) + 1)."""
-    terms = _terms(articles, boost, body)
+    terms = written(_terms(articles, boost, body), "terms")  # tokenised once for the statistics and the scores
     df, stats = corpus_stats(terms)
     rows = terms.withColumn("n", F.sum("tf").over(Window.partitionBy("article_id"))).join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
