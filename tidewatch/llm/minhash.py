@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.hashing import U, chunks, mix, shingle_sets, words
 from tidewatch.llm.skew import fresh, salted_join, spread_join
 from tidewatch.operators.components import connected_components
-from tidewatch.runtime import maybe_broadcast, written
+from tidewatch.runtime import again, forget, maybe_broadcast, written
 
 COORDINATES, BANDS = 128, 32
 #: Shingles (8 bytes each) of the two sides of a task that searches blocks, and of a shard that counts shingles.
@@ -138,18 +138,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pd.Series(out, dtype=bool)
 
     pairs = written(pairs.select("a", "b"), "near-pairs")
-    of_b = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")), "near-hubs")
+    of_b = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")), "near-of-b")
     total = of_b.agg(F.sum("pairs")).first()[0] or 0
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")  # a stands in a few pairs, b may in many
     rows = salted_join(rows, of_b.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"), "b", "pairs", total, ["a"])
-    return rows.filter(linked("set_a", "set_b")).select("a", "b")
+    out = written(rows.filter(linked("set_a", "set_b")).select("a", "b"), "near-links")
+    forget(pairs, of_b)
+    return out
 
 
-def joining_links(few: list, rest: list, percent: int) -> list[tuple]:
+def joining_links(few: list, rest: list, percent: int, parent: dict | None = None) -> list[tuple]:
     """Links between sets of ``few`` and of ``rest`` (each: id, component, sorted hashes) that join components still
-    apart, each a pair of ids. Exact: with the shingles of both sides ordered from rare to common, sets that are similar
+    apart (in ``parent``, which is kept up), each a pair of ids. Exact: with the shingles of both sides ordered from rare to common, sets that are similar
     enough share one of the first n - ceil(n percent / 100) + 1."""
-    parent: dict = {}
+    parent = {} if parent is None else parent
 
     def root(c):
         while parent.setdefault(c, c) != c:
@@ -195,31 +197,44 @@ def linked_in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     Buckets with the same members count once. The members outside a bucket's largest component, in blocks of BLOCK
     shingles, meet all its members, in blocks of OTHERS, so every pair of a bucket that is not joined yet is looked for
-    on full sets, inside one task for each two blocks (a document over a block's size is a block). Only links that join
-    two components still apart in the task leave it: fewer than documents."""
+    on full sets, inside one task for each two blocks (a document over a block's size is a block). Buckets of one block
+    share tasks, small ones with the same first member the same task, which gets each of its sets once. Only links that
+    join two components still apart in the task leave it: fewer than documents."""
     same = apart.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("more"), F.count(F.lit(1)).alias("members"))
     once = same.groupBy("ids", "more", "members").agg(F.min("key").alias("key")).select("key")
-    sizes = apart.join(once, "key", "left_semi").groupBy("key", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    sizes = apart.join(once, "key", "left_semi").groupBy("key", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min("id").alias("first"))
     top = F.max(F.struct("n", "component")).alias("top")
-    sizes = sizes.groupBy("key").agg(top, F.sum("n").alias("all"), F.sum("members").alias("members"))
+    sizes = sizes.groupBy("key").agg(top, F.sum("n").alias("all"), F.sum("members").alias("members"), F.min("first").alias("first"))
     blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1).cast("long"))
-    sizes = sizes.select("key", "members", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.n"), BLOCK).alias("ks"), blocks(F.col("all"), OTHERS).alias("js"))
-    sizes = written(sizes, "near-buckets")
-    total = sizes.agg(F.sum("members")).first()[0] or 0
-    docs = spread_join(apart.select("key", "id", "component"), sizes, ["key"], "members", total, KEY_BYTES).filter("main is not null")
+    sizes = sizes.select("key", "members", "first", "all", F.col("top.component").alias("main"), blocks(F.col("all") - F.col("top.n"), BLOCK).alias("ks"), blocks(F.col("all"), OTHERS).alias("js"))
+    sizes = written(sizes.withColumn("alone", F.expr("ks > 1 or js > 1")), "near-buckets")
+    sums = sizes.agg(F.sum("members"), F.sum(F.when(~F.col("alone"), F.col("all")))).first()
+    total, tasks = sums[0] or 0, max(1, 4 * (sums[1] or 0) // BLOCK)
+    placed = sizes.withColumn("task", F.when(F.col("alone"), F.col("key")).otherwise(F.pmod(F.xxhash64(F.when(F.col("all") > BLOCK // 16, F.col("key")), "first"), F.lit(tasks)))).drop("all", "first")
+    docs = spread_join(apart.select("key", "id", "component"), placed, ["key"], "members", total, KEY_BYTES).filter("main is not null")
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = docs.filter("component <> main").select("key", slot("ks").alias("k"), every("js").alias("j"), F.lit(True).alias("few"), "id", "component")
-    rest = docs.select("key", every("ks").alias("k"), slot("js").alias("j"), F.lit(False).alias("few"), "id", "component")
+    place = ["alone", "task", "k", "j"]
+    few = docs.filter("component <> main").withColumns({"k": slot("ks"), "j": every("js"), "few": F.lit(True)})
+    rest = docs.withColumns({"k": every("ks"), "j": slot("js"), "few": F.lit(False)})
+    members = written(few.unionByName(rest).select(*place, "key", "few", "id", "component"), "near-blocks")
+    held = again(members).select(*place, "id").distinct().join(sets, "id")
     kind = sets.schema["id"].dataType.simpleString()
 
-    def search(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("id")
-        side = lambda part: [(i, c, np.frombuffer(s, U)) for i, c, s in zip(part["id"].tolist(), part["component"].tolist(), part["set"])]
-        few, rest = side(x[x["few"]]), side(x[~x["few"]])
-        return pd.DataFrame(joining_links(few, rest, percent) if few and rest else [], columns=["a", "b"])
-
-    return few.unionByName(rest).join(sets, "id").groupBy("key", "k", "j").applyInPandas(search, f"a {kind}, b {kind}").distinct()
+    def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        of, parent, out = {i: np.frombuffer(s, U) for i, s in zip(y["id"].tolist(), y["set"])}, {}, []
+        rows: dict = {}
+        for key, is_few, i, c in sorted(zip(x["key"].tolist(), x["few"].tolist(), x["id"].tolist(), x["component"].tolist())):
+            rows.setdefault(key, ([], []))[0 if is_few else 1].append((i, c, of[i]))
+        for few, rest in rows.values():
+            if few and rest:
+                out += joining_links(few, rest, percent, parent)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    out = members.groupBy(*place).cogroup(held.groupBy(*place)).applyInPandas(search, f"a {kind}, b {kind}").distinct()
+    out = written(out, "near-links")
+    forget(sizes, members)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, broadcast_limit: int = 32 << 20) -> DataFrame:
@@ -245,15 +260,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = first.select("id", "n", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-keys")
     total = shared.agg(F.sum("members")).first()[0] or 0
-    members = spread_join(keyed, shared, ["key"], "members", total, KEY_BYTES, broadcast_limit).filter("members is not null")
-    members = written(members.select("key", "id", "n"), "near-members")
-    wanted = written(members.select("id", "n").distinct(), "near-wanted")
+    bucketed = spread_join(keyed, shared, ["key"], "members", total, KEY_BYTES, broadcast_limit).filter("members is not null")
+    bucketed = written(bucketed.select("key", "id", "n"), "near-members")
+    wanted = written(bucketed.select("id", "n").distinct(), "near-wanted")
     sets = written(set_rows(docs, wanted, id_col, text_col, shingle, broadcast_limit).dropDuplicates(["id"]), "near-sets")
     shingles = wanted.agg(F.sum("n")).first()[0] or 0
     own = written(own_counts(sets, max(0, (shingles // SHARD).bit_length())), "near-own")
-    members = members.join(own, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    members = bucketed.join(own, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     # a link needs common / n >= percent on its own: intersection <= common, union >= n
     members = written(members.filter(F.col("common") * 100 >= F.col("n") * percent), "near-members")
+    forget(shared, bucketed, wanted, own)
 
     def possible(n_a, c_a, n_b, c_b):
         """The intersection is at most either one's common shingles and at most either set."""
@@ -264,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = written(members.groupBy("key").agg(hub, F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-hubs")
     spokes = spread_join(members, hubs, ["key"], "members", total, 2 * KEY_BYTES, broadcast_limit).filter("hub is not null and id <> hub.id")
     spokes = spokes.filter(possible(F.col("n"), F.col("common"), F.col("hub.n"), F.col("hub.common")))
-    links = written(verified(spokes.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), sets, percent), "near-links")
+    links = verified(spokes.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), sets, percent)
     label = connected_components(links, "a", "b")
 
     # buckets that the hubs left in several parts
@@ -272,13 +288,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
     parts = written(parts.select("key", "members", F.lit(True).alias("apart")), "near-parts")
     apart = spread_join(placed, parts, ["key"], "members", total, KEY_BYTES, broadcast_limit).filter("apart")
-    more = written(linked_in_blocks(written(apart.select("key", "id", "n", "component"), "near-apart"), sets, percent), "near-links")
+    apart = written(apart.select("key", "id", "n", "component"), "near-apart")
+    more = linked_in_blocks(apart, sets, percent)
     if not more.isEmpty():
+        forget(label)
         label = connected_components(links.unionByName(more), "a", "b")
+    forget(members, hubs, parts, apart, sets, links, more)
 
     of_rep = reps.join(label, reps.rep == label.node, "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"))
-    copies = reps.agg(F.sum("copies")).first()[0] or 0
-    filled = spread_join(sk.filter("digest is not null").select("id", "n", "digest"), written(of_rep, "near-of-rep"), ["digest"], "copies", copies, KEY_BYTES, broadcast_limit).select("id", "n", "component")
+    of_rep = written(of_rep, "near-of-rep")
+    forget(reps, label)
+    copies = of_rep.agg(F.sum("copies")).first()[0] or 0
+    filled = spread_join(sk.filter("digest is not null").select("id", "n", "digest"), of_rep, ["digest"], "copies", copies, KEY_BYTES, broadcast_limit).select("id", "n", "component")
     out = filled.unionByName(sk.filter("digest is null").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

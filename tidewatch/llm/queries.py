@@ -9,10 +9,14 @@ from tidewatch.llm import bpe, chat, dedup_exact, licenses, lm, media, minhash,
 from tidewatch.runtime import shipped
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Texts go to Python in batches; a batch of the default 10,000 rows of long texts is too much for a small worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """A table, with Arrow batches bounded by bytes where the session has the default of 64 MB: whole texts go to small
+    workers. (The one setting of the session that queries change; README.)"""
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, "4m")
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -111,11 +115,21 @@ fits AS (SELECT page_id, rh || rp AS rule, rv FROM parsed JOIN rules ON (host =
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(rv, 'allow') AS verdict FROM parsed LEFT JOIN fits USING (page_id)"""
 
 
+def _near_sql(shingle: int = 4, percent: int = 80) -> str:
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m FROM reach r JOIN both_ b ON b.a = r.m), label AS (SELECT n AS doc_id, min(m) AS component FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN label USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS y FROM documents),
 g AS (SELECT y, count(*) AS group_size, arg_min(doc_id, (-length(x), doc_id)) AS keep_id FROM t GROUP BY y)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(y) AS text_sha256 FROM t JOIN g USING (y)""",
         "op7_url_filter": _url_sql(),
+        "op8_near_duplicates": _near_sql(),
         "op10_licence_scan": _licence_sql(),
     }
