@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.skew import fresh, spread_join
-from tidewatch.runtime import small, written
+from tidewatch.runtime import forget, small, written
 
 #: The white space that does not count when texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -52,6 +52,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found, full = found.withColumn("key", F.when(F.col("rows").isNotNull(), F.col("full"))), F.col("full")
     hashed = written(found.select("id", "points", "key", (full if all_digests else F.col("key")).alias("digest")), "dedup-hashed")
 
+    forget(sizes, keys)
+
     best = F.min(F.struct((-F.col("points")).alias("neg"), F.col("id").isNull().alias("last"), "id")).alias("best")
     groups = hashed.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
     groups = written(groups.select("key", "group_size", F.col("best.id").alias("best"), F.lit(True).alias("grouped")), "dedup-groups")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.skew import spread_join
-from tidewatch.runtime import small, written
+from tidewatch.runtime import forget, small, written
 
 #: The standing rules (host, path, verdict).
 RULES = (
@@ -74,16 +74,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     cut = parsed.withColumn("head", F.substring("path", 1, longest))
     asked = written(cut.groupBy("host", F.col("head").alias("path")).agg(F.count(F.lit(1)).alias("pages")), "urls-asked")
     exprs = expressions(asked, lengths or [0], longest if len(lengths) > lengths_limit else None)
-    total = asked.agg(F.sum("pages")).first()[0] or 0
+    total, known = asked.agg(F.sum("pages")).first()[0] or 0, None
     if small(table, RULE_BYTES, broadcast_limit):
         hits = exprs.join(F.broadcast(table), "prefix").filter("digest = rule_digest")
     else:
         forms = exprs.groupBy("prefix", "digest").agg(F.count(F.lit(1)).alias("asked_by"))
-        known = forms.join(table, "prefix").filter("digest = rule_digest").drop("prefix", "rule_digest")
-        hits = spread_join(exprs.drop("prefix"), written(known, "urls-known"), ["digest"], "asked_by", total, RULE_BYTES, broadcast_limit).filter("rule_host is not null")
+        known = written(forms.join(table, "prefix").filter("digest = rule_digest").drop("prefix", "rule_digest"), "urls-known")
+        hits = spread_join(exprs.drop("prefix"), known, ["digest"], "asked_by", total, RULE_BYTES, broadcast_limit).filter("rule_host is not null")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), "rule_host", "rule_path", "blocks")
     best = hits.groupBy("host", "path", "pages").agg(F.max(rank).alias("best"))
     best = written(best.select("host", F.col("path").alias("head"), "pages", "best"), "urls-best")
+    forget(asked, known)
     out = spread_join(cut, best, ["host", "head"], "pages", total, BEST_BYTES, broadcast_limit)
     verdict = F.when(F.col("best.blocks") == 1, "block").when(F.col("best.blocks") == 0, "allow").otherwise(default)
     return out.select(F.col("id").alias(id_col), "host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), verdict.alias("verdict"))
