@@ -1,8 +1,6 @@
 """The training-data operators against brute force, on small tables with nulls, empties, ties, repeats and odd columns."""
 
 import collections
-import hashlib
-import itertools
 import math
 import random
 import re
@@ -60,64 +58,6 @@ def test_bpe_tree_agrees_at_any_cut():
         assert np.frombuffer(b.encode([text], rnd.choice([1, 2, 5, 17, 64, 200]))[0], "<u4").tolist() == reference_ids(text)
 
 
-# 8 near duplicates
-
-
-def components(texts, n):
-    sets = {}
-    for i, t in texts.items():
-        w = words(t)
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-    parent = {i: i for i in texts}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b in itertools.combinations(texts, 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 80 * len(x | y):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-    return sets, {i: root(i) for i in texts}
-
-
-@pytest.mark.parametrize("n", [4, 5])
-def test_near_duplicates(docs, texts, n):
-    sets, label = components(texts, n)
-    out = minhash.near_duplicates(docs, shingle=n).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {i: (len(sets[i]), label[i], label[i] == i) for i in texts} and len(out) == len(texts)
-
-
-def test_near_duplicates_chains_and_hot_groups(spark):
-    """A group in which most pairs are under the threshold and no member is near all others."""
-    rnd = random.Random(11)
-    base = [f"w{k}" for k in range(150)]
-    texts = {}
-    for i in range(160):
-        w = list(base)
-        for k in rnd.sample(range(150), rnd.randint(0, 7)):
-            w[k] = f"v{rnd.randint(0, 99999)}"
-        texts[i] = " ".join(w)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    _, label = components(texts, 4)
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=4).collect()} == label
-    assert len(set(label.values())) > 3
-    assert minhash.near_duplicates(docs.limit(0)).count() == 0
-
-
-def test_sketch_estimates_similarity():
-    rnd = np.random.default_rng(1)
-    for size, share in ((3, 0.5), (40, 0.8), (3000, 0.3)):
-        both = rnd.integers(1, 1 << 62, 2 * size, dtype=np.uint64)
-        k = int(size * share)
-        a, b = both[:size], np.concatenate([both[:k], both[size : 2 * size - k]])
-        s = minhash.sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
-        assert (s != ~np.uint64(0)).all()
-        assert abs((s[0] == s[1]).mean() - k / (2 * size - k)) < 0.2
-
-
 # 9 packing
 
 
@@ -146,6 +86,23 @@ def test_packing(docs, texts):
     assert pack.pack_documents(empty(docs), tokenizer_path()).count() == 0
 
 
+def test_pack_keeps_odd_columns_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(pack, "SALT_ROWS", 3)
+    rows = [(i % 7 if i % 5 else None, i % 3, 1 + i * 7 % 64, i) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "doc_id int, piece int, length long, n int").withColumns({c: F.lit(1) for c in ("salt", "Rank", "start", "at", "offset", "sequence_id")})
+    out = pack.pack(df, capacity=64)
+    assert out.columns == ["doc_id", "piece", "length", "n", "salt", "Rank", "start", "at", "sequence_id", "offset"]
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.piece, r.length, r.n) for r in got) == collections.Counter(rows)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for x in bins.values():
+        x.sort()
+        assert all(at == sum(n for _, n in x[:k]) for k, (at, _) in enumerate(x)) and sum(n for _, n in x) <= 64
+    assert pack.pack(df.limit(0)).count() == 0
+
+
 def test_plans_are_near_optimal():
     rnd = random.Random(3)
     for _ in range(60):

@@ -18,16 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import Source, batches
+from tidewatch.llm.skew import fresh
 from tidewatch.runtime import written
 
-SALTS = 64
+#: Salts of a length at least, and rows of all lengths for each further salt.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32.
 
     A document is its ids and then ``end_id``; only documents over ``capacity`` are cut, into pieces of ``capacity``;
-    the first takes what is left over. Null and empty texts have the end id alone. Repeated rows give repeated pieces."""
+    the first takes what is left over. Null and empty texts have the end id alone; very long ones are encoded whole, by
+    tree concatenation. Repeated rows give repeated pieces. Other columns are ignored. Empty table: empty result."""
     source, id_type = Source(docs.sparkSession, path), docs.schema[id_col].dataType.simpleString()
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,18 +156,23 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 1024) -> Dat
     """``pieces`` with ``sequence_id`` and ``offset``. Needs columns id, piece and length (1 to ``capacity``).
 
     Ranks within a length are made in two steps, inside (length, salt) and from the sums of the salts before, so a
-    length with most of the pieces is spread over tasks; ties of (id, piece) are all placed, in any order. ``pieces``
-    should be a written table, as it is read twice. An empty table gives an empty table."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(SALTS)))
-    sums = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-counts")
-    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
-    if any(not 1 <= k <= capacity for k in counts):
+    length with most of the pieces is spread over tasks, more of them the more pieces there are. Ties of (id, piece) and
+    repeated rows are all placed, in any order; null ids too. Columns of the input whose names the result needs give way,
+    all others stay. ``pieces`` should be a written table, as it is read three times. An empty table gives an empty
+    table."""
+    salt, n, rank, start, at = (fresh(x, pieces.columns) for x in ("salt", "n", "rank", "start", "at"))
+    pieces = pieces.drop("sequence_id", "offset")
+    salts = max(SALTS, pieces.count() // SALT_ROWS)
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(salts)))
+    sums = written(salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias(n)), "pack-counts")
+    counts = {r["length"]: r["total"] for r in sums.groupBy("length").agg(F.sum(n).alias("total")).collect()}  # at most ``capacity`` rows
+    if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths go from 1 to {capacity}")
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inner = Window.partitionBy("length", "_salt").orderBy(id_col, "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(inner) - 1).join(starts, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_from")).cast("long"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("length", salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inner = Window.partitionBy("length", salt).orderBy(id_col, "piece")
+    ranked = salted.withColumn(rank, F.row_number().over(inner) - 1).join(starts, ["length", salt])
+    ranked = ranked.withColumn(rank, (F.col(rank) + F.col(start)).cast("long"))
     plan = plan_bins(counts, capacity)
     table = pieces.sparkSession.sparkContext.broadcast({k: plan[k].to_numpy(np.int64) for k in plan})
 
@@ -178,8 +186,8 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 1024) -> Dat
             bins, inside = np.divmod(rank - t["rank"][k], t["each"][k])
             yield pd.DataFrame({"sequence_id": t["bin"][k] + bins, "offset": t["offset"][k] + inside * length})
 
-    placed = ranked.withColumn("_at", place("length", "_rank"))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    placed = ranked.withColumn(at, place(F.col("length"), F.col(rank)))
+    return placed.select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
