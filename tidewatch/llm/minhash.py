@@ -158,6 +158,21 @@ def joining_links(few: list, rest: list, percent: int, parent: dict | None = Non
             c = parent[c] = parent[parent[c]]
         return c
 
+    index: list = []
+
+    def overlaps(y: np.ndarray, found: list) -> list[int]:
+        """The intersections of ``y`` with sets of ``few``, one by one if they are few, else counted over an index."""
+        if len(found) < 16:
+            return [len(np.intersect1d(y, few[x][2], assume_unique=True)) for x in found]
+        if not index:
+            hashes, of = np.concatenate([s for _, _, s in few]), np.repeat(np.arange(len(few)), [len(s) for _, _, s in few])
+            order = np.argsort(hashes)
+            index.extend((hashes[order], of[order]))
+        low, n = np.searchsorted(index[0], y), np.searchsorted(index[0], y, "right")
+        n -= low
+        hit = index[1][np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return np.bincount(hit, minlength=len(few))[found].tolist()
+
     size = np.array([len(s) for _, _, s in (*few, *rest)], np.int64)
     flat = np.concatenate([s for _, _, s in (*few, *rest)])
     order = np.argsort(flat)
@@ -181,14 +196,16 @@ def joining_links(few: list, rest: list, percent: int, parent: dict | None = Non
         k, j = np.divmod(np.unique(np.repeat(who, n) * len(few) + match), len(few))
         sizes = size[len(few) + at + k], own[j]
         fits = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-        for k, j in zip(k[fits].tolist(), j[fits].tolist()):
-            (i, c, y), (f, d, z) = rest[at + k], few[j]
-            a, b = root(c), root(d)
-            if a != b:
-                shared = len(np.intersect1d(y, z, assume_unique=True))
-                if 100 * shared >= percent * (len(y) + len(z) - shared):
+        k, j = k[fits], j[fits]
+        edges = np.searchsorted(k, np.arange(len(part) + 1))
+        for n in range(len(part)):
+            i, c, y = rest[at + n]
+            found = [x for x in j[edges[n] : edges[n + 1]].tolist() if root(few[x][1]) != root(c)]
+            for x, shared in zip(found, overlaps(y, found)):
+                a, b = root(c), root(few[x][1])
+                if a != b and 100 * shared >= percent * (len(y) + len(few[x][2]) - shared):
                     parent[a] = b
-                    out.append((i, f))
+                    out.append((i, few[x][0]))
     return out
 
 
