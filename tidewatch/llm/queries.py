@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, dedup_exact, licenses, lm, media, minhash, pack, quality, urls
+from tidewatch.llm import bpe, chat, dedup_exact, licenses, lm, media, merkle, minhash, negatives, pack, quality, sharding, urls
 from tidewatch.runtime import shipped
 
 
@@ -80,7 +80,34 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_media_columns, op3_quality_classifier, op4_exact_dedup, op5_bpe_round_trip, op6_lm_scores, op7_url_filter, op8_near_duplicates, op9_best_fit_packing, op10_licence_scan)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = lambda text: merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    docs = table(spark, sf_dir, "documents").withColumn("leaf", leaf(F.col("text")))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    shown = F.when(tampered, leaf(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    out = merkle.merkle_manifest(docs.select("doc_id", "lang", "leaf", shown.alias("shown")), carry=("shown",))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("proof")).alias("proof_sha256"), merkle.fold(F.coalesce("shown", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_media_columns, op3_quality_classifier, op4_exact_dedup, op5_bpe_round_trip, op6_lm_scores, op7_url_filter, op8_near_duplicates, op9_best_fit_packing, op10_licence_scan,
+        op11_sharding, op12_hard_negatives, op13_merkle_manifest,
+    )
+}
 
 
 def _licence_sql() -> str:
@@ -124,8 +151,50 @@ reach AS (SELECT a AS n, a AS m FROM both_ UNION SELECT r.n, b.b AS m FROM reach
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN label USING (doc_id)"""
 
 
+NEGATIVES_SQL = """WITH valid AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM valid a JOIN valid b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positive AS (SELECT anchor_id, id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10"""
+
+
+def _merkle_sql(levels: int = 7, forest: int = 2) -> str:
+    """Levels unrolled: trees of up to 8 ** ``levels`` leaves, and 8 ** ``forest`` trees."""
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    # CRC-32 bit by bit over the decimal digits
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: list_transform(range(0, 8), lambda b: (ascii(d) >> b) & 1)))"
+    crc = f"xor(list_reduce(list_transform({bits}, lambda b: CAST(b AS BIGINT)), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295), 4294967295)"
+
+    def tree(name: str, start: str, key: str, height: int) -> str:
+        """CTEs {name}0..{height}: k, pos, n (of the level), h; and {name}p: proofs of the leaves, before and after by level."""
+        out = [f"{name}0 AS ({start})"]
+        for i in range(height):
+            out.append(f"{name}r{i} AS (SELECT k, pos // 8 AS up, n, list(h ORDER BY pos) AS run FROM {name}{i} GROUP BY ALL)")
+            out.append(f"{name}{i + 1} AS (SELECT k, up AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}r{i})")
+        joins = " ".join(f"JOIN {name}r{i} r{i} ON r{i}.k IS NOT DISTINCT FROM l.k AND r{i}.up = l.pos // {8 ** (i + 1)}" for i in range(height))
+        here = [f"l.pos // {8**i} % 8" for i in range(height)]
+        steps = ", ".join(f"CASE WHEN r{i}.n > 1 THEN {{'b': array_to_string(r{i}.run[1:{x}], ''), 'a': array_to_string(r{i}.run[{x} + 2:], '')}} END" for i, x in enumerate(here))
+        out.append(f"{name}p AS (SELECT {key}, list_filter([{steps}], lambda p: p IS NOT NULL) AS proof FROM {name}0 l {joins})")
+        return ",\n".join(out)
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaves = f"""d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS shown FROM documents)"""
+    first = "SELECT lang AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS h, doc_id, shown FROM d"
+    top = f"SELECT 0 AS k, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h, k AS lang FROM t{levels}"
+    return f"""WITH {leaves}, {tree('t', first, 'l.k AS lang, doc_id, h AS leaf, shown', levels)}, {tree('f', top, 'lang, h AS subroot', forest)},
+whole AS (SELECT doc_id, leaf, shown, subroot, list_concat(tp.proof, fp.proof) AS proof FROM tp JOIN fp ON tp.lang IS NOT DISTINCT FROM fp.lang),
+folded AS (SELECT *, (SELECT h FROM f{forest}) AS root, sha256(array_to_string(list_transform(proof, lambda p: p.b || p.a), '')) AS proof_sha256,
+  (list_reduce(proof, lambda h, p: {{'b': sha256(p.b || h.b || p.a), 'a': ''}}, {{'b': shown, 'a': ''}})).b AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_hard_negatives": NEGATIVES_SQL,
+        "op13_merkle_manifest": _merkle_sql(),
         "op4_exact_dedup": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS y FROM documents),
 g AS (SELECT y, count(*) AS group_size, arg_min(doc_id, (-length(x), doc_id)) AS keep_id FROM t GROUP BY y)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(y) AS text_sha256 FROM t JOIN g USING (y)""",
