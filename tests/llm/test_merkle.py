@@ -50,15 +50,13 @@ def made(df, **more):
 
 
 @pytest.mark.parametrize("sizes", [{"en": 1}, {"en": 8}, {"en": 9, None: 1}, {None: 65, "de": 64, "": 3, "é": 1, "z": 2}, {f"l{i}": 1 + i % 3 for i in range(20)}, {"en": 700, "fr": 5}])
-def test_against_brute_force(spark, sizes, monkeypatch):
+def test_against_brute_force(spark, sizes):
     rnd = random.Random(4)
     rows = [(lang, rnd.randint(0, 10**6), h(f"{lang}{k}")) for lang, n in sizes.items() for k in range(n)]
     df = spark.createDataFrame(rows, "lang string, doc_id long, leaf string").repartition(3).withColumns({"tree": F.lit(1), "at": F.lit("x"), "total": F.lit(2.0)})
     assert made(df) == brute(rows)
-    monkeypatch.setattr(merkle, "HEIGHT", 1)  # many rounds of blocks of eight
-    monkeypatch.setattr(merkle, "BLOCK", 8)
-    if sum(sizes.values()) < 100:
-        assert made(df) == brute(rows)
+    if sum(sizes.values()) < 200:
+        assert made(df, height=1) == brute(rows)  # many rounds of blocks of eight
 
 
 def test_equal_rows_null_ids_and_nothing(spark):

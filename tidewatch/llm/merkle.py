@@ -3,7 +3,7 @@
 Nodes are labelled from the leaves up, so a node's label lies above those of its children. A sweep over ascending labels
 sends each digest to the parent, through a queue ordered by the receiver's label; the reversed sweep sends to each child
 its proof: its siblings, and what its parent was sent. The queue is external in two parts. Inside a block, a subtree of
-up to ``FANOUT ** HEIGHT`` nodes, it is a heap; between blocks it is the shuffle, which brings what a block is sent
+up to 8 to the 4th nodes, it is a heap; between blocks it is the shuffle, which brings what a block is sent
 together. A block is one small group, whatever the size of the tree, and the nodes of a round are a 4096th of those of
 the round before.
 """
@@ -21,7 +21,6 @@ from tidewatch.runtime import forget, maybe_broadcast, shipped, written
 
 #: Children of a node, and levels of a block.
 FANOUT, HEIGHT = 8, 4
-BLOCK = FANOUT**HEIGHT
 PROOF = "array<struct<before: string, after: string>>"
 
 
@@ -50,13 +49,13 @@ def siblings(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda p: F.concat(p["before"], p["after"])), ""), 256)
 
 
-def sweep_up(leaves: list[str], total: int) -> list[list[str]]:
-    """Levels of digests of a block, leaves first, up to one node or HEIGHT levels. ``total``: nodes of the leaves' level
-    in the whole tree; a tree of one node has no parent.
+def sweep_up(leaves: list[str], total: int, most: int = HEIGHT) -> list[list[str]]:
+    """Levels of digests of a block, leaves first, up to one node or ``most`` levels. ``total``: nodes of the leaves'
+    level in the whole tree; a tree of one node has no parent.
 
     A queue of (receiver's label, child, digest), ordered by label; a node takes what is at the front for it."""
     levels, height = [leaves], 0
-    while total > 1 and height < HEIGHT:
+    while total > 1 and height < most:
         total, height = -(-total // FANOUT), height + 1
     levels += [[] for _ in range(height)]
     queue = [(1, i // FANOUT, i, h) for i, h in enumerate(leaves)] if height else []  # ascending: a heap as it is
@@ -112,23 +111,23 @@ def positions(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return out.select(*rows.columns, "at", "total")
 
 
-def _up(nodes: DataFrame) -> DataFrame:
+def _up(nodes: DataFrame, height: int) -> DataFrame:
     """tree, at, total and digest of the tops of all blocks of ``nodes`` (tree, at, total, digest)."""
 
     def top(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("at")
         total = int(part["total"].iloc[0])
-        levels = sweep_up(part["digest"].tolist(), total)
+        levels = sweep_up(part["digest"].tolist(), total, height)
         for _ in levels[1:]:
             total = -(-total // FANOUT)
-        return pd.DataFrame({"tree": [part["tree"].iloc[0]], "at": [int(part["at"].iloc[0]) // BLOCK], "total": [total], "digest": [levels[-1][0]]})
+        return pd.DataFrame({"tree": [part["tree"].iloc[0]], "at": [int(part["at"].iloc[0]) // FANOUT**height], "total": [total], "digest": [levels[-1][0]]})
 
     kind = nodes.schema["tree"].dataType.simpleString()
-    blocks = nodes.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("tree", "block")
+    blocks = nodes.withColumn("block", F.floor(F.col("at") / FANOUT**height)).groupBy("tree", "block")
     return blocks.applyInPandas(top, f"tree {kind}, at long, total long, digest string")
 
 
-def _down(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+def _down(nodes: DataFrame, tops: DataFrame, height: int) -> DataFrame:
     """``nodes`` (tree, at, total, digest, more) with ``proof``; ``tops``: tree, at and proof of their blocks' tops."""
 
     def proofs(key: tuple, part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
@@ -136,30 +135,30 @@ def _down(nodes: DataFrame, tops: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=[*columns, "proof"])
         part = part.sort_values("at")
         above = [(p["before"], p["after"]) for p in top["proof"].iloc[0]]
-        found = sweep_down(sweep_up(part["digest"].tolist(), int(part["total"].iloc[0])), above)
+        found = sweep_down(sweep_up(part["digest"].tolist(), int(part["total"].iloc[0]), height), above)
         return part.assign(proof=[[{"before": b, "after": a} for b, a in p] for p in found])[[*columns, "proof"]]
 
     columns = nodes.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
-    left = nodes.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("tree", "block")
+    left = nodes.withColumn("block", F.floor(F.col("at") / FANOUT**height)).groupBy("tree", "block")
     return left.cogroup(tops.withColumn("block", F.col("at")).groupBy("tree", "block")).applyInPandas(proofs, f"{shape}, proof {PROOF}")
 
 
-def prove(nodes: DataFrame, label: str = "merkle") -> tuple[DataFrame, DataFrame]:
+def prove(nodes: DataFrame, label: str = "merkle", height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     """For ``nodes`` (tree, at, total, digest and more; a written table): tree and ``digest`` of each tree's top, and
     ``finish(tops)`` to call with the tops' proofs (tree, proof), which gives ``nodes`` with ``proof``.
 
-    Rounds of blocks go on until each tree is one node: one for each factor of 4096 in the largest tree."""
+    Rounds of blocks go on until each tree is one node: one for each factor of FANOUT ** ``height`` in the largest tree."""
     shipped(nodes.sparkSession)
     rounds = [nodes]
     while not (last := rounds[-1]).filter("total > 1").isEmpty():
-        rounds.append(written(_up(last.select("tree", "at", "total", "digest")), label))
+        rounds.append(written(_up(last.select("tree", "at", "total", "digest"), height), label))
     tops = rounds[-1].select("tree", "digest")
 
     def finish(proofs: DataFrame) -> DataFrame:
         found = proofs.select("tree", F.lit(0).cast("long").alias("at"), "proof")
         for n, level in enumerate(reversed(rounds[:-1]), 1):
-            found = _down(level, found)
+            found = _down(level, found, height)
             if n < len(rounds) - 1:
                 found = written(found.select("tree", "at", "proof"), label)
         if len(rounds) == 1:  # every tree is a lone leaf
@@ -169,7 +168,7 @@ def prove(nodes: DataFrame, label: str = "merkle") -> tuple[DataFrame, DataFrame
     return tops, finish
 
 
-def merkle_manifest(leaves: DataFrame, tree: str = "lang", id_col: str = "doc_id", leaf: str = "leaf", carry: tuple[str, ...] = ()) -> DataFrame:
+def merkle_manifest(leaves: DataFrame, tree: str = "lang", id_col: str = "doc_id", leaf: str = "leaf", carry: tuple[str, ...] = (), height: int = HEIGHT) -> DataFrame:
     """One row per row of ``leaves``: id, ``leaf``, ``subroot``, ``root`` and ``proof``, and the columns of ``carry``.
 
     The leaves of a tree ascend by id (nulls first; rows that share an id by leaf, and equal rows are all leaves). While
@@ -178,16 +177,16 @@ def merkle_manifest(leaves: DataFrame, tree: str = "lang", id_col: str = "doc_id
     ``before`` and ``after`` in each run, so that :func:`fold` gives the root again. Other columns are ignored whatever
     their names. An empty table gives an empty table.
 
-    No task holds more than one block of FANOUT ** HEIGHT nodes; a tree with all leaves is as many blocks as it needs."""
+    No task holds more than one block of FANOUT ** ``height`` nodes; a tree with all leaves is as many blocks as it needs."""
     extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     key = F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit(""))  # in the order of the trees, null first
     rows = leaves.select(key.alias("tree"), F.col(id_col).alias("id"), F.col(leaf).alias("digest"), *extra)
     rows = written(rows.withColumn("tie", F.monotonically_increasing_id()), "merkle-leaves")  # so that equal rows can be dealt apart
     nodes = written(positions(rows, "tree", ["id", "digest", "tie"]), "merkle-nodes")
-    tops, finish = prove(nodes, "merkle-round")
+    tops, finish = prove(nodes, "merkle-round", height)
     forest = written(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "merkle-subroots")
     forest = written(positions(forest, "tree", ["name"]), "merkle-forest")
-    root, finish_forest = prove(forest, "merkle-forest-round")
+    root, finish_forest = prove(forest, "merkle-forest-round", height)
     nothing = root.select("tree", F.from_json(F.lit("[]"), PROOF).alias("proof"))
     sub = written(finish_forest(nothing).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "proof"), "merkle-tops")
     one = root.first()
