@@ -29,14 +29,14 @@ def brute(rows):
     """(lang, id, leaf) -> list of (subroot, root, proof)."""
     trees = {}
     for lang, i, leaf in rows:
-        trees.setdefault(lang, []).append((i is not None, i or 0, leaf))
+        trees.setdefault(lang, []).append((i is not None, i or 0, leaf, i))
     langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
-    parts = {lang: tree([leaf for *_, leaf in sorted(trees[lang])]) for lang in langs}
+    parts = {lang: tree([leaf for _, _, leaf, _ in sorted(trees[lang], key=lambda x: x[:3])]) for lang in langs}
     root, above = tree([parts[lang][0] for lang in langs])
     out = []
     for lang, extra in zip(langs, above):
         top, proofs = parts[lang]
-        for (_, i, leaf), p in zip(sorted(trees[lang]), proofs):
+        for (_, _, leaf, i), p in zip(sorted(trees[lang], key=lambda x: x[:3]), proofs):
             out.append((i, leaf, top, root, tuple(p + extra)))
     return sorted(out, key=repr)
 
