@@ -209,7 +209,10 @@ def test_similarity_edges_need_no_shared_keyword(spark, monkeypatch):
 
     from tidewatch.params import Similarity
 
-    monkeypatch.setattr(E, "BLOCK", 16)  # several blocks
+    from tidewatch.operators import metric
+
+    for name, value in (("CELL", 6), ("CHUNK", 5), ("STRIP", 3)):  # several cells, chunks and strips
+        monkeypatch.setattr(metric, name, value)
     rnd = random.Random(5)
     rows = []
     for i in range(60):
@@ -239,7 +242,10 @@ def test_match_groups_by_vectors_alone(spark, monkeypatch):
     import math
     import random
 
-    monkeypatch.setattr(E, "BLOCK", 8)  # several blocks
+    from tidewatch.operators import metric
+
+    for name, value in (("CELL", 6), ("CHUNK", 5), ("STRIP", 3)):  # several cells, chunks and strips
+        monkeypatch.setattr(metric, name, value)
     rnd = random.Random(3)
     words = ["storm", "river", "comet", "grain", "opera", "engine", "harbour", "market"]
     vector = lambda i: None if i % 10 == 9 else [rnd.gauss(0, 1) for _ in range(3)]

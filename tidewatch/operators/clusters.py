@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim, unit
+from tidewatch.functions.similarity import cosine, jaccard, source_sim, temporal_sim
 from tidewatch.operators.components import connected_components
+from tidewatch.operators.metric import cosine_pairs, with_direction
 from tidewatch.params import Similarity
-from tidewatch.runtime import again, written
+from tidewatch.runtime import written
 from tidewatch.sources.tables import ago
 
-#: Rows of a block where all pairs of two blocks meet in one task.
-BLOCK = 1024
-
-
 def _ranked_sets(rows: DataFrame, keys: list[str], word_keys: list[str]) -> DataFrame:
     """``rows`` (keys and ``k``, a set of words) with ``k`` ordered from the words of fewest rows to those of most."""
     each = rows.select(*keys, F.explode("k").alias("w"))
@@ -81,76 +76,57 @@ def set_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     return full.select(F.col("a").cast(left.schema["id"].dataType).alias("a"), F.col("b").cast(right.schema["id"].dataType).alias("b"), "jaccard")
 
 
-def block_pairs(left: DataFrame, right: DataFrame | None, weigh: Callable) -> DataFrame:
-    """Pairs (a of ``left``, b of ``right``) and their ``weight``, where ``weigh(x, y, cosines)`` gives one. Rows have id,
-    ``unit`` (:func:`unit` vectors) and what ``weigh`` reads; it gets two blocks as pandas frames with the matrix of their
-    cosines (0 where one is missing or sizes differ) and gives a matrix of weights, NaN for no pair. ``right`` None: pairs
-    a < b of ``left``. Exact: every pair meets in one task, a matrix product for each two blocks, so rows are copied and
-    work grows with their square; only pairs with a weight leave the task."""
-    import numpy as np
-    import pandas as pd
-
-    same = right is None
-    left = written(left, "block-rows")
-    right = again(left) if same else written(right, "block-rows")
-    n, m = (max(1, -(-rows.count() // BLOCK)) for rows in (left, right))
-    slot = lambda k: F.pmod(F.xxhash64("id"), F.lit(k).cast("long"))
-    every = lambda low, high: F.explode(F.sequence(low, high))
-    first, last = F.lit(0).cast("long"), lambda k: F.lit(k - 1).cast("long")
-    x = left.withColumn("i", slot(n)).withColumn("j", every(F.col("i") if same else first, last(m)))
-    y = right.withColumn("j", slot(m)).withColumn("i", every(first, F.col("j") if same else last(n)))
-
-    def meet(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):  # a block without rows on one side has no columns either
-            return pd.DataFrame({"a": [], "b": [], "weight": []})
-        cosines = np.zeros((len(x), len(y)))
-        dx, dy = (np.array([0 if v is None else len(v) for v in part["unit"]], dtype=int) for part in (x, y))
-        for d in set(dx.tolist()) & set(dy.tolist()) - {0}:
-            ix, iy = np.flatnonzero(dx == d), np.flatnonzero(dy == d)
-            cosines[np.ix_(ix, iy)] = np.stack(x["unit"].iloc[ix].tolist()) @ np.stack(y["unit"].iloc[iy].tolist()).T
-        weights = weigh(x, y, cosines)
-        i, j = np.nonzero(~np.isnan(weights))
-        out = pd.DataFrame({"a": x["id"].iloc[i].array, "b": y["id"].iloc[j].array, "weight": weights[i, j]})
-        return out[out["a"] < out["b"]] if same and key[0] == key[1] else out  # such a block has every pair twice
-
-    kind = lambda rows: rows.schema["id"].dataType.simpleString()
-    pairs = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, f"a {kind(left)}, b {kind(right)}, weight double")
-    return pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "weight") if same else pairs
-
-
-def shared_words(x, y):
-    """Matrix of the Jaccard of two blocks' word sets (arrays of distinct words), by a product of 0/1 matrices over the
-    words that both blocks have."""
+def common_words(x: list, y: list, i, j):
+    """The Jaccard of the word sets (lists of distinct words) x[i] and y[j], for arrays of places ``i`` and ``j``."""
     import numpy as np
 
-    both = {w: k for k, w in enumerate({w for k in x for w in k} & {w for k in y for w in k})}
+    number: dict[str, int] = {}
+    width = max([1, *map(len, x), *map(len, y)])
+
+    def table(rows: list, empty: int) -> tuple:
+        out = np.full((len(rows), width), empty)
+        for n, words in enumerate(rows):
+            out[n, : len(words)] = [number.setdefault(w, len(number)) for w in words]
+        return out, np.array([len(words) for words in rows])
 
-    def table(rows):
-        out = np.zeros((len(rows), len(both)), np.float32)
-        for i, words in enumerate(rows):
-            out[i, [both[w] for w in words if w in both]] = 1
-        return out
+    (tx, nx), (ty, ny) = table(x, -1), table(y, -2)
+    common, step = np.zeros(len(i)), max(1, (1 << 22) // width**2)
+    for at in range(0, len(i), step):
+        here = slice(at, at + step)
+        common[here] = (tx[i[here]][:, :, None] == ty[j[here]][:, None, :]).sum((1, 2))
+    return common / np.maximum(nx[i] + ny[j] - common, 1)
 
-    common = (table(x) @ table(y).T).astype(float)
-    union = np.array([len(k) for k in x])[:, None] + np.array([len(k) for k in y])[None, :] - common
-    return common / np.maximum(union, 1)
 
+def similar_by_vectors(items: DataFrame, p: Similarity, by_words: float = 0.5) -> DataFrame:
+    """Pairs (a, b) of items with vectors and their composite similarity, from the threshold on; exact.
 
-def similar_by_vectors(items: DataFrame, p: Similarity) -> DataFrame:
-    """Pairs (a, b) of items with vectors and their composite similarity, from the threshold on."""
+    A pair whose keyword Jaccard is under ``by_words`` needs a cosine of what the threshold leaves over all that the
+    Jaccard, time and source can add, and comes from :func:`cosine_pairs`, weighed where it is found. Other pairs come
+    from their keywords (:func:`keyword_pairs`)."""
     import numpy as np
 
     threshold, cos, words, time, source = p.threshold, p.cosine, p.jaccard, p.time, p.source
+    least = (threshold - words * by_words - time - source) / cos if cos > 0 else -1.0
 
-    def weigh(x, y, cosines):
-        hours = np.abs(x["at"].to_numpy(float)[:, None] - y["at"].to_numpy(float)[None, :]) / 3600
-        sx, sy = x["source"].to_numpy(object)[:, None], y["source"].to_numpy(object)[None, :]
+    def weigh(x, y, i, j, cosines):
+        hours = np.abs(x["at"].to_numpy(float)[i] - y["at"].to_numpy(float)[j]) / 3600
+        sx, sy = x["source"].to_numpy(object)[i], y["source"].to_numpy(object)[j]
         alike = np.where((sx == "") | (sy == ""), 0.5, sx == sy)
-        total = cos * cosines + words * shared_words(x["words"].tolist(), y["words"].tolist()) + time * np.nan_to_num(np.exp(-hours / 24)) + source * alike
-        return np.where(total >= threshold, total, np.nan)
-
-    rows = items.filter("embedding is not null").select(F.col("item_id").alias("id"), unit(F.col("embedding")).alias("unit"), _words().alias("words"), F.col("published_at").cast("double").alias("at"), F.coalesce("source_type", F.lit("")).alias("source"))
-    return block_pairs(rows, None, weigh)
+        total = cos * cosines + time * np.nan_to_num(np.exp(-hours / 24)) + source * alike.astype(float)
+        able = np.flatnonzero(total + words >= threshold - 1e-9)
+        out = np.full(len(total), np.nan)
+        out[able] = total[able] + words * common_words(x["words"].tolist(), y["words"].tolist(), i[able], j[able])
+        return np.where(out >= threshold, out, np.nan)
+
+    some = items.filter("embedding is not null")
+    rows = some.select(F.col("item_id").alias("id"), "embedding", _words().alias("words"), F.col("published_at").cast("double").alias("at"), F.coalesce("source_type", F.lit("")).alias("source"))
+    near = cosine_pairs(rows, None, least, weigh)
+    pairs = keyword_pairs(some, "item_id", by_words)
+    side = lambda s: some.select(F.col("item_id").alias(s), *(F.col(c).alias(c + s) for c in ("published_at", "source_type", "embedding")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = cos * cosine(F.col("embeddinga"), F.col("embeddingb")) + words * F.col("jaccard") + time * temporal_sim(F.col("published_ata"), F.col("published_atb")) + source * source_sim(F.col("source_typea"), F.col("source_typeb"))
+    shared = both.select("a", "b", total.alias("weight")).filter(F.col("weight") >= threshold)
+    return near.unionByName(shared).groupBy("a", "b").agg(F.max("weight").alias("weight"))  # some come both ways
 
 
 def _words() -> Column:
@@ -159,9 +135,8 @@ def _words() -> Column:
 
 def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame:
     """Pairs of items (item_id, keywords, published_at, source_type, embedding) whose composite similarity reaches the
-    threshold. Items with vectors meet in blocks, exactly (:func:`similar_by_vectors`), with work that grows with their
-    square, as no word need be shared. Where a vector is missing the early filter holds, a keyword Jaccard of ``p.early``,
-    and candidates come from keywords (:func:`set_matches`)."""
+    threshold. Items with vectors meet by :func:`similar_by_vectors`, as no word need be shared. Where a vector is missing
+    the early filter holds, a keyword Jaccard of ``p.early``, and candidates come from keywords (:func:`set_matches`)."""
     p = p or Similarity()
     by_vectors = similar_by_vectors(items, p)
     sets = items.select(F.col("item_id").alias("id"), _words().alias("k"), F.col("embedding").isNull().alias("bare"))
@@ -174,21 +149,19 @@ def similarity_edges(items: DataFrame, p: Similarity | None = None) -> DataFrame
 
 
 def title_words(title: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+")
+    words = F.split(F.coalesce(title, F.lit("")), r"(?U)\s+")
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
 
 
 def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float = 0.5, hours: int = 6, min_jaccard: float = 0.1) -> DataFrame:
     """article, group and similarity of the best group of the last ``hours``, from ``threshold`` on.
 
-    Sets are keywords and title words; articles without any match nothing. Similarity is half Jaccard and half cosine
+    Sets are keywords and title words, as written; articles without any match nothing. Similarity is half Jaccard and half cosine
     where both sides have vectors (``embedding``), else half Jaccard alone, so that it must reach twice the threshold.
     Candidates have a Jaccard of 2 * threshold - 1, and of ``min_jaccard`` at least; where that is more than the bound,
-    pairs with vectors also meet in blocks (:func:`block_pairs`), so that none reaching the threshold is lost.
+    pairs with vectors also meet by :func:`cosine_pairs`, so that none reaching the threshold is lost.
     Ties: higher group score, then id."""
-    import numpy as np
-
-    words = lambda: F.array_distinct(F.array_union(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower), title_words(F.col("title"))))
+    words = lambda: F.array_union(_words(), title_words(F.col("title")))
     has = "embedding" in articles.columns and "embedding" in groups.columns
     recent = groups.filter(F.col("created_at") > ago(as_of, hours * 3600))
     floor = max(2 * threshold - 1, min(min_jaccard, 2 * threshold)) if has else 2 * threshold
@@ -196,8 +169,8 @@ def match_groups(articles: DataFrame, groups: DataFrame, as_of, threshold: float
     rows = set_matches(left, right, floor)
     if has and floor > 2 * threshold - 1:
         least = 2 * threshold - floor - 1e-9  # of the cosine, under the Jaccard floor
-        units = lambda rows, key: rows.filter("embedding is not null").select(F.col(key).alias("id"), words().alias("k"), unit(F.col("embedding")).alias("unit"))
-        by_vector = block_pairs(units(articles, "article_id").filter("size(k) > 0").drop("k"), units(recent, "id").drop("k"), lambda x, y, cosines: np.where(cosines >= least, cosines, np.nan))
+        vectors = lambda rows, key: rows.withColumn("embedding", with_direction("embedding")).filter("embedding is not null").filter(F.size(words()) > 0).select(F.col(key).alias("id"), "embedding")
+        by_vector = cosine_pairs(vectors(articles, "article_id"), vectors(recent, "id"), least)
         pairs = rows.select("a", "b").unionByName(by_vector.select("a", "b")).distinct()
         rows = pairs.join(left.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(right.withColumnsRenamed({"id": "b", "k": "kb"}), "b").select("a", "b", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
     rows = rows.join(recent.select(F.col("id").alias("b"), F.col("score").alias("group_score"), *([F.col("embedding").alias("eg")] if has else [])), "b")
@@ -227,6 +200,35 @@ def topic_clusters(items: DataFrame, edges: DataFrame, min_text: int = 20, min_k
     return rows.filter(F.col("component").isNotNull() | alone).select("item_id", F.coalesce("component", "item_id").alias("cluster_id"))
 
 
+def density_clusters(items: DataFrame, edges: DataFrame, neighbours: int = 3, min_text: int = 20, min_keywords: int = 3) -> DataFrame:
+    """item, cluster and role of items (item_id, text, keywords) by how densely ``edges`` (a, b, weight) lie around them.
+
+    Items with ``neighbours`` or more are cores. Cores that are linked, through cores, are a cluster (named by its smallest
+    core), so a bridge of sparsely linked items joins nothing. Other items with a core beside them are on the border of
+    that core's cluster to which their heaviest edge leads (ties: the smaller core). Of what is left, two items that are
+    each other's heaviest neighbour (ties: the smaller) are a cluster of a pair. The rest is noise and stays alone if
+    its text and keywords are long enough. An item's edges are summed where they are; no neighbourhood is collected."""
+    named = edges.select("a", "b", "weight").filter("a <> b")
+    both = written(named.unionByName(named.selectExpr("b a", "a b", "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight")), "density-edges")
+    core = written(both.groupBy("a").count().filter(F.col("count") >= neighbours).select(F.col("a").alias("core")), "density-cores")
+    inner = both.join(core, both.a == core.core, "left_semi").join(core, both.b == core.core, "left_semi")
+    label = connected_components(inner.select("a", "b"), "a", "b")
+    cores = written(core.join(label, F.col("core") == label.node, "left").select("core", F.coalesce("component", "core").alias("cluster_id")), "density-labels")
+    outer = written(both.join(core, both.a == core.core, "left_anti"), "density-outer")
+    first = F.min_by("b", F.struct((-F.col("weight")).alias("w"), "b")).alias("b")
+    border = outer.join(core, outer.b == core.core, "left_semi").groupBy("a").agg(first).join(cores, F.col("b") == F.col("core")).select(F.col("a").alias("item"), "cluster_id")
+    border = written(border, "density-borders")
+    left = outer.join(border, outer.a == border.item, "left_anti")  # has no core beside it
+    ends = border.select(F.col("item").alias("end"))
+    best = written(left.join(ends, left.b == ends.end, "left_anti").groupBy("a").agg(first), "density-best")
+    pairs = best.join(best.selectExpr("b a", "a b"), ["a", "b"]).select(F.col("a").alias("item"), F.least("a", "b").alias("cluster_id"))
+    found = cores.select(F.col("core").alias("item"), "cluster_id", F.lit("core").alias("role"))
+    found = found.unionByName(border.withColumn("role", F.lit("border"))).unionByName(pairs.withColumn("role", F.lit("pair")))
+    rows = items.select("item_id", "text", "keywords").join(found, F.col("item_id") == found.item, "left")
+    alone = (F.length(F.coalesce("text", F.lit(""))) >= min_text) & (F.size(F.coalesce("keywords", F.array().cast("array<string>"))) >= min_keywords)
+    return rows.filter(F.col("role").isNotNull() | alone).select("item_id", F.coalesce("cluster_id", "item_id").alias("cluster_id"), F.coalesce("role", F.lit("noise")).alias("role"))
+
+
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node and community by weighted label propagation: each round a node takes the label with the largest summed
     weight around it, its own label counting 1 (ties: the smaller label). ``edges``: a, b, weight."""
