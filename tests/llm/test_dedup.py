@@ -34,6 +34,25 @@ def test_exact_dedup(docs, texts, limit, all_digests, kind):
         assert (int(r.keep_id), r.group_size, r.kept, r.digest) == (keep, len(groups[norm]), keep == int(r.doc_id), digest)
 
 
+def test_only_what_hits_the_filter_is_hashed(spark, monkeypatch):
+    """Whatever is broadcast later: texts are hashed where the filter hits, before any shuffle of them."""
+    seen = {}
+    plain = dedup_exact.written
+    monkeypatch.setattr(dedup_exact, "written", lambda df, label: seen.setdefault(label, plain(df, label)))
+    rows = [(i, f"text {i % 5000} " + "x" * (i % 5000 % 300)) for i in range(5000)] + [(9000 + i, f"text {i}  " + "x" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dedup_exact.exact_dedup(df, broadcast_limit=0)
+    assert out.filter("group_size > 1").count() == 80
+    hashed = seen["dedup-short"].filter("full is not null").count()
+    assert 80 <= hashed < 80 + 5000 / 8  # keys that survive, and few of the others
+    assert hashed < seen["dedup-short"].count()
+
+
+def test_a_full_filter_only_hashes_more(docs):
+    want = sorted(map(tuple, dedup_exact.exact_dedup(docs).collect()), key=str)
+    assert sorted(map(tuple, dedup_exact.exact_dedup(docs, filter_bytes=1, broadcast_limit=0).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("limit", [dedup_exact.BROADCAST, 0])
 def test_odd_tables(docs, spark, limit):
     assert dedup_exact.exact_dedup(docs.limit(0), broadcast_limit=limit).count() == 0
