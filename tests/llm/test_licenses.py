@@ -42,6 +42,26 @@ def test_rows_are_kept_apart(spark, wordings):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_altered_wordings(spark, wordings):
+    """A holder's name may be any; a changed or an added condition is another licence."""
+    bsd, mit = wordings["BSD-3-Clause"], wordings["MIT"]
+    holder = "the copyright holder nor"
+    assert holder in bsd
+    named = [bsd.replace(holder, f"{x} nor") for x in ("Acme Corp.", "the University", "Foo, Inc. and its authors")]
+    regents = bsd.replace(holder, "the University nor").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS")
+    assert "REGENTS AND" in regents and "REGENTS OR" in regents
+    third = bsd[bsd.index("Neither") : bsd.index("THIS SOFTWARE")]
+    changed = bsd.replace(third, "This software may not be used in weapons. ")
+    middle = mit.index("The above copyright notice")
+    added = mit[:middle] + "The Software shall be used for Good, not Evil. " + mit[middle:]
+    texts = [*named, regents, changed, added, mit, bsd]
+    want = ["BSD-3-Clause"] * 4 + ["", ""] + ["MIT", "BSD-3-Clause"]
+    for wrap in (lambda t: t, lambda t: t.replace(". ", ".\n").replace("; ", ";\n"), lambda t: "Intro.\n" + t):
+        df = spark.createDataFrame(list(enumerate(map(wrap, texts))), "doc_id long, text string")
+        got = {r.doc_id: r.licences for r in licenses.scan_licences(df).collect()}
+        assert [got.get(k, "") for k in range(len(texts))] == want
+
+
 def test_rules_need_an_anchor():
     with pytest.raises(ValueError):
         licenses.LicenceRules([("X", "Nothing that tells.")])

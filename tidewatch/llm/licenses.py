@@ -47,14 +47,25 @@ ANCHORS = ("licen", "copyright", "spdx", "software", "program", "warrant", "mpl"
 #: Maps over which the known sentences are dealt, as a map is searched from its start.
 BUCKETS = 64
 
+#: Abbreviations whose point ends no sentence, and what stands for the holder's name in normalised sentences.
+ABBREVIATED = r"(?i)\b(corp|inc|ltd|co|llc)\."
+SLOTS = (
+    ("neither the names? of .{1,200}? nor the names? of", "neither the name of holder nor the names of"),
+    ("is provided by .{1,200}? as is", "is provided by holder as is"),
+    ("in no event shall .{1,200}? be liable", "in no event shall holder be liable"),
+)
+
 FLOW = (r"[\x20\x09-\x0D]+", " ", r"([.!?]) ", "$1\n")
 LINE = (r"[\x0B-\x0D]+", "\n", r"([.!?])[\x20\x09]+", "$1\n")
 
 
 def sentences(text: str) -> list[str]:
     """Normalised sentences of a rule's wording: the flow view of a document."""
-    flat = re.sub(r"([.!?]) ", "\\1\n", re.sub(FLOW[0], " ", text)).split("\n")
-    return [s for s in (re.sub("[^A-Za-z0-9]+", " ", x).strip().lower() for x in flat) if s]
+    flat = re.sub(r"([.!?]) ", "\\1\n", re.sub(FLOW[0], " ", re.sub(ABBREVIATED, "\\1", text))).split("\n")
+    out = [re.sub("[^A-Za-z0-9]+", " ", x).strip().lower() for x in flat]
+    for pattern, name in SLOTS:
+        out = [re.sub(pattern, name, x) for x in out]
+    return [x for x in out if x]
 
 
 class LicenceRules:
@@ -79,7 +90,10 @@ class LicenceRules:
 
 
 def normalised(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
+    out = F.lower(F.trim(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
+    for pattern, name in SLOTS:
+        out = F.regexp_replace(out, pattern, name)
+    return out
 
 
 def scan_licences(docs: DataFrame, rules: LicenceRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,9 +102,11 @@ def scan_licences(docs: DataFrame, rules: LicenceRules | None = None, id_col: st
     rules, by precedence, that are found, counted from 0; null if none).
 
     A text is read in two views: as lines, and as running text in which a sentence may go over lines. In each view
-    sentences end at ``.``, ``!`` or ``?`` before white space; letters and digits are compared, without case. A rule is
-    found when its sentences stand one after another among a view's known sentences; a rule inside a longer found one
-    of the same place is found too and gives the same or its own licence. ``sentence_ids`` is that of the view with more
+    sentences end at ``.``, ``!`` or ``?`` before white space, but not after some abbreviations; letters and digits are
+    compared, without case, and a holder's name where a wording has one (SLOTS) may be any. A rule is found when its
+    sentences stand one after another in a view, with no other sentence between them that has an anchor, so that a
+    wording with a changed or added condition is not taken for the one without. A rule inside a longer found one of the
+    same place is found too and gives the same or its own licence. ``sentence_ids`` are the known ones, those of the view with more
     sentences (lines if equal). Null and empty texts give no row. Every row is a document of its own, also one that repeats
     an id or has none, as nothing is grouped or shuffled; very long texts are read whole, by one task. Other columns are
     ignored. An empty table gives an empty table.
@@ -101,20 +117,22 @@ def scan_licences(docs: DataFrame, rules: LicenceRules | None = None, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(pattern))
 
     def view(steps: tuple[str, str, str, str]) -> Column:
-        """Numbers of the known sentences, in order."""
-        flat = F.regexp_replace(F.regexp_replace("text", steps[0], steps[1]), steps[2], steps[3])
+        """Numbers of the sentences with an anchor, in order; 0 for those that are not known."""
+        flat = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ABBREVIATED, "$1"), steps[0], steps[1]), steps[2], steps[3])
         kept = F.filter(F.split(flat, "\n"), lambda s: s.rlike(pattern))
-        return F.filter(F.transform(kept, lambda s: known(normalised(s))), lambda n: n.isNotNull())
+        return F.transform(kept, lambda s: F.coalesce(known(normalised(s)), F.lit(0)))
 
-    views = rows.select("id", view(LINE).alias("line"), view(FLOW).alias("flow")).filter("size(line) + size(flow) > 0")
-    said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    views = views.select("id", F.greatest(F.size("line"), F.size("flow")).cast("long").alias("n"), F.expr("size(line) >= size(flow)").alias("lines"), said("line").alias("line"), said("flow").alias("flow"))
+    found = lambda c: F.filter(c, lambda n: n > 0)
+    views = rows.select("id", view(LINE).alias("line"), view(FLOW).alias("flow"))
+    views = views.withColumns({"lined": found("line"), "flowed": found("flow")}).filter("size(lined) + size(flowed) > 0")
+    said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    views = views.select("id", F.greatest(F.size("lined"), F.size("flowed")).cast("long").alias("n"), F.expr("size(lined) >= size(flowed)").alias("lines"), *map(said, ("line", "flow", "lined", "flowed")))
     table = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(name).alias("name"), F.lit(run).alias("run")) for k, name, run in rules.rules])
     both = F.concat(F.lit(","), "line", F.lit(",;,"), "flow", F.lit(","))  # no rule goes over the semicolon
     out = views.withColumn("hits", F.filter(table, lambda r: both.contains(r["run"])))
     first = F.array_min(F.transform("hits", lambda r: r["rank"]))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda r: r["name"]))), ",")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_sentences"), F.when(F.col("lines"), F.col("line")).otherwise(F.col("flow")).alias("sentence_ids"), names.alias("licences"), first.alias("rule"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_sentences"), F.when(F.col("lines"), F.col("lined")).otherwise(F.col("flowed")).alias("sentence_ids"), names.alias("licences"), first.alias("rule"))
 
 
 def _lookup(rules: LicenceRules) -> Callable[[Column], Column]:

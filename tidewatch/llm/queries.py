@@ -118,16 +118,20 @@ def _licence_sql() -> str:
 
     def view(name: str, steps: tuple[str, str, str, str]) -> str:
         to = lambda s: "chr(10)" if s == "\n" else quote(s)
-        inner = f"regexp_replace(text, {quote(steps[0])}, {to(steps[1])}, 'g')"
+        inner = f"regexp_replace(regexp_replace(text, {quote(licenses.ABBREVIATED)}, '\\1', 'g'), {quote(steps[0])}, {to(steps[1])}, 'g')"
         return f"SELECT rid, doc_id, '{name}' AS view, string_split(regexp_replace({inner}, {quote(steps[2])}, '\\1' || chr(10), 'g'), chr(10)) AS parts FROM numbered"
 
+    plain = "lower(trim(regexp_replace(part, '[^A-Za-z0-9]+', ' ', 'g')))"
+    for pattern, name in licenses.SLOTS:
+        plain = f"regexp_replace({plain}, {quote(pattern)}, {quote(name)}, 'g')"
     return f"""WITH known(number, sentence) AS (VALUES {known}), rules(rank, name, run) AS (VALUES {table_}), numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 views AS ({view('line', licenses.LINE)} UNION ALL {view('flow', licenses.FLOW)}),
 parts AS (SELECT rid, doc_id, view, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM views),
-found AS (SELECT rid, doc_id, view, pos, number FROM parts JOIN known ON sentence = lower(trim(regexp_replace(part, '[^A-Za-z0-9]+', ' ', 'g')))),
-runs AS (SELECT rid, doc_id, view, count(*) AS n, string_agg(CAST(number AS VARCHAR), ',' ORDER BY pos) AS ids FROM found GROUP BY 1, 2, 3),
-best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, view DESC) = 1),
-hits AS (SELECT rid, min(rank) AS rule, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM runs JOIN rules ON contains(',' || ids || ',', run) GROUP BY 1)
+anchored AS (SELECT *, {plain} AS plain FROM parts WHERE regexp_matches(part, {quote(rules.anchor_pattern())})),
+found AS (SELECT rid, doc_id, view, pos, coalesce(number, 0) AS number FROM anchored LEFT JOIN known ON sentence = plain),
+runs AS (SELECT rid, doc_id, view, count(*) FILTER (WHERE number > 0) AS n, string_agg(CAST(number AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE number > 0) AS ids, string_agg(CAST(number AS VARCHAR), ',' ORDER BY pos) AS marks FROM found GROUP BY 1, 2, 3),
+best AS (SELECT * FROM runs WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, view DESC) = 1),
+hits AS (SELECT rid, min(rank) AS rule, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM runs JOIN rules ON contains(',' || marks || ',', run) GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, ids AS sentence_ids, coalesce(licences, '') AS licences, CAST(rule AS INTEGER) AS rule FROM best LEFT JOIN hits USING (rid)"""
 
 
