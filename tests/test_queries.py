@@ -96,6 +96,39 @@ def test_pipeline_stream_over_two_batches(spark, tmp_path):
     assert ran[0] == ran[1] == {1: (3, 3), 3: (1, 1), 7: (1, 1)}
 
 
+def test_pipeline_stream_forgets_after_a_week_and_reads_only_recent_days(spark, tmp_path):
+    """A url of the first day is dropped on the fifth and new again after the seventh; a repeated batch is the same."""
+    import datetime as dt
+    import os
+    import shutil
+
+    from tidewatch.streaming.streams import start_pipeline
+
+    schema = "article_id long, url string, title string, body string, source string, locale string, category string, publish_time timestamp"
+    now = dt.datetime(2024, 1, 1, 12)
+    words = ["river flood valley bridge rescue", "comet telescope orbit tail astronomer", "harvest grain tractor field barn", "opera tenor stage chorus violin"]
+    paths = [str(tmp_path / x) for x in ("in", "out", "state")]
+
+    def run(day, rows):
+        at = now + dt.timedelta(days=day)
+        made = [(i, f"https://a.example/{u}", words[w], f"{words[w]} {words[w]} {words[w]}", f"s{i}", "en", "general", at) for i, u, w in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(paths[0])
+        start_pipeline(spark, *paths, spark.createDataFrame([], schema).schema, lambda: str(at)).awaitTermination()
+
+    read = lambda: sorted((r.group_id, r.article_count, str(r.day), r.batch) for r in spark.read.parquet(paths[1]).collect())
+    run(0, [(1, "a", 0)])
+    run(5, [(2, "a", 1), (3, "b", 2)])  # a known url
+    assert read() == [(1, 1, "2024-01-01", 0), (3, 1, "2024-01-06", 1)]
+    shutil.rmtree(f"{paths[1]}/day=2024-01-01")  # not read any more
+    run(8, [(4, "a", 3), (5, "b", 0)])  # the first is forgotten, the second is not
+    assert read() == [(3, 1, "2024-01-06", 1), (4, 1, "2024-01-09", 2)]
+    for name in ("2", ".2.crc"):  # as if the run had ended before it could commit
+        os.remove(f"{paths[2]}/commits/{name}")
+    now += dt.timedelta(days=40)  # a repeat on another day has the time of the first attempt
+    start_pipeline(spark, *paths, spark.createDataFrame([], schema).schema, lambda: str(now)).awaitTermination()
+    assert read() == [(3, 1, "2024-01-06", 1), (4, 1, "2024-01-09", 2)]
+
+
 def test_without_the_llm_package(spark):
     import __spark_entry__ as entry
 

@@ -1034,8 +1034,14 @@ def _(t):
     from tidewatch.streaming import streams as J
 
     rows = streamed(t, "events").filter("event_type = 'error'").select(F.concat(F.lit("s"), F.col("user_id") % 5).alias("service"), "event_id", "ts")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return J.stored(J.stream_debounce(rows), stream_path(t)).select("service", "event_id", "notify")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = J.stored(J.stream_debounce(rows), stream_path(t))
+    finally:
+        t.spark.conf.set(name, before)
+    return out.select("service", "event_id", "notify")
 
 
 @add("J6_stream_alerts", "SELECT DISTINCT s.user_id, 'g' || CAST(event_id AS VARCHAR) AS group_id, lower(s.keyword) AS keyword FROM events JOIN subs s ON lower(s.keyword) = 'k' || CAST(event_id % 1009 AS VARCHAR) WHERE alert_surge")

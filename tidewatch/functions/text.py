@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewatch.runtime import small
+from tidewatch.runtime import small, written
 
 #: What text normalisation removes, keeps and collapses.
 URL = r"(?i)https?://[^\s<>\"')\]]+"
@@ -204,11 +204,15 @@ def grounding_gate(generated: DataFrame, sources: DataFrame, key: str, floor: fl
     """Per generated text the share of its distinct words that its sources hold, whether it passes, and the cited urls
     that are among the sources'. ``generated``: key, text, cited; ``sources``: key, text, url."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda w: w != ""))
-    known = sources.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(words("text")))).alias("_known"), F.collect_set("url").alias("_urls"))
-    out = generated.withColumn("_w", words("text")).join(known, key, "left")
-    recall = F.size(F.array_intersect("_w", F.coalesce("_known", F.array().cast("array<string>")))) / F.greatest(F.size("_w"), F.lit(1))
-    cited = F.array_intersect("cited", F.coalesce("_urls", F.array().cast("array<string>")))
-    return out.select(key, F.round(recall, 6).alias("recall"), (recall >= floor).alias("grounded"), cited.alias("cited"))
+    rows = written(generated.select(F.col(key).alias("k"), "text", "cited").withColumn("row", F.monotonically_increasing_id()), "grounding-rows")
+    known = sources.select(F.col(key).alias("k"), F.explode(words("text")).alias("w")).distinct().withColumn("held", F.lit(1))
+    held = rows.select("row", "k", F.explode(words("text")).alias("w")).join(known, ["k", "w"], "left").groupBy("row").agg((F.count("held") / F.count("w")).alias("recall"))
+    urls = sources.select(F.col(key).alias("k"), F.col("url").alias("u")).filter("u is not null").distinct()
+    named = rows.select("row", "k", F.posexplode("cited").alias("at", "u")).join(urls, ["k", "u"]).groupBy("row", "u").agg(F.min("at").alias("at"))
+    named = named.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "u"))), lambda x: x["u"]).alias("named"))  # of the row's own
+    recall = F.coalesce("recall", F.lit(0.0))
+    cited = F.when(F.col("cited").isNotNull(), F.coalesce("named", F.array().cast("array<string>")))
+    return rows.join(held, "row", "left").join(named, "row", "left").select(F.col("k").alias(key), F.round(recall, 6).alias("recall"), (recall >= floor).alias("grounded"), cited.alias("cited"))
 
 
 def group_summaries(articles: DataFrame, n: int = 5, first: int = 5, chars: int = 500) -> DataFrame:
