@@ -138,17 +138,23 @@ def search_trends(sns: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
 
 
 def dashboard(groups: DataFrame, articles: DataFrame, as_of) -> DataFrame:
-    """Figures of the last day in long form (kind, name, value): totals, trends by category, articles by source."""
-    recent = groups.filter(F.col("created_at") > ago(as_of, 86400))
-    news = articles.filter(F.col("publish_time") > ago(as_of, 86400))
-    good = F.when(F.col("score") >= 5.0, 1)
-    total = recent.agg(F.count(good).alias("total_trends"), round_up_tie(F.coalesce(F.avg(F.when(F.col("score") >= 5.0, F.col("score"))), F.lit(0.0)), 1).alias("avg_score"), F.count(F.when(F.col("early_trend_score") > 0.3, 1)).alias("early_signal_count"))
-    long = total.select(F.explode(F.create_map(*[x for c in total.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "value")).withColumn("kind", F.lit("total"))
-    by_category = recent.filter("score >= 5.0").groupBy(F.col("category").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("kind", F.lit("category"))
-    by_source = news.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("kind", F.lit("source"))
-    all_news = news.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("total_news").alias("name"), "value", F.lit("total").alias("kind"))
-    top = by_category.groupBy().agg(F.min(F.struct((-F.col("value")).alias("v"), "name")).alias("x")).filter("x is not null").select(F.col("x.name").alias("name"), (-F.col("x.v")).alias("value"), F.lit("top_category").alias("kind"))
-    return reduce(lambda a, b: a.unionByName(b), [long, by_category, by_source.filter("name is not null"), all_news, top]).select("kind", "name", "value")
+    """Figures of the last day in long form (kind, name, value): totals, trends by category, articles by source and the
+    category with most trends. Categories and totals are grouping sets of one pass over each table; without rows the
+    totals are 0."""
+    one = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    good = F.col("score") >= 5.0
+    recent = groups.filter(F.col("created_at") > ago(as_of, 86400)).select("category", "score", "early_trend_score")
+    sets = recent.groupingSets([["category"], []], "category").agg(F.grouping_id().alias("all"), F.count(F.when(good, 1)).alias("n"), F.avg(F.when(good, F.col("score"))).alias("mean"), F.count(F.when(F.col("early_trend_score") > 0.3, 1)).alias("early"))
+    sets = sets.filter("all = 1 or n > 0").withColumn("r", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("n"), "category")))  # a row for each category
+    total = F.array(one("total", F.lit("total_trends"), F.col("n")), one("total", F.lit("avg_score"), round_up_tie(F.coalesce("mean", F.lit(0.0)), 1)), one("total", F.lit("early_signal_count"), F.col("early")))
+    category = F.array(one("category", F.col("category"), F.col("n")))
+    best = F.when(F.col("r") == 1, F.array(one("top_category", F.col("category"), F.col("n")))).otherwise(F.array().cast("array<struct<kind:string,name:string,value:double>>"))
+    trends = sets.select(F.inline(F.when(F.col("all") == 1, total).otherwise(F.concat(category, best))))
+    news = articles.filter(F.col("publish_time") > ago(as_of, 86400)).groupingSets([["source"], []], "source").agg(F.grouping_id().alias("all"), F.count(F.lit(1)).cast("double").alias("value")).filter("all = 1 or source is not null")
+    counts = news.select(F.when(F.col("all") == 1, "total").otherwise("source").alias("kind"), F.when(F.col("all") == 1, "total_news").otherwise(F.col("source")).alias("name"), "value")
+    names = F.array(*map(F.lit, ("total_trends", "avg_score", "early_signal_count", "total_news")))
+    none = groups.sparkSession.range(1).select(F.lit("total").alias("kind"), F.explode(names).alias("name"), F.lit(0.0).alias("value"))  # grouping sets of no rows are no rows
+    return trends.unionByName(counts).unionByName(none).groupBy("kind", "name").agg(F.max("value").alias("value"))
 
 
 def regional(groups: DataFrame, as_of, locales: int = 20, n: int = 3) -> DataFrame:

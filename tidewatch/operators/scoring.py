@@ -62,11 +62,15 @@ def within(as_of, t: str, seconds: int) -> Column:
     return F.count(F.when(seconds_before(as_of, F.col(t)) < seconds, 1))
 
 
+def _velocity(h: Column, d: Column) -> Column:
+    return F.least(F.lit(1.0), h / F.greatest(d / 24, F.lit(0.1)) / 5)
+
+
 def momentum(articles: DataFrame, as_of, key: str = "group_id") -> DataFrame:
     """key and velocity: articles of the last hour over the day's hourly mean (0.1 at least), over 5, at most 1. Future
     articles count."""
     n = articles.filter(F.col(key).isNotNull()).groupBy(key).agg(within(as_of, "publish_time", 3600).alias("h"), within(as_of, "publish_time", 86400).alias("d"))
-    return n.select(key, F.least(F.lit(1.0), F.col("h") / F.greatest(F.col("d") / 24, F.lit(0.1)) / 5).alias("velocity"))
+    return n.select(key, _velocity(F.col("h"), F.col("d")).alias("velocity"))
 
 
 def momentum_15m(c15: Column, c1h: Column, c24: Column, divisor: float = 5.0) -> Column:
@@ -87,14 +91,31 @@ def growth_type(recent: Column, mid: Column, old: Column) -> Column:
     return F.when(mid.isNull(), "unknown").when(spike, "spike").when(grows, "growth").otherwise("unknown")
 
 
+def _early(n: Column, sources: Column, newest: Column, velocity: Column, as_of) -> Column:
+    hours = F.least(F.lit(48.0), F.greatest(F.lit(0.0), seconds_before(as_of, newest) / 3600))
+    score = round_up_tie(0.4 * velocity + 0.3 * sources / n + 0.3 * (1 - F.coalesce(hours, F.lit(48.0)) / 48), 4)
+    return F.when(sources < 2, 0.0).when(n < 3, F.least(score, F.lit(0.3))).otherwise(score)
+
+
+def group_figures(articles: DataFrame, as_of, hours: int = 12, first: tuple[str, ...] = (), key: str = "group_id") -> DataFrame:
+    """All that one row per group counts: ``n`` articles, ``sources`` that are named, ``newest``, velocity, the three growth
+    windows w0 to w2, early_trend_score and, if ``first`` names columns, those of the first article by them as ``f``.
+
+    Counts of a group and source come first, so distinct sources are a count of rows and a group of many articles reaches
+    the second shuffle as one row for each of its sources."""
+    age = F.floor(seconds_before(as_of, F.col("publish_time")) / (hours * 3600))
+    parts = [F.count(F.lit(1)).alias("n"), F.max("publish_time").alias("newest"), within(as_of, "publish_time", 3600).alias("h"), within(as_of, "publish_time", 86400).alias("d"), *[F.count(F.when(age == i, 1)).alias(f"w{i}") for i in range(3)]]
+    each = articles.filter(F.col(key).isNotNull()).groupBy(key, F.col("source").alias("_source")).agg(*parts, *([F.min(F.struct(*first)).alias("f")] if first else []))
+    sums = [F.sum(c).alias(c) for c in ("n", "h", "d", "w0", "w1", "w2")]
+    rows = each.groupBy(key).agg(*sums, F.count(F.when(F.col("_source") != "", 1)).alias("sources"), F.max("newest").alias("newest"), *([F.min("f").alias("f")] if first else []))
+    rows = rows.withColumn("velocity", _velocity(F.col("h"), F.col("d")))
+    return rows.withColumn("early_trend_score", _early(F.col("n"), F.col("sources"), F.col("newest"), F.col("velocity"), as_of)).drop("h", "d")
+
+
 def early_score(articles: DataFrame, as_of, key: str = "group_id") -> DataFrame:
     """key and early score: .4 velocity + .3 source diversity + .3 recency over 48 h; 0 for one source, .3 at most for
     fewer than three articles."""
-    n = articles.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("source") != "", F.col("source"))).alias("sources"), F.max("publish_time").alias("newest"))
-    rows = n.join(momentum(articles, as_of, key), key)
-    hours = F.least(F.lit(48.0), F.greatest(F.lit(0.0), seconds_before(as_of, F.col("newest")) / 3600))
-    score = round_up_tie(0.4 * F.col("velocity") + 0.3 * F.col("sources") / F.col("n") + 0.3 * (1 - F.coalesce(hours, F.lit(48.0)) / 48), 4)
-    return rows.select(key, F.when(F.col("sources") < 2, 0.0).when(F.col("n") < 3, F.least(score, F.lit(0.3))).otherwise(score).alias("early_trend_score"))
+    return group_figures(articles, as_of, key=key).select(key, "early_trend_score")
 
 
 def source_multiplier(n: Column) -> Column:
@@ -130,13 +151,12 @@ def score_groups(assigned: DataFrame, sns: DataFrame, as_of, w: Weights | None =
     """One row per group of ``assigned`` (articles with group_id, keywords, keyword_importance): counts, burst, velocity,
     growth, multipliers, score, early score, title and keywords. The first article by time, then id, stands for it."""
     rows = assigned.filter("group_id is not null")
-    first = F.min(F.struct("publish_time", "article_id", "category", "source", "locale", "keyword_importance"))
-    base = rows.groupBy("group_id").agg(first.alias("f"), F.count(F.lit(1)).alias("article_count"), F.greatest(F.lit(1), F.countDistinct(F.when(F.col("source") != "", F.col("source")))).alias("source_count"))
+    base = group_figures(rows, as_of, first=("publish_time", "article_id", "category", "source", "locale", "keyword_importance"))
+    base = base.select("group_id", "f", F.col("n").alias("article_count"), F.greatest(F.lit(1), F.col("sources")).alias("source_count"), "velocity", growth_type(F.col("w0"), F.col("w1"), F.col("w2")).alias("growth_type"), "early_trend_score")
     burst = detect_burst(hourly_series(rows, "group_id", "publish_time"), 5).select(F.col("key").alias("group_id"), "burst_score", F.col("level").alias("burst_level"))
-    growth = growth_windows(rows, as_of).select("group_id", growth_type(F.col("w0"), F.col("w1"), F.col("w2")).alias("growth_type"))
     words = group_keywords(rows)
     listed = words.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda e: e["keyword"]).alias("keywords"))
-    out = base.join(burst, "group_id", "left").join(momentum(rows, as_of), "group_id").join(growth, "group_id").join(early_score(rows, as_of), "group_id").join(group_titles(rows, words), "group_id").join(listed, "group_id", "left")
+    out = base.join(burst, "group_id", "left").join(group_titles(rows, words), "group_id").join(listed, "group_id", "left")
     out = out.withColumns({"published_at": F.col("f.publish_time"), "category": F.col("f.category"), "locale": F.col("f.locale"), "source_type": F.col("f.source"), "keyword_importance": F.coalesce("f.keyword_importance", F.lit(0.0)),
                            "social_signal": F.lit(0.0), "burst_score": F.coalesce("burst_score", F.lit(0.0)), "burst_level": F.coalesce("burst_level", F.lit("end")), "keywords": F.coalesce("keywords", F.array().cast("array<string>"))})
     out = trend_score(out, as_of, w).drop("f")
