@@ -21,6 +21,7 @@ from tidewatch.operators import scoring as S
 from tidewatch.operators import series as R
 from tidewatch.params import Similarity
 from tidewatch.runtime import written
+from tidewatch.sources import stored as K
 from tidewatch.sources import tables as A
 
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -118,24 +119,47 @@ def _(t):
     return A.interest_score(t.history).select("keyword", r6("score"))
 
 
-@add("A8_upsert_trends", "SELECT platform, keyword, locale, id FROM sns QUALIFY row_number() OVER (PARTITION BY platform, keyword, locale ORDER BY snapshot_at DESC, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END DESC, id DESC) = 1")
+UPSERTED = "SELECT platform, keyword, locale, id FROM sns QUALIFY row_number() OVER (PARTITION BY platform, keyword, locale ORDER BY snapshot_at DESC, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END DESC, id DESC) = 1"
+
+
+@add("A8_upsert_trends", UPSERTED)
 def _(t):
     s = t.sns
     return A.upsert_trends(s.filter("id % 2 = 1"), s.filter("id % 2 = 0")).select("platform", "keyword", "locale", "id")
 
 
+@add("A8_upsert_stored", UPSERTED)
+def _(t):
+    """The odd rows stored, the even ones upserted twice."""
+    path, s = stream_path(t), t.sns
+    for rows in (s.filter("id % 2 = 1"), s.filter("id % 2 = 0"), s.filter("id % 2 = 0")):
+        K.upsert_stored(rows, path)
+    return t.spark.read.parquet(path).select("platform", "keyword", "locale", "id")
+
+
 @add("A9_collect_trends", "SELECT platform, substr(keyword, 1, 500) AS keyword, coalesce(sentiment_badge, 'neutral') AS sentiment_badge, coalesce(category, 'general') AS category, count(*) AS n FROM (SELECT platform, keyword, sentiment_badge, category FROM sns UNION ALL SELECT platform, keyword, NULL, NULL FROM posts) GROUP BY ALL")
 def _(t):
     return A.collect_trends(t.sns, t.posts).groupBy("platform", "keyword", "sentiment_badge", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("A10_assign_groups", f"WITH {HASHED}, new AS (SELECT url_hash, min('n' || CAST(article_id % 7 AS VARCHAR)) AS g FROM hashed WHERE article_id % 3 = 0 GROUP BY 1) SELECT article_id, coalesce(g, group_id) AS group_id FROM hashed LEFT JOIN new USING (url_hash)")
+ASSIGNED = f"WITH {HASHED}, new AS (SELECT url_hash, min('n' || CAST(article_id % 7 AS VARCHAR)) AS g FROM hashed WHERE article_id % 3 = 0 GROUP BY 1) SELECT article_id, coalesce(g, group_id) AS group_id FROM hashed LEFT JOIN new USING (url_hash)"
+
+
+@add("A10_assign_groups", ASSIGNED)
 def _(t):
     a = T.with_hashes(t.articles)
     new = a.filter("article_id % 3 = 0").select("url_hash", F.concat(F.lit("n"), F.col("article_id") % 7).alias("group_id"))
     return A.assign_groups(a, new).select("article_id", "group_id")
 
 
+@add("A10_assign_stored", ASSIGNED)
+def _(t):
+    path, a = stream_path(t), T.with_hashes(t.articles)
+    K.put_partitions(a.withColumn("publish_date", F.to_date("publish_time")), path, "publish_date")
+    K.assign_stored(a.filter("article_id % 3 = 0").select("url_hash", F.concat(F.lit("n"), F.col("article_id") % 7).alias("group_id")), path)
+    return t.spark.read.parquet(path).select("article_id", "group_id")
+
+
 @add("A11_export_trends", "SELECT id, title, category, locale, score, early_trend_score, array_to_string(keywords, '|') AS keywords, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM groups")
 def _(t):
     return A.export_trends(t.groups)
@@ -342,12 +366,24 @@ def _(t):
     return t.articles.select("article_id", F.array_join(D.tokenize(F.col("body")), " ").alias("tokens"))
 
 
-@add("D2_corpus_stats", f"WITH {TERMS}, lens AS (SELECT article_id, sum(tf) AS n FROM terms GROUP BY 1) SELECT term, count(*) AS df, (SELECT count(*) FROM lens) AS docs, (SELECT round(avg(n), 6) FROM lens) AS mean_n FROM terms GROUP BY 1")
+CORPUS = f"WITH {TERMS}, lens AS (SELECT article_id, sum(tf) AS n FROM terms GROUP BY 1) SELECT term, count(*) AS df, (SELECT count(*) FROM lens) AS docs, (SELECT round(avg(n), 6) FROM lens) AS mean_n FROM terms GROUP BY 1"
+
+
+@add("D2_corpus_stats", CORPUS)
 def _(t):
     df, stats = D.corpus_stats(D._terms(t.articles, 2.0, 500))
     return df.crossJoin(F.broadcast(stats)).select("term", "df", "docs", r6("mean_n"))  # one row
 
 
+@add("D2_running_stats", CORPUS)
+def _(t):
+    """The articles as three batches, the second one twice."""
+    path = stream_path(t)
+    for n in (0, 1, 1, 2):
+        df, stats = D.running_stats(D._terms(t.articles.filter(F.col("article_id") % 3 == n), 2.0, 500), path, n)
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", "docs", r6("mean_n"))  # one row
+
+
 @add("D3_keyword_scores", f"WITH {SCORES} SELECT article_id, term, tf, round(score, 6) AS score FROM scores")
 def _(t):
     return D.keyword_scores(t.articles).select("article_id", "term", "tf", r6("score"))
@@ -955,12 +991,23 @@ def _(t):
 # Maintenance
 
 
-@add("I1_archive_split", f"SELECT id, created_at < {NOW} - INTERVAL 90 DAYS AS archived FROM audit")
+ARCHIVED = f"SELECT id, created_at < {NOW} - INTERVAL 90 DAYS AS archived FROM audit"
+
+
+@add("I1_archive_split", ARCHIVED)
 def _(t):
     old, rest = H.archive_split(t.audit, AS_OF)
     return old.select("id", F.lit(True).alias("archived")).unionByName(rest.select("id", F.lit(False).alias("archived")))
 
 
+@add("I1_archive_stored", ARCHIVED)
+def _(t):
+    live, archive = stream_path(t), stream_path(t)
+    K.put_partitions(t.audit.withColumn("created_date", F.to_date("created_at")), live, "created_date")
+    K.archive_stored(t.spark, live, archive, AS_OF)
+    return t.spark.read.parquet(archive).select("id", F.lit(True).alias("archived")).unionByName(t.spark.read.parquet(live).select("id", F.lit(False).alias("archived")))
+
+
 @add("I2_expire_plans", f"WITH f AS (SELECT user_id, max(CAST(status = 'active' AND expires_at < {NOW} AS INTEGER)) AS late, max(CAST(status = 'active' AND expires_at >= {NOW} AS INTEGER)) AS has FROM plans GROUP BY 1) SELECT u.user_id, CASE WHEN late = 1 AND has = 0 THEN 'free' ELSE plan END AS plan FROM users u LEFT JOIN f ON f.user_id = u.user_id")
 def _(t):
     return H.expire_plans(t.plans, t.users, AS_OF)[1].select("user_id", "plan")
@@ -1029,6 +1076,15 @@ def _(t):
     return J.stored(J.stream_trailing(rows), stream_path(t)).select("key", stamp("ts"), "count")
 
 
+@add("J4_stream_panes", f"""WITH p AS (SELECT key, date_trunc('hour', ts) + to_minutes(CAST(15 * floor(minute(ts) / 15) AS INTEGER)) AS s, count(*) AS n FROM series GROUP BY 1, 2), w AS (SELECT key, n, o, s + to_minutes(CAST(15 * (o + 1) AS INTEGER)) AS e FROM p, (SELECT unnest(range(96)) AS o))
+SELECT key, {dstamp('e', 'ts')}, CAST(coalesce(sum(n) FILTER (WHERE o < 1), 0) AS BIGINT) AS c15, CAST(coalesce(sum(n) FILTER (WHERE o < 4), 0) AS BIGINT) AS c1h, CAST(sum(n) AS BIGINT) AS c24 FROM w WHERE e <= (SELECT max(ts) FROM series) - INTERVAL 1 HOUR GROUP BY key, e""")
+def _(t):
+    from tidewatch.streaming import streams as J
+
+    rows = streamed(t, "events").select(F.col("event_type").alias("key"), "ts")
+    return J.stored(J.stream_panes(rows), stream_path(t)).select("key", stamp("ts"), "c15", "c1h", "c24")
+
+
 @add("J5_stream_debounce", "SELECT service, event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY service ORDER BY ts, event_id)) >= 600, true) AS notify FROM alerts")
 def _(t):
     from tidewatch.streaming import streams as J

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import written
+from tidewatch.runtime import exists, remove, written
 from tidewatch.sources.tables import ago
 
 #: English stop words; Korean particles, news boilerplate, media names and office words.
@@ -41,10 +43,47 @@ def corpus_stats(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_n"))
 
 
-def keyword_scores(articles: DataFrame, boost: float = 2.0, body: int = 500, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """article, term, tf and score: tf/len * idf * BM25, idf = ln((N - df + .5) / (df + .5) + 1)."""
+#: Batches after which the counts kept under a path are folded into one table.
+FOLD = 16
+
+
+def _counted(terms: DataFrame) -> DataFrame:
+    """What a batch adds: term and df, and under a null term its documents (df) and their terms (n). Sums of such tables
+    are those of the union of batches, each of which has whole articles."""
+    length = terms.groupBy("article_id").agg(F.sum("tf").alias("n"))
+    total = length.agg(F.lit(None).cast("string").alias("term"), F.count(F.lit(1)).alias("df"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.lit(0).cast("long")).unionByName(total)
+
+
+def _kept(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    """Sums over batches 0 to ``upto``: the last fold before it and what came after."""
+    folds = [f for f in range(FOLD - 1, upto + 1, FOLD) if exists(spark, f"{path}/fold={f}/_SUCCESS")]
+    last = folds[-1] if folds else -1
+    parts = [f"{path}/fold={last}"] if folds else []
+    parts += [p for n in range(last + 1, upto + 1) if exists(spark, (p := f"{path}/batch={n}") + "/_SUCCESS")]
+    return spark.read.schema("term string, df long, n long").parquet(*parts).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
+def running_stats(terms: DataFrame, path: str, batch: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`corpus_stats` over batches 0 to ``batch``, of which ``terms`` is the last; the counts of each are kept under
+    ``path``. A repeated batch replaces its own counts. Every FOLD batches the counts before become one table, so a batch
+    reads FOLD tables at most, each no longer than the vocabulary. An article that two batches bring counts twice."""
+    spark = terms.sparkSession
+    _counted(terms).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if batch and batch % FOLD == 0 and not exists(spark, f"{path}/fold={batch - 1}/_SUCCESS"):
+        _kept(spark, path, batch - 1).write.mode("overwrite").parquet(f"{path}/fold={batch - 1}")
+        for old in [f"batch={n}" for n in range(batch - FOLD, batch)] + [f"fold={batch - 1 - FOLD}"]:
+            remove(spark, f"{path}/{old}")
+    kept = _kept(spark, path, batch)
+    mean = F.col("n") / F.when(F.col("df") > 0, F.col("df"))
+    return kept.filter("term is not null").select("term", "df"), kept.filter("term is null").select(F.col("df").alias("docs"), mean.alias("mean_n"))
+
+
+def keyword_scores(articles: DataFrame, boost: float = 2.0, body: int = 500, k1: float = 1.5, b: float = 0.75, statistics: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = corpus_stats) -> DataFrame:
+    """article, term, tf and score: tf/len * idf * BM25, idf = ln((N - df + .5) / (df + .5) + 1). ``statistics`` gives df
+    and the row of totals for the terms: those of the articles themselves, or of all batches (:func:`running_stats`)."""
     terms = written(_terms(articles, boost, body), "terms")  # tokenised once for the statistics and the scores
-    df, stats = corpus_stats(terms)
+    df, stats = statistics(terms)
     rows = terms.withColumn("n", F.sum("tf").over(Window.partitionBy("article_id"))).join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     bm25 = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_n")))

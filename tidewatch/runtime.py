@@ -47,13 +47,26 @@ def again(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(_PATHS[table])
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Remove tables that :func:`written` made and that no later table reads: all that came from them was written itself."""
     for df in tables:
         if df is not None and (path := _PATHS.pop(df, None)):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            remove(df.sparkSession, path)
 
 
 def small(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
