@@ -14,6 +14,7 @@ from tidewatch.adapters import AS_OF, Tables, duck_with
 from tidewatch.functions import text as T
 from tidewatch.operators import behavior as H
 from tidewatch.operators import clusters as E
+from tidewatch.operators import communities as M
 from tidewatch.operators import dedupe as C
 from tidewatch.operators import feeds as G
 from tidewatch.operators import keywords as D
@@ -548,6 +549,17 @@ def _(t):
     return E.communities(group_pairs(t).select("a", "b", F.col("jaccard").alias("weight")))
 
 
+@add("E8_label_modularity", f"WITH {PAIRS}, {_rounds(5)}, com AS (SELECT label, sum(weight) AS s FROM bw JOIN l5 ON node = a GROUP BY 1), inn AS (SELECT sum(weight) AS w FROM bw JOIN l5 x ON x.node = bw.a JOIN l5 y ON y.node = bw.b WHERE x.label = y.label) SELECT round(max(w) / sum(s) - sum(s * s) / (sum(s) * sum(s)), 6) AS modularity FROM com, inn")
+def _(t):
+    edges = group_pairs(t).select("a", "b", F.col("jaccard").alias("weight"))
+    return M.modularity(edges, E.communities(edges)).select(r6("modularity"))
+
+
+@add("E8_modularity")
+def _(t):
+    return M.modularity_communities(group_pairs(t).select("a", "b", F.col("jaccard").alias("weight")))
+
+
 CENTRE = "v AS (SELECT article_id, cluster_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors), cd AS (SELECT cluster_id, i, avg(x) AS x FROM (SELECT cluster_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2), c AS (SELECT cluster_id, list(x ORDER BY i) AS centroid FROM cd GROUP BY 1), s AS (SELECT article_id, cluster_id, list_cosine_similarity(e, centroid) AS similarity FROM v JOIN c USING (cluster_id))"
 
 
