@@ -549,7 +549,7 @@ def _(t):
     return E.communities(group_pairs(t).select("a", "b", F.col("jaccard").alias("weight")))
 
 
-@add("E8_label_modularity", f"WITH {PAIRS}, {_rounds(5)}, com AS (SELECT label, sum(weight) AS s FROM bw JOIN l5 ON node = a GROUP BY 1), inn AS (SELECT sum(weight) AS w FROM bw JOIN l5 x ON x.node = bw.a JOIN l5 y ON y.node = bw.b WHERE x.label = y.label) SELECT round(max(w) / sum(s) - sum(s * s) / (sum(s) * sum(s)), 6) AS modularity FROM com, inn")
+@add("E8_label_modularity", f"WITH {PAIRS}, {_rounds(5)}, com AS (SELECT label, sum(weight) AS s FROM bw JOIN l5 ON node = a GROUP BY 1), inn AS (SELECT coalesce(sum(weight), 0) AS w FROM bw JOIN l5 x ON x.node = bw.a JOIN l5 y ON y.node = bw.b WHERE x.label = y.label) SELECT round(max(w) / sum(s) - sum(s * s) / (sum(s) * sum(s)), 6) AS modularity FROM com, inn")
 def _(t):
     edges = group_pairs(t).select("a", "b", F.col("jaccard").alias("weight"))
     return M.modularity(edges, E.communities(edges)).select(r6("modularity"))
