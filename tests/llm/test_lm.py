@@ -95,3 +95,49 @@ def test_repeated_text_is_told_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
     got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score_texts(df, exclude=F.col("held")).collect()}
     assert min(got[2000 + i] for i in range(40)) > max(got[3000 + i] for i in range(40))
+
+
+def test_equal_rows_part_over_blocks(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "'' text").unionByName(spark.createDataFrame([(i, "some words here") for i in range(50)], "doc_id long, text string"))
+    seen = []
+    dealt = lm._dealt
+
+    def spy(df, key, kinds):
+        if key == "block":
+            seen.append(df)
+        return dealt(df, key, kinds)
+
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 30)
+    monkeypatch.setattr(lm, "_dealt", spy)
+    routed = lm.score_texts(rows, broadcast_limit=0).groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b")).collect()
+    sizes = [r["count"] for r in seen[0].groupBy("block").count().collect()]
+    assert sum(sizes) == 4050 and max(sizes) < 4 * 4050 / len(sizes)
+    plain = {r.doc_id: r.score for r in lm.score_texts(rows).collect()}
+    assert len(routed) == 51 and {r.doc_id: r.n for r in routed}[None] == 4000
+    assert all(r.a == r.b == pytest.approx(plain[r.doc_id], abs=1e-9) for r in routed)
+
+
+def test_size_is_checked_before_it_is_sent(spark, docs, monkeypatch):
+    """An estimate that is too low does not lead to a broadcast."""
+    sent = []
+    monkeypatch.setattr(lm, "_by_broadcast", lambda *a: sent.append(a))
+    monkeypatch.setattr(lm, "SAMPLE", 1 << 40)  # hardly a key is sampled, so the filter seems to be empty
+    limit = 16 * (docs.selectExpr("explode(split(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) w").distinct().count() + 2)
+    assert lm.score_texts(docs, broadcast_limit=limit).count() == docs.count() and not sent
+
+
+def test_hashes_do_not_depend_on_steps(monkeypatch):
+    from tidewatch.llm import hashing
+
+    r = random.Random(3)
+    cases = [[bytes(r.choice(b"ab \n\tc") for _ in range(r.choice([0, 1, 5, 40]))) for _ in range(r.randrange(6))] for _ in range(100)] + [[b"x" * 500, b"", b"y " * 300]]
+    want = [hashing.words(t) for t in cases]
+    for step in (1, 3, 64):
+        monkeypatch.setattr(hashing, "STEP", step)
+        monkeypatch.setattr(hashing, "_POWERS", [])
+        for t, (h, o) in zip(cases, want):
+            got = hashing.words(t)
+            assert np.array_equal(got[0], h) and np.array_equal(got[1], o)
+    for t, (h, o) in zip(cases, want):
+        flat = [w for x in t for w in x.split()]
+        assert len(flat) == len(h) and len(set(flat)) == len(set(h.tolist()))

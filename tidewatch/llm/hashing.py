@@ -25,16 +25,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(_P))
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Bytes hashed in one step; memory beside the text and its hashes follows this, not the longest text.
+STEP = 1 << 18
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_P, _P_INVERSE)):
-            run = np.full(max(n, 1 << 20), U(base), U)
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for the places of one step."""
+    if not _POWERS:
+        for base in (_P, _P_INVERSE):
+            run = np.full(STEP, U(base), U)
             run[0] = 1
-            _POWERS[k] = np.cumprod(run, dtype=U)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            _POWERS.append(np.cumprod(run, dtype=U))
+    return _POWERS
 
 
 def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -52,21 +55,30 @@ def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, in order, and the index of its text."""
-    joined = b"\n".join(texts)
-    raw = np.frombuffer(joined, np.uint8)
-    if not len(raw):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = _IS_WORD[raw]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * power[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    """Hash of every word, in order, and the index of its text. Bytes are read ``STEP`` at a time; a word that a step cuts
+    carries its start into the next one, so its hash does not depend on where steps end."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    power, inverse = _powers()
+    hashes, starts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    total, was = 0, False  # the sum of all bytes before the step, and whether the last of them is in a word
+    value, back, place = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)  # the start that is open, if one is
+    for at in range(0, len(raw), STEP):
+        part = raw[at : at + STEP]
+        inside = _IS_WORD[part]
+        edges = np.flatnonzero(np.concatenate([[inside[0] != was], inside[1:] != inside[:-1]]))
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+        scale = pow(_P, at, 1 << 64)
+        value = np.concatenate([value, sums[edges] * U(scale) + U(total)])
+        back = np.concatenate([back, inverse[edges] * U(pow(_P_INVERSE, at, 1 << 64))])
+        place = np.concatenate([place, edges + at])
+        n = len(place) // 2 * 2
+        hashes.append(mix((value[1:n:2] - value[:n:2]) * back[:n:2] + (place[1:n:2] - place[:n:2]).astype(U) * U(0xD6E8FEB86659FD93)))
+        starts.append(place[:n:2])
+        value, back, place = value[n:], back[n:], place[n:]
+        total, was = (total + scale * int(sums[-1])) % (1 << 64), inside[-1]
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(bounds, starts, "right")
+    return np.concatenate(hashes), np.searchsorted(bounds, np.concatenate(starts), "right")
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:

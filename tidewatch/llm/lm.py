@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.hashing import U, chunks, mix, words
-from tidewatch.runtime import written
+from tidewatch.runtime import forget, written
 
 ORDERS, K = 4, 2.0
 #: Bits of the filter for each item, all probes of an item inside one word of 64; characters for one segment and block.
@@ -276,7 +276,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from the rows that ``exclude`` (a condition) does not name. A-Z are lowered; a text is its words and one end.
     Null text: empty, its end alone. Repeated rows are scored alike and count each. Null ids are held out if the
-    condition says so, else learned from. A very long text is cut for counting nowhere: it is one task's, whole. Other
+    condition says so, else learned from. A very long text is one task's, whole, and its words are hashed in steps. Equal rows part over blocks like any. Other
     columns are ignored. An empty table gives an empty table; without rows to learn from, N is 0 and every token is
     unknown. At any size all rows are counted and scored; only how the filter reaches the texts depends on its bytes
     (``broadcast_limit``)."""
@@ -292,7 +292,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, v, starts, levels = (int(x or 0) for x in total)
     totals = Totals(n, v, starts, bits)
     if levels * SAMPLE * BITS / 8 + 16 * v <= broadcast_limit:
+        forget(model)
         model = written(build_segments(count_corpus(rows, segments, bits)), "lm-segments")
+        built = model.agg(F.sum(F.length("bits") + F.length("words") + F.length("word_n"))).first()[0] or 0
+        fits = built <= broadcast_limit  # what is sent is what was measured, not what was estimated
+    else:
+        fits = False
+    if fits:
         out = _by_broadcast(rows, model, segments, totals)
     else:
         out = _by_routing(rows, model, segments, max(1, chars // BLOCK_CHARS), totals)
@@ -304,7 +310,7 @@ def _with_ids(x: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_broadcast(rows: DataFrame, model: DataFrame, segments: int, t: Totals) -> DataFrame:
-    got = {r["segment"]: r for r in model.select("segment", "words", "word_n", "bits").toLocalIterator()}  # under broadcast_limit
+    got = {r["segment"]: r for r in model.select("segment", "words", "word_n", "bits").toLocalIterator()}  # measured by the caller
     part = lambda k, none: [bytes(got[s][k]) if s in got else none for s in range(segments)]
     sent = rows.sparkSession.sparkContext.broadcast((b"".join(part("words", b"")), b"".join(part("word_n", b"")), part("bits", b"\0" * 8)))
 
@@ -326,9 +332,10 @@ def _dealt(rows: DataFrame, key: str, kinds: int) -> DataFrame:
 
 
 def _by_routing(rows: DataFrame, model: DataFrame, segments: int, blocks: int, t: Totals) -> DataFrame:
-    """Rows that agree in id and text share a block; blocks, segments and the messages between them hold about as many
-    keys at every size of the corpus."""
-    blocked = _dealt(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "block", blocks)
+    """Rows are numbered and dealt by number, so that equal ones part; blocks, segments and the messages between them hold
+    about as many keys at every size of the corpus."""
+    numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # read twice, with the same numbers
+    blocked = _dealt(numbered.select("id", "text", "held_out", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")), "block", blocks)
 
     def of_block(x: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The texts by chunk with their tokens; words, keys, and which keys there are and count, of the whole block."""
