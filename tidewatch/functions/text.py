@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewatch.runtime import small, written
+from tidewatch.functions.search import candidates, postings, rarest, word_runs
+from tidewatch.runtime import forget, maybe_broadcast, small, written
 
+#: Bytes of search words, at 200 each, up to which every text is searched for every word.
+FEW_WORDS = 64 << 10
 #: What text normalisation removes, keeps and collapses.
 URL = r"(?i)https?://[^\s<>\"')\]]+"
 EMAIL = r"(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -154,23 +157,27 @@ def is_question(title: Column) -> Column:
     return t.contains("?") | first.isin(*QUESTION_FIRST) | (occurrences(t, QUESTION_IN) > 0)
 
 
-def containing(rows: DataFrame, text: str, words: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+def containing(rows: DataFrame, text: str, words: DataFrame, limit_bytes: int = FEW_WORDS) -> DataFrame:
     """Each row of ``rows`` with each row of ``words`` (``k``, not empty, and more) whose ``k`` its ``text`` contains.
 
-    Few words (counted) are broadcast and looked for in every text. More of them meet the texts by shuffle on their first
-    characters, three at most, which a text that contains the word has among its runs of that many; then the whole word
-    is looked for. The columns of both sides have names of their own."""
+    Few words (counted) are broadcast and looked for in every text. More of them are looked up by the rarest of their runs
+    of three characters (:mod:`tidewatch.functions.search`) and confirmed. The columns of both sides have names of their
+    own."""
     words = words.filter("k is not null and k <> ''")
     if small(words, 200, limit_bytes):
         return rows.join(F.broadcast(words), F.col(text).contains(F.col("k")))
-    words = words.withColumn("_run", F.substring("k", 1, 3))
-    sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))
-    every = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), runs)))
-    return rows.withColumn("_run", F.explode(every)).join(words, "_run").filter(F.col(text).contains(F.col("k"))).drop("_run")
-
-
-def infer_category(articles: DataFrame, dictionary: DataFrame, floor: float = 3.0, limit_bytes: int = 8 << 20) -> DataFrame:
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "search-rows")
+    runs = written(word_runs(words), "search-runs")
+    needed = maybe_broadcast(runs.select("gram").distinct(), 40)
+    listed = written(postings(numbered, text, "_row").join(needed, "gram", "left_semi"), "search-grams")
+    keys = written(rarest(runs, listed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), "search-keys")
+    forget(runs)
+    hits = candidates(listed, keys, "_row")
+    found = numbered.join(hits, "_row").filter(F.col(text).contains(F.col("k"))).drop("_row")
+    return found.join(words, "k").select(*rows.columns, *words.columns)
+
+
+def infer_category(articles: DataFrame, dictionary: DataFrame, floor: float = 3.0, limit_bytes: int = FEW_WORDS) -> DataFrame:
     """``articles`` (article_id) with ``category`` from the weights of dictionary words found in title and body[:200], if
     the best class reaches ``floor``; ties go to the first class by name. Words: :func:`containing`. A word listed twice
     in a class counts twice; an id stands for one article."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import is_question, sentiment, signed
+from tidewatch.functions.text import FEW_WORDS, containing, is_question, sentiment, signed
 from tidewatch.operators.scoring import round_up_tie
 from tidewatch.sources.tables import ago, ts
 
@@ -98,13 +98,13 @@ def surge_alerts(groups: DataFrame, subs: DataFrame) -> DataFrame:
     return wanted.join(words, "k").select("user_id", "group_id", F.col("k").alias("keyword"))
 
 
-def daily_digest(sns: DataFrame, subs: DataFrame, users: DataFrame, as_of, posts: int = 500, per_keyword: int = 10) -> DataFrame:
+def daily_digest(sns: DataFrame, subs: DataFrame, users: DataFrame, as_of, posts: int = 500, per_keyword: int = 10, limit_bytes: int = FEW_WORDS) -> DataFrame:
     """user, keyword, rank and title: of the ``posts`` best posts of a day, the questions that contain a keyword of a user
     with daily and e-mail alerts on, up to ``per_keyword`` each."""
     best = sns.filter(F.col("snapshot_at") >= ago(as_of, 86400)).orderBy(F.desc("score"), "id").limit(posts)
     asked = best.filter(is_question(F.col("keyword"))).select("id", F.col("keyword").alias("title"), "score")
     words = subs.filter("alert_daily").select(F.lower("keyword").alias("k")).distinct()
-    hits = words.join(F.broadcast(asked), F.lower("title").contains(F.col("k")))  # at most ``posts`` rows
+    hits = containing(asked.withColumn("_title", F.lower("title")), "_title", words, limit_bytes).drop("_title")
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= per_keyword)
     who = subs.filter("alert_daily").select("user_id", F.lower("keyword").alias("k")).distinct().join(users.filter("email_enabled").select("user_id"), "user_id")
     return who.join(hits, "k").select("user_id", F.col("k").alias("keyword"), "rank", "id", "title")

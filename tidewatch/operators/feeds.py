@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import containing
+from tidewatch.functions.text import FEW_WORDS, containing
 from tidewatch.operators.scoring import round_up_tie, seconds_before
 from tidewatch.runtime import maybe_broadcast, written
+from tidewatch.sources.search_index import look_up
 from tidewatch.sources.tables import ago, ts
 
 #: Bucket and range in minutes.
@@ -119,7 +120,7 @@ def news_feed(articles: DataFrame, groups: DataFrame, as_of, category: str | Non
     return out.limit(limit) if limit else out
 
 
-def _containing(rows: DataFrame, text: str, queries: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+def _containing(rows: DataFrame, text: str, queries: DataFrame, limit_bytes: int = FEW_WORDS) -> DataFrame:
     """Rows with the query_id of every query (query_id, keywords) one of whose keywords their text contains, without case."""
     words = queries.select("query_id", F.explode("keywords").alias("k")).select("query_id", F.lower("k").alias("k")).distinct()
     return containing(rows.withColumn("_text", F.lower(text)), "_text", words, limit_bytes).drop("k", "_text").distinct()
@@ -131,6 +132,15 @@ def search_articles(articles: DataFrame, queries: DataFrame, n: int = 10) -> Dat
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "rank", "article_id", "title")
 
 
+def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int = 10, batches: list[str] | None = None) -> DataFrame:
+    """:func:`search_articles` over the index under ``folder``, whose texts are lower-cased titles beside title and
+    publish_time; ``id`` is the article's."""
+    words = queries.select("query_id", F.explode("keywords").alias("k")).select("query_id", F.lower("k").alias("k")).distinct()
+    hits = look_up(spark, folder, words, batches).select("query_id", F.col("id").alias("article_id"), "title", "publish_time").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("publish_time"), "article_id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "rank", "article_id", "title")
+
+
 def search_trends(sns: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     hits = _containing(sns.select("id", "platform", "keyword", "score"), "keyword", queries)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
