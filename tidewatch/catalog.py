@@ -856,16 +856,16 @@ def _(t):
 FOUND = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY publish_time DESC, article_id) AS INTEGER) AS rank, article_id FROM h QUALIFY rank <= 10"
 
 
-@add("G10_search_index", f"WITH q(query_id, k) AS (SELECT DISTINCT platform || lower(keyword), lower(substr(keyword, 1, 40)) FROM sns UNION ALL SELECT * FROM (VALUES ('a', 'the'), ('a', 'thing'), ('b', 'que '), ('c', 'zzzzqq'))), h AS (SELECT DISTINCT query_id, article_id, publish_time FROM articles JOIN q ON k <> '' AND contains(lower(title), k)) {FOUND}")
+@add("G10_search_index", f"WITH q(query_id, k) AS (SELECT DISTINCT w, w FROM (SELECT regexp_extract(lower(title), '[a-z]{{5,}}') AS w FROM articles) WHERE w <> '' UNION ALL SELECT * FROM (VALUES ('A', 'the'), ('A', 'thing'), ('B', 'que '), ('C', 'zzzzqq'))), h AS (SELECT DISTINCT query_id, article_id, publish_time FROM articles JOIN q ON contains(lower(title), k)) {FOUND}")
 def _(t):
-    """Articles indexed in three batches, one of them twice; every trend's keyword is a query."""
+    """Articles indexed in three batches, one of them twice; the first long word of every title is a query."""
     folder = stream_path(t)
     rows = t.articles.select(F.col("article_id").alias("id"), F.lower("title").alias("text"), "title", "publish_time")
     for b in (0, 1, 2, 1):
         N.index_batch(rows.filter(F.col("id") % 3 == b), folder, f"b{b}", 16)
-    asked = t.sns.select(F.concat("platform", F.lower("keyword")).alias("query_id"), F.array(F.substring("keyword", 1, 40)).alias("keywords")).distinct()
-    asked = asked.unionByName(t.spark.createDataFrame(SETS, "query_id string, keywords array<string>"))
-    return G.search_index(t.spark, folder, asked).select("query_id", "rank", "article_id")
+    first = t.articles.select(F.regexp_extract(F.lower("title"), "[a-z]{5,}", 0).alias("w")).filter("w <> ''").distinct()
+    sets = t.spark.createDataFrame([(q.upper(), w) for q, w in SETS], "query_id string, keywords array<string>")
+    return G.search_index(t.spark, folder, first.select(F.col("w").alias("query_id"), F.array("w").alias("keywords")).unionByName(sets)).select("query_id", "rank", "article_id")
 
 
 @add("G11_search_trends", "WITH q(query_id, k) AS (VALUES ('a', 'k1'), ('b', 'k7')), h AS (SELECT DISTINCT query_id, id, keyword, score FROM sns JOIN q ON contains(lower(keyword), k)) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, keyword FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
