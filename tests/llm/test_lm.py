@@ -97,8 +97,13 @@ def test_repeated_text_is_told_apart(spark):
     assert min(got[2000 + i] for i in range(40)) > max(got[3000 + i] for i in range(40))
 
 
-def test_equal_rows_part_over_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("stored", [False, True])
+def test_equal_rows_part_over_blocks(spark, monkeypatch, tmp_path, stored):
     rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "'' text").unionByName(spark.createDataFrame([(i, "some words here") for i in range(50)], "doc_id long, text string"))
+    if stored:
+        rows.withColumn("_metadata", F.lit("a column of this name")).write.parquet(str(tmp_path / "docs"))
+        rows = spark.read.parquet(str(tmp_path / "docs"))
+    assert (lm._place(rows) is not None) == stored
     seen = []
     dealt = lm._dealt
 

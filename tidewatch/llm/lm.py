@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -282,7 +283,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (``broadcast_limit``)."""
     kind = docs.schema[id_col].dataType.simpleString()
     out_held = F.coalesce(held_out(id_col) if exclude is None else exclude, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), out_held.alias("held_out"))
+    place = _place(docs)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), out_held.alias("held_out"), *([] if place is None else [place.alias("row")]))
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     chars = size["chars"] or 0
     segments = 1 << max(0, int(np.ceil(np.log2(max(chars, 1) / SEGMENT_CHARS))))
@@ -305,6 +307,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 
+def _place(docs: DataFrame) -> Column | None:
+    """A number for each row by its place in its Parquet file, which every reading gives again; None for other tables."""
+    try:
+        m = docs.metadataColumn("_metadata")
+        place = F.xxhash64(m["file_path"], m["row_index"])
+        docs.select(place)  # says whether there is one
+    except AnalysisException:
+        return None
+    return place
+
+
 def _with_ids(x: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x[["id", "held_out"]].reset_index(drop=True), s], axis=1)
 
@@ -324,7 +337,7 @@ def _by_broadcast(rows: DataFrame, model: DataFrame, segments: int, t: Totals) -
             levels[there] = f.levels(keys[there])
             yield _with_ids(x, scored(texts, own, find(own[0], w, c), levels, t))
 
-    return rows.mapInPandas(run, SCORED)
+    return rows.select("id", "text", "held_out").mapInPandas(run, SCORED)
 
 
 def _dealt(rows: DataFrame, key: str, kinds: int) -> DataFrame:
@@ -332,9 +345,10 @@ def _dealt(rows: DataFrame, key: str, kinds: int) -> DataFrame:
 
 
 def _by_routing(rows: DataFrame, model: DataFrame, segments: int, blocks: int, t: Totals) -> DataFrame:
-    """Rows are numbered and dealt by number, so that equal ones part; blocks, segments and the messages between them hold
-    about as many keys at every size of the corpus."""
-    numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # read twice, with the same numbers
+    """Rows are dealt by number, so that equal ones part; blocks, segments and the messages between them hold about as many
+    keys at every size of the corpus. Rows are read twice and must have the same number then, so those that no Parquet
+    file places are written with one."""
+    numbered = rows if "row" in rows.columns else written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     blocked = _dealt(numbered.select("id", "text", "held_out", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")), "block", blocks)
 
     def of_block(x: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
