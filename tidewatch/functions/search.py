@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import maybe_broadcast
+from tidewatch.runtime import maybe_broadcast, small
 
 RUN = 3
 #: Texts under one run that one task confirms; a longer list is split by text.
 SHARE = 100_000
+#: Bytes of keys, at 80 each, up to which every task has them all.
+KEYS = 64 << 20
 
 
 def _runs(text: Column, n: Column | int) -> Column:
@@ -55,3 +57,16 @@ def candidates(listed: DataFrame, keys: DataFrame, *ids: str) -> DataFrame:
     spread = spread.withColumn("_part", F.pmod(F.xxhash64(*ids), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     dealt = keys.select("k", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     return spread.join(dealt, ["gram", "_part"]).select(*ids, "k")
+
+
+def confirmed(texts: DataFrame, text: str, listed: DataFrame, keys: DataFrame, *ids: str) -> DataFrame:
+    """Rows of ``texts`` (``ids`` and more) with each word ``k`` of ``keys`` (:func:`rarest`, written) that ``text``
+    contains. A text meets the runs it is listed under once, and in its task the words of those runs, of which only those
+    it contains leave: words times texts of a common run are never written or shuffled. Keys that are too many to go to
+    every task meet the lists by run (:func:`candidates`)."""
+    contains = F.col(text).contains(F.col("k"))
+    if not small(keys, 80, KEYS):
+        return texts.join(candidates(listed, keys, *ids), [*ids]).filter(contains)
+    runs = listed.groupBy(*ids).agg(F.collect_list("gram").alias("_grams"))
+    each = texts.join(runs, [*ids]).withColumn("_gram", F.explode("_grams")).drop("_grams")
+    return each.join(F.broadcast(keys.select(F.col("gram").alias("_gram"), "k")), "_gram").filter(contains).drop("_gram")

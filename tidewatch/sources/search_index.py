@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidewatch.functions.search import candidates, postings, rarest, word_runs
+from tidewatch.functions.search import confirmed, postings, rarest, word_runs
 from tidewatch.runtime import forget, maybe_broadcast, written
 
 
@@ -45,8 +45,7 @@ def look_up(spark: SparkSession, folder: str, words: DataFrame, batches: list[st
     keys = written(rarest(runs, counts.select("gram", "n")), "search-keys")
     touched = [r[0] for r in keys.join(counts, "gram").select("bucket").distinct().collect()]  # as many as buckets at most
     listed = table("grams").filter(F.col("bucket").isin(touched)).join(maybe_broadcast(keys.select("gram").distinct(), 40), "gram", "left_semi")
-    hits = written(candidates(listed, keys, "batch", "id"), "search-hits")
-    forget(runs, counts, keys)
+    forget(runs, counts)
     texts = table("texts")
-    found = texts.join(maybe_broadcast(hits, 80), ["batch", "id"]).filter(F.col("text").contains(F.col("k")))
+    found = confirmed(texts, "text", listed, keys, "batch", "id")
     return found.join(words, "k").select(*texts.columns, *words.columns)
