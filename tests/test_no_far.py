@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.adapters import Tables
 from tidewatch.catalog import fast_r6
 from tidewatch.operators import clusters as E
 from tidewatch.operators import metric
@@ -87,3 +88,11 @@ def test_fast_rounding_is_rounding(spark):
     values = [*(rnd.random() for _ in range(2000)), *(n / 1e6 + 5e-7 for n in range(500)), 0.0, -1e-9, -0.3333335, 1e300, -1e12, None, float("nan"), float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "w double")
     assert df.select(fast_r6("w").alias("x"), F.round("w", 6).alias("y")).filter("not (x <=> y)").isEmpty()
+
+
+def test_whole_texts_do_not_go_through_the_join(spark):
+    vectors = Tables(spark, "/root/testdata/sf0.001").vectors
+    below = plan(vectors).split("Join", 1)[1]
+    assert "substring(text" in below and ", 1, 60)" in below
+    want = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(r.text == want[r.article_id][: r.article_id % 60] for r in vectors.collect())
