@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import behavior as H
 from tidewatch.operators.keywords import bigrams
+from tidewatch.streaming import streams as J
 
 
 def plan(df):
@@ -33,3 +34,18 @@ def test_bigrams_shuffle_nothing(spark):
     got = bigrams(rows)
     assert "Exchange" not in plan(got)
     assert {(r.article_id, r.bigram, r.freq, round(r.score, 6)) for r in got.collect()} == {(1, "red_fox", 2, round(0.5 * (4 / 7 + 2 / 7) / 2, 6)), (1, "fox_red", 2, round(0.5 * (4 / 7 + 2 / 7) / 2, 6))}
+
+
+def test_the_stream_of_alerts_stores_no_product(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "KEYWORD_PART", 16)
+    monkeypatch.setattr(H, "LIST", 8)
+    groups = spark.range(300).select(F.concat(F.lit("g"), "id").alias("id"), F.array(F.lit("Hot"), F.lit("hot"), F.when(F.col("id") % 3 == 0, "cold"), F.lit("other")).alias("keywords"))
+    groups.write.parquet(str(tmp_path / "in"))
+    subs = spark.createDataFrame([(i, ["HOT", "Cold", "none", None][i % 4], i % 5 != 0) for i in range(120)] + [(1, "cold", True), (None, "cold", True)], "user_id long, keyword string, alert_surge boolean")
+    read = lambda: spark.readStream.schema(groups.schema).parquet(str(tmp_path / "in"))
+    got = J.stored_alerts(read(), subs, str(tmp_path / "alerts"))
+    want = H.surge_alerts(groups, subs)
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, want.collect())) == sorted(set(rows)) and len(rows) > 7000
+    assert spark.read.parquet(str(tmp_path / "alerts/out")).count() == 300 + 100
+    assert sorted(map(str, J.stored(J.stream_alerts(read(), subs), str(tmp_path / "plain")).collect())) == rows
